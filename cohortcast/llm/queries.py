@@ -16,6 +16,13 @@ def digest(col) -> F.Column:
     return F.sha2(F.encode(col, "UTF-8"), 256)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", digest(F.col("kept")).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import decode, encode
 
@@ -39,7 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op2_substring_dedup, op7_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
