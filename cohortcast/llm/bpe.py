@@ -169,39 +169,48 @@ def _broadcast(df: DataFrame, vocabulary: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Adds ids_col, the token ids of text_col. vocabulary: path of a tokenizers .json file on the driver."""
+def _joined(tokens: pa.Array, ids: pa.Array, first: np.ndarray) -> pa.Array:
+    known = pc.fill_null(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(tokens) - 1)), False)
+    words = tokens.take(pc.if_else(known, ids, len(tokens) - 1))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), words), " ")
+
+
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """Adds ids_col, the token ids of text_col, and if asked decoded_col, what those ids decode to.
+    vocabulary: path of a tokenizers .json file on the driver."""
     spec, at = _broadcast(docs, vocabulary), docs.columns.index(text_col)
 
     def run(rows):
         codec = _codec(spec.value)
+        tokens = pa.array([*codec.tokens, ""])
         for batch in rows:
             col = batch.column(at)
             for lo, hi in batches(col):
                 part = batch.slice(lo, hi - lo)
-                ids, first = codec.encode(part.column(at).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids_col])
+                flat, first = codec.encode(part.column(at).to_pylist())
+                ids = pa.array(flat.astype(np.int32))
+                out = [*part.columns, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), ids)]
+                if decoded_col:
+                    out.append(_joined(tokens, ids, first))
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
+    names = [*docs.columns, *(f.name for f in added)]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds out_col, the tokens of ids_col joined by a space, as a vocabulary without a decoder has it."""
     spec, at = _broadcast(docs, vocabulary), docs.columns.index(ids_col)
+    names = [*docs.columns, out_col]
 
     def run(rows):
         tokens = pa.array([*_codec(spec.value).tokens, ""])
         for batch in rows:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, len(batch), 200):
+                part = batch.slice(lo, 200)
                 col = part.column(at)
-                ids = col.flatten()
-                known = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(tokens) - 1))
-                ids = pc.if_else(pc.fill_null(known, False), ids, len(tokens) - 1)
-                first = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy())))
-                words = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), tokens.take(ids))
-                text = pc.binary_join(words, " ")
-                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, out_col])
+                first = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))))
+                yield pa.RecordBatch.from_arrays([*part.columns, _joined(tokens, col.flatten(), first)], names=names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType())]))

@@ -110,7 +110,7 @@ class Words:
             return mix((sums[at + n] - sums[at]) * down[at] + U64(n)), at
 
 
-def batches(column, size: int = 4 << 20):
+def batches(column, size: int = 1 << 20):
     """Slices (from, to) of an Arrow binary or string array, each of about `size` bytes or one value."""
     import pyarrow as pa
 
