@@ -23,6 +23,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", digest(F.col("kept")).alias("kept_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import similar_texts
 
@@ -51,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op5_ngram_jaccard, op7_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_quality_rules, op5_ngram_jaccard, op7_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
