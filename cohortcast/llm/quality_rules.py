@@ -141,60 +141,54 @@ def _distance(mean: list[Column], cov: dict[tuple[int, int], Column], x: list[Co
     return column(0, [[] for _ in range(p)], [], F.lit(0.0))
 
 
-def robust_estimates(vectors: DataFrame, names: list[str], floors: list[float], group: str, alpha: float, steps: int) -> DataFrame:
-    """A row for each group: m_i and c_i_j, the robust mean and covariance."""
+def robust_estimates(vectors: DataFrame, names: list[str], floors: list[float], group: str, alpha: float, steps: int, few: bool) -> DataFrame:
+    """A row for each group: m_i and c_i_j, the robust mean and covariance. few: whether such a table may be broadcast."""
     p = len(names)
+    small = F.broadcast if few else (lambda df: df)
     cut = chi2_quantile(alpha, p)
     factor = alpha / chi2_share(cut, p + 2)
     quart = vectors.groupBy(group).agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q_{i}") for i, c in enumerate(names)])
-    now = quart.select(group, *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)], *[(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) + floors[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
+    now = quart.select(group, *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)], *[(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) + floors[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]).checkpoint()
     for _ in range(steps):
-        far = vectors.join(F.broadcast(now), group).select(group, *names, distance(names).alias("d2")) if _few(now) else vectors.join(now, group).select(group, *names, distance(names).alias("d2"))
+        far = vectors.join(small(now), group).select(group, *names, distance(names).alias("d2"))
         near = far.groupBy(group).agg(F.percentile_approx("d2", F.lit(alpha), F.lit(1000)).alias("limit"))
-        kept = far.join(F.broadcast(near) if _few(near) else near, group).where("d2 <= limit")
-        sums = kept.groupBy(group).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
+        sums = far.join(small(near), group).where("d2 <= limit").groupBy(group).agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
         now = sums.select(group, *[f"m_{i}" for i in range(p)], *[(F.col(f"s_{i}_{j}") * factor + (floors[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]).checkpoint()
     return now
 
 
-def _few(groups: DataFrame, most: int = 50_000) -> bool:
-    """Whether a table of one row a group is small enough to be broadcast."""
-    return groups.limit(most + 1).count() <= most
-
-
 def distance(names: list[str]) -> Column:
     p = len(names)
     return _distance([F.col(f"m_{i}") for i in range(p)], {(i, j): F.col(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)}, [F.col(c) for c in names])
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", alpha: float = 0.75, steps: int = 2, quantile: float = 0.99999, least: int = 200) -> DataFrame:
-    """The rows of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2 and kept.
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, alpha: float = 0.75, steps: int = 2, quantile: float = 0.99999, least: int = 200, broadcast_groups: int = 50_000) -> DataFrame:
+    """The rows of docs, with the columns `keep` (all, if not given) and n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, base_failed, distance2 and kept.
 
     Columns of docs with such names are replaced. distance2 is null where base_failed, or where a pool
-    has fewer than 20 vectors; such texts pass.
+    has fewer than 20 vectors; such texts pass. Statistics are taken once, and checkpointed with the
+    columns to keep. Tables of a row a group are broadcast up to `broadcast_groups` groups, else shuffled.
     """
     ready(docs.sparkSession)
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "distance2", "kept"]
-    others = [c for c in docs.columns if c not in made]
-    s = docs.withColumn("_s", text_statistics(F.col(text_col))).select(*others, "_s.counts.*", "_s.lines.*", "_s.word_chars", "_s.n_symbols")
-    return _verdict(s.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), others, lang_col, source_col, alpha, steps, quantile, least)
-
-
-def _verdict(s: DataFrame, others: list[str], lang_col: str, source_col: str, alpha: float, steps: int, quantile: float, least: int) -> DataFrame:
     names, floors = list(FLOORS), list(FLOORS.values())
-    s = s.withColumn("_own", F.to_json(F.array(F.coalesce(F.col(lang_col), F.lit("\x00")), F.coalesce(F.col(source_col), F.lit("\x00"))))).withColumn("_lang", F.to_json(F.array(F.coalesce(F.col(lang_col), F.lit("\x00")))))
-    vectors = s.where(~F.col("base_failed")).select("_own", "_lang", *[v.alias(c) for c, v in _vector().items()]).checkpoint()
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept"]
+    others = [c for c in (keep or docs.columns) if c not in made]
+    label = lambda *cols: F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]))
+    s = docs.withColumns({"_s": text_statistics(F.col(text_col)), "_own": label(lang_col, source_col), "_lang": label(lang_col)})
+    s = s.select(*others, "_own", "_lang", "_s.counts.*", "_s.lines.*", "_s.word_chars", "_s.n_symbols").withColumns(_vector())
+    s = s.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).checkpoint()
+    vectors = s.where(~F.col("base_failed")).select("_own", "_lang", *names)
     # groups of fewer than `least` vectors are pooled by language, those pools in turn together
     sizes = vectors.groupBy("_own", "_lang").agg(F.count("*").alias("n")).withColumn("pool", F.when(F.col("n") >= least, F.col("_own")).otherwise(F.col("_lang")))
     pools = sizes.groupBy("pool").agg(F.sum("n").alias("total")).select("pool", F.when(F.col("total") >= least, F.col("pool")).otherwise(F.lit("[]")).alias("grp"))
-    named = sizes.join(pools, "pool").select("_own", "grp").checkpoint()
-    named = F.broadcast(named) if _few(named) else named
-    vectors = vectors.join(named, "_own")
-    count = vectors.groupBy("grp").agg(F.count("*").alias("n_group")).where("n_group >= 20")
-    fitted = robust_estimates(vectors.select("grp", *names), names, floors, "grp", alpha, steps).join(count, "grp").drop("n_group").checkpoint()
-    fitted = F.broadcast(fitted) if _few(fitted) else fitted
+    named = sizes.join(pools, "pool").select("_own", "grp", "n").checkpoint()
+    few = named.limit(broadcast_groups + 1).count() <= broadcast_groups
+    small = F.broadcast if few else (lambda df: df)
+    vectors = vectors.join(small(named.select("_own", "grp")), "_own").select("grp", *names).checkpoint()
+    enough = named.groupBy("grp").agg(F.sum("n").alias("n")).where("n >= 20").select("grp")
+    fitted = robust_estimates(vectors, names, floors, "grp", alpha, steps, few).join(small(enough), "grp", "left_semi")
+    by_own = named.select("_own", "grp").join(small(fitted), "grp").drop("grp")
+    out = s.join(small(by_own), "_own", "left").withColumn("distance2", F.when(~F.col("base_failed"), distance(names)))
     limit = chi2_quantile(quantile, len(names))
-    out = s.join(named, "_own", "left").join(fitted, "grp", "left").withColumns(_vector())
-    out = out.withColumn("distance2", F.when(~F.col("base_failed"), distance(names)))
-    keep = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2"]
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= limit)).select(*others, *keep, "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= limit)).select(*others, *made)
