@@ -35,6 +35,15 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_texts(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest(F.array_join("items", ",")).alias("items_sha256"), "contaminated"
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -57,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_quality_rules, op5_ngram_jaccard, op7_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_quality_rules, op5_ngram_jaccard, op6_decontaminate, op7_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
