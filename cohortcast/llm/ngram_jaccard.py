@@ -2,8 +2,9 @@
 
 Texts with equal sets are one class. A set's keys are its first n - ceil(t * n) + 1 shingles in one
 fixed order (frequent shingles last), so that two sets of Jaccard t or more share a key. The sets of a
-key form tiles, in which sizes (bands: none is smaller than t times the other) and bitmap signatures
-(the bits in which two differ bound the overlap from above) are compared first; what is left is
+key form tiles, in which sizes (bands: none is smaller than t times the other) and bitmap signatures are
+compared first: each shingle flips the bit that it hashes to, so two signatures differ in at most as many
+bits as shingles are in one set only, which bounds the overlap from above; what is left is
 decided by intersecting the sorted shingle arrays. Work in two rounds keeps large groups linear: each
 key's sets are compared with its first set; then, in tiles of at most `tile` by `tile` sets, with all
 sets of the key that are not yet in the same component. No pair is left out.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .graphs import components, ready
 from .text import U64, Words, batches, mix
 
-BITS = 1024
+BITS = 2048
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +108,9 @@ def describe(texts: DataFrame, n: int, percent: int, table) -> DataFrame:
                 for chosen in (keep[weight[keep] == 0], keep[weight[keep] > 0]):
                     edge = np.searchsorted(doc[chosen], np.arange(hi - lo + 1))
                     listed.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(got[chosen].view(np.int64))))
-                bits = np.zeros((hi - lo, BITS), np.uint8)
-                bits[doc, (mix(got ^ U64(0x2545F491)) % U64(BITS)).astype(np.int64)] = 1
-                bits = np.packbits(bits, axis=1).tobytes()
+                at = doc * BITS + (mix(got ^ U64(0x2545F491)) % U64(BITS)).astype(np.int64)
+                odd = (np.bincount(at, minlength=(hi - lo) * BITS) & 1).astype(np.uint8).reshape(hi - lo, BITS)
+                bits = np.packbits(odd, axis=1).tobytes()
                 w = BITS // 8
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(node.view(np.int64), mask=size == 0), *listed, pa.array([bits[k * w : (k + 1) * w] for k in range(hi - lo)], pa.binary())], names=["id", "n", "node", "keys", "often", "bits"])
 
