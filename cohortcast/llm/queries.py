@@ -16,6 +16,16 @@ def digest(col) -> F.Column:
     return F.sha2(F.encode(col, "UTF-8"), 256)
 
 
+#: The key that surrogates depend on in these queries; a real one is a secret of its user.
+PII_KEY = "cohortcast"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -119,7 +129,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_quality_rules, op5_ngram_jaccard, op6_decontaminate, op7_bpe, op8_url_filter, op10_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op4_quality_rules, op5_ngram_jaccard, op6_decontaminate, op7_bpe, op8_url_filter, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
