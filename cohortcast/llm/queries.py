@@ -120,6 +120,14 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN i USING (r)
 """
 
 
+def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs, learn=~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -129,7 +137,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op4_quality_rules, op5_ngram_jaccard, op6_decontaminate, op7_bpe, op8_url_filter, op10_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op4_quality_rules, op5_ngram_jaccard, op6_decontaminate, op7_bpe, op8_url_filter, op9_lang_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
