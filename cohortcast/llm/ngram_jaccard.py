@@ -6,8 +6,11 @@ key form tiles, in which sizes (bands: none is smaller than t times the other) a
 compared first: each shingle flips the bit that it hashes to, so two signatures differ in at most as many
 bits as shingles are in one set only, which bounds the overlap from above; what is left is
 decided by intersecting the sorted shingle arrays. Work in two rounds keeps large groups linear: each
-key's sets are compared with its first set; then, in tiles of at most `tile` by `tile` sets, with all
-sets of the key that are not yet in the same component. No pair is left out.
+key's sets are compared with its first set; then, in tiles of about `tile` by `tile` sets, sizes and
+bits of all sets of the key that are not yet in one component are compared, which joins sets to clusters
+of what may be linked; and in tiles of a cluster, shingle arrays of all pairs that sizes and bits allow
+and that aren't connected yet. Tiles return pairs enough to connect what they connect, so results are
+linear in the rows; no pair is left out.
 
 The order needs frequent shingles: every task counts, a table of at most `frequent` of them is kept
 and broadcast. It only affects speed. Keys of that table are grouped by aggregation and a broadcast of
@@ -118,10 +121,14 @@ def describe(texts: DataFrame, n: int, percent: int, table) -> DataFrame:
 
 
 def shingles_of(texts: DataFrame, nodes: DataFrame, n: int, filter_bits: int) -> DataFrame:
-    """(node, shingles) for the nodes asked for, and maybe some others: a Bloom filter of fixed size spares shuffling texts."""
+    """(node, shingles) for nodes (node, first_id), read from the text first_id alone, whatever copies it has.
+
+    A Bloom filter of fixed size over (node, first_id) picks the texts map-side; a join settles the rest.
+    """
     spark = texts.sparkSession
-    parts = nodes.select(F.explode(F.array(*[F.expr(f"shiftrightunsigned(node, {s}) & {filter_bits - 1}") for s in (0, 20, 40)])).alias("at"))
-    words = parts.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v")).toPandas()  # at most filter_bits / 64 rows
+    spread = F.expr("node ^ coalesce(first_id, -1) ^ shiftleft(coalesce(first_id, -1), 20) ^ shiftleft(coalesce(first_id, -1), 40)")
+    at = nodes.select(spread.alias("x")).select(F.explode(F.array(*[F.expr(f"shiftrightunsigned(x, {s}) & {filter_bits - 1}") for s in (0, 20, 40)])).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v")).toPandas()  # at most filter_bits / 64 rows
     out = np.zeros(filter_bits // 64, U64)
     out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(U64)
     held = spark.sparkContext.broadcast(out)
@@ -132,69 +139,122 @@ def shingles_of(texts: DataFrame, nodes: DataFrame, n: int, filter_bits: int) ->
             for lo, hi, part in _parts(batch, 1):
                 doc, got = shingle_sets(part, n)
                 size, first, node = _nodes(doc, got, hi - lo)
+                id = batch.column(0).slice(lo, hi - lo).fill_null(-1).to_numpy(zero_copy_only=False).view(U64)
+                x = node ^ id ^ (id << U64(20)) ^ (id << U64(40))
                 may = size > 0
                 for s in (0, 20, 40):
-                    at = (node >> U64(s)) & U64(filter_bits - 1)
+                    at = (x >> U64(s)) & U64(filter_bits - 1)
                     may &= (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) > 0
-                yield pa.RecordBatch.from_arrays([pa.array(node[may].view(np.int64)), pa.array([got[f : f + s].view(np.int64) for f, s in zip(first[may], size[may])], pa.list_(pa.int64()))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[may].view(np.int64)), pa.array(id[may].view(np.int64)), pa.array([got[f : f + s].view(np.int64) for f, s in zip(first[may], size[may])], pa.list_(pa.int64()))], names=["node", "id", "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles array<long>")
+    found = texts.mapInArrow(run, "node long, id long, shingles array<long>")
+    return found.join(nodes.select("node", F.coalesce("first_id", F.lit(-1)).alias("id")), ["node", "id"], "left_semi").drop("id")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, filter_bits: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int, filter_bits: int) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard coefficient of percent / 100 or more."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = shingles_of(texts, ends, n, filter_bits).join(ends, "node", "left_semi").dropDuplicates(["node"])
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first_id"), "node").checkpoint()
+    sets = shingles_of(texts, ends, n, filter_bits)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.withColumn("same", same).where(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
 
 
-def _compare_tiles(percent: int):
-    """For mapInArrow over rows (tile, side, node, n, root, bits) sorted by tile: pairs of different roots that sizes and bits allow."""
-
-    def compare(t: dict):
-        side, node, n, root, bits = (t[c] for c in ("side", "node", "n", "root", "bits"))
-        one, two = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)  # side 0: a tile of one block; 1 and 2: of two
-        for lo in range(0, len(one), 64):
-            part = one[lo : lo + 64]
-            a, b = n[part][:, None], n[two][None, :]
-            ok = (root[part][:, None] != root[two][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            if len(part) and not side[part[0]]:
-                ok &= part[:, None] < two[None, :]
-            i, j = np.nonzero(ok)
-            for k in range(0, len(i), 1 << 16):
-                x, y = part[i[k : k + (1 << 16)]], two[j[k : k + (1 << 16)]]
-                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                total = n[x] + n[y]
-                fit = (100 + percent) * (total - differ) >= 2 * percent * total
-                if fit.any():
-                    p, q = node[x[fit]], node[y[fit]]
-                    yield np.minimum(p, q), np.maximum(p, q)
+def _allowed(t: dict, percent: int) -> np.ndarray:
+    """A tile's matrix of pairs of different roots, and of different sides where it has two, that sizes and bits allow."""
+    n, root, bits, side = (t[c] for c in ("n", "root", "bits", "side"))
+    small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
+    ok = (root[:, None] != root[None, :]) & (100 * small >= percent * large)
+    if side[0]:
+        ok &= side[:, None] != side[None, :]
+    i, j = np.nonzero(np.triu(ok))
+    for k in range(0, len(i), 1 << 15):
+        x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        total = n[x] + n[y]
+        ok[x, y] = ok[y, x] = (100 + percent) * (total - differ) >= 2 * percent * total
+    return ok
+
+
+def _forest(ok: np.ndarray):
+    """Pairs that connect what the matrix connects: a tree for each part."""
+    new = np.ones(len(ok), bool)
+    for root in range(len(ok)):
+        if not new[root]:
+            continue
+        new[root] = False
+        queue = [root]
+        for x in queue:
+            found = np.flatnonzero(ok[x] & new)
+            new[found] = False
+            queue.extend(found.tolist())
+            for y in found:
+                yield x, y
+
+
+def _near_pairs(t: dict, percent: int):
+    return _forest(_allowed(t, percent))
+
+
+def _linked_pairs(t: dict, percent: int):
+    """Pairs of a tile whose sorted shingle arrays reach the coefficient, enough to connect all that do."""
+    names, group = np.unique(t["root"], return_inverse=True)
+    head = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while head[x] != x:
+            head[x] = head[head[x]]
+            x = head[x]
+        return x
+
+    sets = t["shingles"]
+    for x, y in np.argwhere(np.triu(_allowed(t, percent))):
+        p, q = top(group[x]), top(group[y])
+        if p != q:
+            a, b = sets[x], sets[y]
+            same = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
+            if 100 * same >= percent * (len(a) + len(b) - same):
+                head[max(p, q)] = min(p, q)
+                yield x, y
+
+
+def _by_tile(judge, percent: int, columns: list[str]):
+    """For mapInArrow over rows sorted by tile: what `judge` finds in each tile, as pairs (a, b) of nodes."""
 
     def run(rows):
         left = None
-        names = ["tile", "side", "node", "n", "root"]
         for batch in rows:
-            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns if c not in ("bits", "shingles")}
             now["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), U64).reshape(len(batch), BITS // 64)
+            if "shingles" in columns:
+                now["shingles"] = np.fromiter((s.values.to_numpy() for s in batch.column("shingles")), object, len(batch))
             if left is not None:
                 now = {c: np.concatenate((left[c], now[c])) for c in now}
-            edge = [0, *(np.flatnonzero(now["tile"][1:] != now["tile"][:-1]) + 1)]
-            out = [p for lo, hi in zip(edge, edge[1:]) for p in compare({c: v[lo:hi] for c, v in now.items()})]
+            edge = [0, *(np.flatnonzero(now["tile"][1:] != now["tile"][:-1]) + 1).tolist()]
+            yield from emit([{c: v[lo:hi] for c, v in now.items()} for lo, hi in zip(edge, edge[1:])])
             left = {c: v[edge[-1] :] for c, v in now.items()}
-            yield from emit(out)
         if left is not None:
-            yield from emit(list(compare(left)))
+            yield from emit([left])
 
-    def emit(out):
-        if out:
-            a, b = np.unique(np.stack([np.concatenate(x) for x in zip(*out)]), axis=1)
+    def emit(tiles):
+        pairs = [(t["node"][x], t["node"][y]) for t in tiles for x, y in judge(t, percent)]
+        if pairs:
+            a, b = np.unique(np.sort(np.array(pairs, np.int64), axis=1), axis=0).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
+def _in_tiles(rows: DataFrame, group: str, size, tile: int, columns: list[str]) -> DataFrame:
+    """Rows dealt to tiles: blocks of about `tile` rows of a group, by a hash of the node, each with itself and with each other."""
+    return (
+        rows.withColumn("blocks", F.ceil(size / F.lit(tile)).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(F.xxhash64(group, F.least("own", "with"), F.greatest("own", "with")).alias("tile"), F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2).alias("side"), *columns)
+    )
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, frequent: int = 1 << 16, tile: int = 256, filter_bits: int = 1 << 20) -> DataFrame:
     """id_col, n_shingles and component_id, the smallest id that links of Jaccard percent / 100 or more reach."""
     spark = docs.sparkSession
@@ -223,24 +283,22 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sized = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     first = groups.where((F.col("node") != F.col("head.node")) & sized(F.col("n"), F.col("head.n"))).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
-    links = _verified(allowed(first).checkpoint(), texts, shingle, percent, filter_bits).checkpoint()
+    links = _verified(allowed(first).checkpoint(), classes, texts, shingle, percent, filter_bits).checkpoint()
 
     labelled = groups.where("c > 2").select("key", "node", "n", "c").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_rows = labelled.join(split, "key", "left_semi")
-    blocks = F.ceil(F.col("c") / F.lit(tile)).cast("int")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    tiles = (
-        open_rows.withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(other))
-        .select(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("tile"), F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2).alias("side"), "node", "n", "root")
-        .join(bits.select("node", "bits"), "node")
-        .select("tile", "side", "node", "n", "root", "bits")
-    )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = tiles.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_compare_tiles(percent), "a long, b long").distinct().checkpoint()
-    more = _verified(near, texts, shingle, percent, filter_bits)
+    tiles = _in_tiles(labelled.join(split, "key", "left_semi"), "key", F.col("c"), tile, ["node", "n", "root"]).join(bits.select("node", "bits"), "node")
+    columns = ["tile", "side", "node", "n", "root", "bits"]
+    near = tiles.select(columns).repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_by_tile(_near_pairs, percent, columns), "a long, b long")
+    clusters = components(near).withColumnRenamed("root", "cluster").checkpoint()
+    roots = components(links)
+    sets_of = shingles_of(texts, clusters.join(classes.select("node", "first_id"), "node").checkpoint(), shingle, filter_bits)
+    sized_clusters = clusters.groupBy("cluster").agg(F.count("*").alias("c"))
+    members = clusters.join(sized_clusters, "cluster").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = _in_tiles(members, "cluster", F.col("c"), tile, ["node", "root"]).join(bits.select("node", "bits", F.col("size").alias("n")), "node").join(sets_of, "node")
+    columns = ["tile", "side", "node", "n", "root", "bits", "shingles"]
+    more = rows.select(columns).repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_by_tile(_linked_pairs, percent, columns), "a long, b long")
     linked = components(links.unionAll(more))
     ids = classes.select("node", "first_id", "copies").join(linked, "node", "left")
     least = ids.where("root is not null").groupBy("root").agg(F.min("first_id").alias("least"))
