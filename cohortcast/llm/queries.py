@@ -33,6 +33,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", digest(F.col("kept")).alias("kept_sha256"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_text
+
+    pages = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -137,7 +144,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op4_quality_rules, op5_ngram_jaccard, op6_decontaminate, op7_bpe, op8_url_filter, op9_lang_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_html_extract, op4_quality_rules, op5_ngram_jaccard, op6_decontaminate, op7_bpe, op8_url_filter, op9_lang_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
