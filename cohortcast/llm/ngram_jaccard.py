@@ -30,7 +30,27 @@ from pyspark.sql import functions as F
 from .graphs import components, ready
 from .text import U64, Words, batches, mix
 
-BITS = 2048
+LEAST_BITS = 512
+
+
+def signature_bits(n: np.ndarray) -> np.ndarray:
+    """Length of the signature of a set of n: a power of two, at least twice n, so that long texts don't fill it."""
+    return np.maximum(LEAST_BITS, 2 ** np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64))
+
+
+def signatures(size: np.ndarray, doc: np.ndarray, got: np.ndarray) -> list[bytes]:
+    """Each set's signature: a shingle flips the bit that it hashes to. Halves can be laid upon each other (by xor)
+    to get the signature of half the length."""
+    bits = signature_bits(size)
+    end = np.cumsum(bits)
+    at = (end - bits)[doc] + (mix(got ^ U64(0x2545F491)) & (bits[doc] - 1).astype(U64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(end[-1]) if len(end) else 0) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[a // 8 : b // 8] for a, b in zip((end - bits).tolist(), end.tolist())]
+
+
+def _halved(words: np.ndarray) -> np.ndarray:
+    half = words.shape[-1] // 2
+    return words[..., :half] ^ words[..., half:]
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +131,7 @@ def describe(texts: DataFrame, n: int, percent: int, table) -> DataFrame:
                 for chosen in (keep[weight[keep] == 0], keep[weight[keep] > 0]):
                     edge = np.searchsorted(doc[chosen], np.arange(hi - lo + 1))
                     listed.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(got[chosen].view(np.int64))))
-                at = doc * BITS + (mix(got ^ U64(0x2545F491)) % U64(BITS)).astype(np.int64)
-                odd = (np.bincount(at, minlength=(hi - lo) * BITS) & 1).astype(np.uint8).reshape(hi - lo, BITS)
-                bits = np.packbits(odd, axis=1).tobytes()
-                w = BITS // 8
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(node.view(np.int64), mask=size == 0), *listed, pa.array([bits[k * w : (k + 1) * w] for k in range(hi - lo)], pa.binary())], names=["id", "n", "node", "keys", "often", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(node.view(np.int64), mask=size == 0), *listed, pa.array(signatures(size, doc, got), pa.binary())], names=["id", "n", "node", "keys", "often", "bits"])
 
     return texts.mapInArrow(run, "id long, n long, node long, keys array<long>, often array<long>, bits binary")
 
@@ -167,15 +183,44 @@ def _allowed(t: dict, percent: int) -> np.ndarray:
     ok = (root[:, None] != root[None, :]) & (100 * small >= percent * large)
     if side[0]:
         ok &= side[:, None] != side[None, :]
-    i, j = np.nonzero(np.triu(ok))
-    for k in range(0, len(i), 1 << 15):
-        x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-        total = n[x] + n[y]
-        ok[x, y] = ok[y, x] = (100 + percent) * (total - differ) >= 2 * percent * total
+    length = np.fromiter(map(len, bits), np.int64, len(bits))
+    for size in np.unique(length):  # sizes allow lengths that are equal or differ by one halving
+        own, twice = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)
+        words = np.frombuffer(b"".join(bits[own]), U64).reshape(len(own), -1)
+        folded = _halved(np.frombuffer(b"".join(bits[twice]), U64).reshape(len(twice), -1)) if len(twice) else words[:0]
+        both, rows = np.concatenate((words, folded)), np.concatenate((own, twice))
+        i, j = np.nonzero(ok[own][:, rows])
+        keep = (rows[j] > own[i]) | (j >= len(own))
+        i, j = i[keep], j[keep]
+        step = max(1, (1 << 20) // both.shape[1])
+        for k in range(0, len(i), step):
+            x, y = i[k : k + step], j[k : k + step]
+            differ = np.bitwise_count(words[x] ^ both[y]).sum(axis=1, dtype=np.int64)
+            p, q = own[x], rows[y]
+            total = n[p] + n[q]
+            ok[p, q] = ok[q, p] = (100 + percent) * (total - differ) >= 2 * percent * total
+    np.fill_diagonal(ok, False)
     return ok
 
 
+def _allowed_pairs(percent: int):
+    """For mapInArrow over pairs (a, b, n_a, n_b, bits_a, bits_b): those that signatures allow."""
+
+    def run(rows):
+        for batch in rows:
+            differ = np.zeros(len(batch), np.int64)
+            for k, (p, q) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())):
+                x, y = np.frombuffer(p, U64), np.frombuffer(q, U64)
+                if len(x) != len(y):
+                    x, y = (_halved(x), y) if len(x) > len(y) else (x, _halved(y))
+                differ[k] = np.bitwise_count(x ^ y).sum()
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            keep = pa.array((100 + percent) * (total - differ) >= 2 * percent * total)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _forest(ok: np.ndarray):
     """Pairs that connect what the matrix connects: a tree for each part."""
     new = np.ones(len(ok), bool)
@@ -225,7 +270,7 @@ def _by_tile(judge, percent: int, columns: list[str]):
         left = None
         for batch in rows:
             now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns if c not in ("bits", "shingles")}
-            now["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), U64).reshape(len(batch), BITS // 64)
+            now["bits"] = np.fromiter(batch.column("bits").to_pylist(), object, len(batch))
             if "shingles" in columns:
                 now["shingles"] = np.fromiter((s.values.to_numpy() for s in batch.column("shingles")), object, len(batch))
             if left is not None:
@@ -273,13 +318,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bits = classes.select("node", "bits", F.col("n").alias("size"))
 
     def allowed(pairs):
-        """Pairs (a, b) whose sizes and bits allow the Jaccard coefficient."""
+        """Pairs (a, b) whose sizes and signatures allow the Jaccard coefficient."""
         x, y = (bits.select(F.col("node").alias(k), F.col("bits").alias("bits_" + k), F.col("size").alias("n_" + k)) for k in "ab")
-        both = pairs.join(x, "a").join(y, "b")
-        longs = lambda c: [F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long") for k in range(BITS // 64)]
-        differ = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(longs("bits_a"), longs("bits_b"))), F.lit(0))
-        total = F.col("n_a") + F.col("n_b")
-        return both.where((100 + percent) * (total - differ) >= 2 * percent * total).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").mapInArrow(_allowed_pairs(percent), "a long, b long")
 
     sized = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     first = groups.where((F.col("node") != F.col("head.node")) & sized(F.col("n"), F.col("head.n"))).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
