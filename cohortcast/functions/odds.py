@@ -72,11 +72,12 @@ def price_drift(opening: Column, now: Column, tolerance: float = 0.05) -> Column
 
 
 def devig_power(ps: Column, rounds: int = 60) -> Column:
-    """Array of implied prices raised to the power at which they sum to one (found by bisection)."""
+    """Array of implied prices raised to the power at which they sum to one (found by bisection); null unless all lie between 0 and 1."""
     total = lambda k: F.aggregate(ps, F.lit(0.0), lambda a, x: a + F.pow(x, k))
     ends = F.aggregate(
         F.sequence(F.lit(1), F.lit(rounds)),
         F.struct(F.lit(0.05).alias("lo"), F.lit(20.0).alias("hi")),
         lambda s, _: F.when(total((s["lo"] + s["hi"]) / 2) > 1, F.struct(((s["lo"] + s["hi"]) / 2).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).alias("hi"))),
     )
-    return F.get(F.transform(F.array(ends), lambda e: F.transform(ps, lambda x: F.pow(x, (e["lo"] + e["hi"]) / 2))), F.lit(0))
+    scaled = F.get(F.transform(F.array(ends), lambda e: F.transform(ps, lambda x: F.pow(x, (e["lo"] + e["hi"]) / 2))), F.lit(0))
+    return F.when(F.forall(ps, lambda x: (x > 0) & (x < 1)), scaled)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +36,9 @@ def settlements(bets: DataFrame, outcomes: DataFrame, key: str, bet_ts: str, out
 
 def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
     """For foreachBatch: appends rows whose keys the table at path lacks, so that a repeated batch adds nothing."""
-    spark = batch.sparkSession
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
     fresh = batch.dropDuplicates(keys)
-    if there:
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    try:
+        fresh = fresh.join(batch.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
+    except AnalysisException:  # the first batch: nothing is stored yet
+        pass
     fresh.write.mode("append").parquet(path)
