@@ -7,8 +7,8 @@ compared first: each shingle flips the bit that it hashes to, so two signatures
 bits as shingles are in one set only, which bounds the overlap from above; what is left is
 decided by intersecting the sorted shingle arrays. Work in two rounds keeps large groups linear: each
 key's sets are compared with its first set; then, in tiles of about `tile` by `tile` sets, sizes and
-bits of all sets of the key that are not yet in one component are compared, which joins sets to clusters
-of what may be linked; and in tiles of a cluster, shingle arrays of all pairs that sizes and bits allow
+bits of all sets that share keys with that first set, and are not yet in one component, are compared,
+which joins sets to clusters of what may be linked; and in tiles of a cluster, shingle arrays of all pairs that sizes and bits allow
 and that aren't connected yet. Tiles return pairs enough to connect what they connect, so results are
 linear in the rows; no pair is left out.
 
@@ -326,10 +326,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = groups.where((F.col("node") != F.col("head.node")) & sized(F.col("n"), F.col("head.n"))).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
     links = _verified(allowed(first).checkpoint(), classes, texts, shingle, percent, filter_bits).checkpoint()
 
-    labelled = groups.where("c > 2").select("key", "node", "n", "c").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    # all keys with one first set make one group: its pairs hold those of each of these keys
+    hubs = groups.where("c > 2").select(F.col("head.node").alias("hub"), "node", "n").distinct()
+    labelled = hubs.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = labelled.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("hub", "c")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = _in_tiles(labelled.join(split, "key", "left_semi"), "key", F.col("c"), tile, ["node", "n", "root"]).join(bits.select("node", "bits"), "node")
+    tiles = _in_tiles(labelled.join(split, "hub"), "hub", F.col("c"), tile, ["node", "n", "root"]).join(bits.select("node", "bits"), "node")
     columns = ["tile", "side", "node", "n", "root", "bits"]
     near = tiles.select(columns).repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_by_tile(_near_pairs, percent, columns), "a long, b long")
     clusters = components(near).withColumnRenamed("root", "cluster").checkpoint()
