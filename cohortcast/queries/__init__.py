@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["fields", "lookups", "measures", "checks", "bets", "models"]
+_MODULES = ["fields", "lookups", "measures", "checks", "bets", "records", "models"]
 
 
 def _all() -> dict:
