@@ -135,10 +135,10 @@ X06 = with_sql(DATED, "SELECT card, member, round(CASE WHEN n >= 2 THEN 1 - (fin
 def x12_override(spark, d):
     f = field(spark, d)
     parts = [F.when(F.col("member") % k != 0, c) for k, c in ((2, F.col("p")), (3, F.col("m")), (5, F.col("post") / F.col("n")), (7, F.col("price") / 100000), (11, F.col("qty") / 50))]
-    return f.select("card", "member", F.round(features.weighted_known(parts, features.OVERRIDE_WEIGHTS), 4).alias("composite"))
+    return f.select("card", "member", F.round(features.weighted_known(parts, features.OVERRIDE_WEIGHTS), 12).alias("composite"))
 
 
-X12 = with_sql(FIELD, ", v AS (SELECT card, member, [CASE WHEN member % 2 <> 0 THEN p END, CASE WHEN member % 3 <> 0 THEN m END, CASE WHEN member % 5 <> 0 THEN post / n END, CASE WHEN member % 7 <> 0 THEN price / 100000 END, CASE WHEN member % 11 <> 0 THEN qty / 50 END] AS x FROM field), w AS (SELECT *, [0.35, 0.2, 0.2, 0.15, 0.1]::DOUBLE[] AS k FROM v), s AS (SELECT card, member, list_sum([CASE WHEN x[i] IS NOT NULL THEN k[i] END FOR i IN [1, 2, 3, 4, 5]]) AS t, list_sum([x[i] * k[i] FOR i IN [1, 2, 3, 4, 5]]) AS y FROM w) SELECT card, member, round(y / t, 4) AS composite FROM s").replace("\n, v AS", ",\nv AS", 1)
+X12 = with_sql(FIELD, ", v AS (SELECT card, member, [CASE WHEN member % 2 <> 0 THEN p END, CASE WHEN member % 3 <> 0 THEN m END, CASE WHEN member % 5 <> 0 THEN post / n END, CASE WHEN member % 7 <> 0 THEN price / 100000 END, CASE WHEN member % 11 <> 0 THEN qty / 50 END] AS x FROM field), w AS (SELECT *, [0.35, 0.2, 0.2, 0.15, 0.1]::DOUBLE[] AS k FROM v), s AS (SELECT card, member, list_sum([CASE WHEN x[i] IS NOT NULL THEN k[i] END FOR i IN [1, 2, 3, 4, 5]]) AS t, list_sum([x[i] * k[i] FOR i IN [1, 2, 3, 4, 5]]) AS y FROM w) SELECT card, member, round(y / t, 12) AS composite FROM s").replace("\n, v AS", ",\nv AS", 1)
 
 
 def p17_review(spark, d):
