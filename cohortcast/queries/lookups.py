@@ -100,6 +100,13 @@ def j20_best_match(spark, d):
     return joins.best_match(a, n, "n_regionkey", "typed", "n_name", "n_nationkey").select("n_regionkey", "typed", "match_id", "match_type", r("match_score"))
 
 
+J20 = """WITH a AS (SELECT n_regionkey, replace(lower(n_name), 'a', 'e') AS typed, regexp_replace(upper(replace(lower(n_name), 'a', 'e')), '[^A-Z0-9]', '', 'g') AS k FROM nation), b AS (SELECT n_regionkey, n_nationkey AS id, regexp_replace(upper(n_name), '[^A-Z0-9]', '', 'g') AS k FROM nation),
+x AS (SELECT a.*, e.id AS eid FROM a LEFT JOIN (SELECT n_regionkey, k, min(id) AS id FROM b GROUP BY 1, 2 HAVING count(*) = 1) e ON e.n_regionkey = a.n_regionkey AND e.k = a.k),
+s AS (SELECT x.n_regionkey, x.k, b.id, 1 - levenshtein(x.k, b.k) / greatest(length(x.k), length(b.k)) AS sim FROM x JOIN b ON b.n_regionkey = x.n_regionkey WHERE x.eid IS NULL),
+t AS (SELECT n_regionkey, k, min(id) AS fid, count(DISTINCT id) AS c, max(sim) AS sim FROM (SELECT *, max(sim) OVER (PARTITION BY n_regionkey, k) AS best FROM s WHERE sim >= 0.72) WHERE sim = best GROUP BY 1, 2)
+SELECT x.n_regionkey, typed, CASE WHEN eid IS NOT NULL THEN eid WHEN c = 1 THEN fid END AS match_id, CASE WHEN eid IS NOT NULL THEN 'exact' WHEN c = 1 THEN 'fuzzy' WHEN c > 1 THEN 'ambiguous' ELSE 'none' END AS match_type, round(CASE WHEN eid IS NOT NULL THEN 1 ELSE sim END, 6) AS match_score FROM x LEFT JOIN t ON t.n_regionkey = x.n_regionkey AND t.k = x.k"""
+
+
 def j23_ladder(spark, d):
     s = table(spark, d, "supplier")
     names = s.select("s_suppkey", F.concat(F.lower("s_name"), F.lit(" (usa)")).alias("name"))
@@ -217,7 +224,7 @@ QUERIES = {
     "j14_near_value": (j14_near_value, "SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_brand FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(a.p_retailprice - b.p_retailprice) <= 5 WHERE a.p_partkey % 10 = 0"),
     "j15_cohort": (j15_cohort, J15),
     "j17_reconcile": (j17_reconcile, J17),
-    "j20_best_match": (j20_best_match, None),
+    "j20_best_match": (j20_best_match, J20),
     "j23_ladder": (j23_ladder, "SELECT s_suppkey, s_suppkey AS code, 'LEVEL_1' AS resolution FROM supplier"),
     "j24_gap_fill": (j24_gap_fill, J24),
     "u01_union": (u01_union, "SELECT c_name AS name, c_acctbal AS balance, NULL::BIGINT AS nation FROM customer UNION ALL SELECT s_name, NULL, s_nationkey FROM supplier"),
