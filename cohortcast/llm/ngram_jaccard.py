@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graphs import components, ready
+from .graphs import components, most_frequent, ready
 from .text import U64, Words, batches, mix
 
 LEAST_BITS = 512
@@ -95,7 +95,7 @@ def frequent_shingles(texts: DataFrame, n: int, frequent: int, per_task: int = 4
         yield pa.RecordBatch.from_arrays([pa.array(keys[best].view(np.int64)), pa.array(counts[best])], names=["key", "c"])
 
     found = texts.mapInArrow(top, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    rows = found.orderBy(F.desc("c"), "key").limit(frequent).toPandas()  # at most `frequent` rows
+    rows = most_frequent(found, "c", frequent).toPandas()  # at most `frequent` rows
     keys, counts = rows["key"].to_numpy(np.int64).view(U64), rows["c"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], counts[order]

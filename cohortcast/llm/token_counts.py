@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graphs import most_frequent
 from .pretokens import PreTokens, split_special
 from .text import U64, batches
 
@@ -94,10 +95,10 @@ def frequent_lengths(docs: DataFrame, spec, text_col: str, table_size: int, per_
         yield pa.RecordBatch.from_arrays([pa.array(keys[best].view(np.int64)), pa.array(counts[best]), pa.array(sizes[best])], names=["key", "n", "size"])
 
     found = docs.select(text_col).mapInArrow(top, "key long, n long, size long").groupBy("key").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
-    rows = found.orderBy(F.desc("n"), "key").limit(table_size).toPandas()  # at most table_size rows
+    rows = most_frequent(found, "n", table_size).toPandas()  # at most table_size rows
     slots = 1 << (2 * max(table_size, 2) - 1).bit_length()
     keys, sizes = np.zeros(slots, U64), np.zeros(slots, np.uint16)
-    rows = rows[rows["size"] < 65536][::-1]  # the more frequent overwrite the others
+    rows = rows[rows["size"] < 65536].sort_values("n")  # the more frequent overwrite the others
     k = rows["key"].to_numpy(np.int64).view(U64)
     at = (k & U64(slots - 1)).astype(np.int64)
     keys[at], sizes[at] = k, rows["size"].to_numpy(np.uint16)
