@@ -54,23 +54,29 @@ HINT = rf"[@\d]|(?:{_TITLE})\.? \p{{Lu}}"
 
 def kind_of(e: Column) -> Column:
     """The type of a found entity, by its shape."""
-    return (
-        F.when(F.contains(e, F.lit("@")), "email")
-        .when(e.rlike(r"^[0-9A-Fa-f]{32,64}$"), "secret")
-        .when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
-        .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban")
-        .when(e.rlike(r"^[+(]|^\d{3}[\-.]\d{3}[\-.]\d{4}$"), "phone")
-        .when(e.rlike(r"^\d"), "card")
-        .otherwise("name")
+    return let(
+        e,
+        lambda x: F.when(F.contains(x, F.lit("@")), "email")
+        .when(x.rlike(r"^[0-9A-Fa-f]{32,64}$"), "secret")
+        .when(x.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
+        .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(x.rlike(r"^[A-Z]{2}\d{2}"), "iban")
+        .when(x.rlike(r"^[+(]|^\d{3}[\-.]\d{3}[\-.]\d{4}$"), "phone")
+        .when(x.rlike(r"^\d"), "card")
+        .otherwise("name"),
     )
 
 
 def canonical(e: Column, gender: Column) -> Column:
-    """What equal entities share: the type (of names, the gender too), and letters lower-cased, or of numbers the digits."""
-    kind = kind_of(e)
-    form = F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(e, r"\D", "")).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(F.lower(e))
-    return F.concat(kind, F.when(kind == "name", gender).otherwise(""), F.lit(":"), form)
+    """What equal entities share: the type (of names, the gender too), and letters lower-cased, or of numbers the digits.
+    e is bound once here and in kind_of: it may itself be a long expression."""
+
+    def form(v):
+        e, kind = v["e"], v["kind"]
+        bare = F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(e, r"\D", "")).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(F.lower(e))
+        return F.concat(kind, F.when(kind == "name", v["gender"]).otherwise(""), F.lit(":"), bare)
+
+    return let(F.struct(e.alias("e"), gender.alias("gender")), lambda v: let(F.struct(v["e"].alias("e"), v["gender"].alias("gender"), kind_of(v["e"]).alias("kind")), form))
 
 
 def _draw(stream: Column, place: Column, below: int) -> Column:
@@ -79,7 +85,7 @@ def _draw(stream: Column, place: Column, below: int) -> Column:
 
 
 def _syllables(stream: Column, first: int, n: int, script: str) -> Column:
-    known = F.array(*map(F.lit, SYLLABLES[script]))
+    known = F.split(F.lit(",".join(SYLLABLES[script])), ",")  # folded into one constant
     return F.array_join(F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), lambda i: F.get(known, _draw(stream, i, len(SYLLABLES[script])))), "")
 
 
@@ -95,7 +101,7 @@ def surrogate(e: Column, gender: Column, attempt: Column, key: str) -> Column:
     def spell(v):
         e, kind, stream = v["e"], v["kind"], v["stream"]
         shout = F.upper(e) == e
-        as_written = lambda s: F.when(shout, F.upper(s)).otherwise(s)
+        as_written = lambda s: let(s, lambda x: F.when(shout, F.upper(x)).otherwise(x))
         mail = F.concat(_syllables(stream, 0, 4, "latin"), F.lit("."), F.lpad(_draw(stream, F.lit(9), 1000).cast("string"), 3, "0"), F.lit("@"), _syllables(stream, 4, 2, "latin"), F.lit(".invalid"))
         secret = F.substring(F.sha2(F.concat(stream, F.lit("+")), 256), 1, 64).substr(F.lit(1), F.length(e))
         octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(stream, i, 254) + 1).cast("string")), ".")
@@ -103,7 +109,7 @@ def surrogate(e: Column, gender: Column, attempt: Column, key: str) -> Column:
         def person(script: str):
             end = F.when(v["gender"] == "m", ENDINGS[script]["m"]).when(v["gender"] == "f", ENDINGS[script]["f"]).otherwise(ENDINGS[script]["n"])
             given = F.concat(F.initcap(_syllables(stream, 0, 3, script)), end)
-            return F.when(F.contains(e, F.lit(" ")), F.concat(given, F.lit(" "), F.initcap(_syllables(stream, 3, 3, script)))).otherwise(given)
+            return let(given, lambda g: F.when(F.contains(e, F.lit(" ")), F.concat(g, F.lit(" "), F.initcap(_syllables(stream, 3, 3, script)))).otherwise(g))
 
         names = F.when(e.rlike(r"\p{IsCyrillic}"), person("cyrillic")).when(e.rlike(r"\p{IsGreek}"), person("greek")).otherwise(person("latin"))
         return (
