@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id, of repeated rows one."""
-    others = similar_texts(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    """Of each group of near duplicates (Jaccard 0.8 or more on 5-word shingles) the document of the smallest id, of repeated rows one."""
+    others = similar_texts(docs, shingle=5, percent=80).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
