@@ -157,21 +157,49 @@ def worst_status(df: DataFrame, by: list[str], status: str, order: list[str]) ->
     return df.groupBy(*by).agg(F.min_by(status, place).alias("worst"))
 
 
+def _temperatures(grid: list[float], least_js: float, default: float):
+    """For mapInArrow: (group, array of (x, q)) to (group, scale, mse); a batch's groups are tried together, one scale at a time."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            size = np.diff(b.column(1).offsets.to_numpy())
+            flat = b.column(1).flatten()
+            x, q = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            some = size > 0
+            n = size[some]
+            at = np.cumsum(n) - n
+            scale, mse = np.full(len(n), default), np.full(len(n), np.inf)
+            if len(n):
+                total = lambda v: np.add.reduceat(v, at)
+                each = lambda v: np.repeat(v, n)
+                clipped = lambda v: (c := np.maximum(v, 1e-12)) / each(total(c))
+                x, r = x - each(np.maximum.reduceat(x, at)), clipped(q)
+                for t in grid:
+                    e = np.exp(x * t)
+                    p = e / each(total(e))
+                    c = clipped(p)
+                    js = total(c * np.log(2 * c / (c + r)) + r * np.log(2 * r / (c + r))) / 2
+                    now = total((p - q) ** 2) / n
+                    better = (js >= least_js) & (now < mse)
+                    scale[better], mse[better] = t, now[better]
+            scales, errors = np.full(len(size), default), np.full(len(size), np.inf)
+            scales[some], errors[some] = scale, mse
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scales), pa.array(errors, mask=~np.isfinite(errors))], ["group", "scale", "mse"])
+
+    return run
+
+
 def grid_temperature(df: DataFrame, group: str, x: str, target: str, grid: list[float], least_js: float = 0.001, default: float = 1.0) -> DataFrame:
-    """A row for each group: the softmax scale of the grid with the least squared error to target probabilities; a scale too close to uniform doesn't count.
+    """A row for each group: the softmax scale of the grid with the least squared error to target probabilities, the first of equal ones.
 
-    The grid multiplies rows map-side; a group's sums over the grid are taken in one shuffle by the group.
+    A scale whose chances lie within `least_js` (Jensen-Shannon divergence) of the target doesn't count; the default where none does.
+    Members without x or target take no part. A group's members are gathered once, in an array, which the grid then
+    goes over: fields are small (a card), and neither rows nor shuffles grow with the grid.
     """
-    from cohortcast.operators.joins import with_grid
-    from cohortcast.operators.windows import softmax
-
-    w = Window.partitionBy(group)
-    base = df.withColumn("_x", F.col(x) - F.max(x).over(w)).withColumn("_n", F.count("*").over(w))
-    wide = with_grid(base, grid, "scale").withColumn("_g", F.struct(group, "scale"))
-    p = softmax(wide, "_g", "_x", F.col("scale"), "_p")
-    u = 1.0 / F.col("_n")
-    m = (F.col("_p") + u) / 2
-    js = F.sum(F.col("_p") * F.log(F.greatest(F.col("_p"), F.lit(1e-300)) / m)) / 2 + F.sum(u * F.log(u / m)) / 2
-    per = p.groupBy(group, "scale").agg(F.avg(F.pow(F.col("_p") - F.col(target), 2)).alias("mse"), js.alias("js"))
-    best = per.where(F.col("js") >= least_js).groupBy(group).agg(F.min_by("scale", F.struct("mse", "scale")).alias("scale"), F.min("mse").alias("mse"))
-    return df.select(group).distinct().join(best, group, "left").withColumn("scale", F.coalesce("scale", F.lit(default)))
+    members = F.when(F.col(x).isNotNull() & F.col(target).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(target).cast("double").alias("q")))
+    field = df.groupBy(F.col(group).alias("group")).agg(F.array_sort(F.collect_list(members)).alias("f"))
+    out = field.mapInArrow(_temperatures([float(t) for t in grid], least_js, float(default)), f"group {field.schema['group'].dataType.simpleString()}, scale double, mse double")
+    return out.withColumnRenamed("group", group)

@@ -113,9 +113,8 @@ A33K = with_sql(FIELD, ", f AS (SELECT card, member, round(p, 12) AS x, round(m,
 
 
 def a35_grid(spark, d):
-    grid = [0.25 + 0.25 * k for k in range(16)]
-    f = field(spark, d).where("card % 5 = 0")
-    return agg.grid_temperature(f, "card", "p", "m", grid).select("card", "scale", r("mse", 5))
+    grid = [0.25 + 3.75 * k / 199 for k in range(200)]
+    return agg.grid_temperature(field(spark, d), "card", "p", "m", grid).select("card", r("scale", 2), r("mse", 5))
 
 
 def a37_worst_status(spark, d):

@@ -130,3 +130,40 @@ def test_sections_and_inventory(spark, tmp_path):
     (tmp_path / "CD_R7_2026-05-02.txt").write_text("x")
     row = readers.inventory(spark, [str(tmp_path)]).first()
     assert (row.track, row.race_number, str(row.race_date), row.size) == ("CD", 7, "2026-05-02", 1)
+
+
+def test_grid_temperature_equals_the_reference_rule(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    grid = [0.25 + 3.75 * k / 199 for k in range(200)]
+    cards = {k: (rng.standard_normal(n), rng.dirichlet(np.ones(n))) for k, n in enumerate([2, 3, 5, 8, 12, 20])}
+    near = rng.dirichlet(np.ones(6))
+    cards |= {10: (np.log(near), near), 11: (np.zeros(4), np.full(4, 0.25)), 12: (np.zeros(1), np.ones(1)), 13: (np.zeros(4), np.array([0.7, 0.1, 0.1, 0.1]))}
+
+    def js(p, q):
+        p, q = (np.clip(v, 1e-12, None) / np.clip(v, 1e-12, None).sum() for v in (p, q))
+        return 0.5 * np.sum(p * np.log(2 * p / (p + q))) + 0.5 * np.sum(q * np.log(2 * q / (p + q)))
+
+    want = {}
+    for k, (x, q) in cards.items():
+        want[k] = (1.0, None)
+        for t in grid:
+            p = np.exp((x - x.max()) * t)
+            p /= p.sum()
+            if js(p, q) >= 0.001 and (want[k][1] is None or np.mean((p - q) ** 2) < want[k][1] - 1e-15):
+                want[k] = (t, np.mean((p - q) ** 2))
+    assert want[11] == want[12] == (1.0, None) and want[13][0] == 0.25 and want[10][0] not in (1.0, 0.25, 4.0)
+    rows = [(k, i, float(a), float(b)) for k, (x, q) in cards.items() for i, (a, b) in enumerate(zip(x, q))]
+    df = spark.createDataFrame([*rows, (14, 0, None, 1.0)], "card int, member int, x double, q double")
+    got = {r.card: (r.scale, r.mse) for r in aggregates.grid_temperature(df, "card", "x", "q", grid).collect()}
+    assert got.pop(14) == (1.0, None) and set(got) == set(want)
+    for k in want:
+        assert got[k][0] == pytest.approx(want[k][0]) and got[k][1] == (want[k][1] and pytest.approx(want[k][1])), k
+
+
+def test_every_card_has_a_temperature(spark, sf_dir):
+    from cohortcast.queries.measures import a35_grid
+
+    cards = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert a35_grid(spark, sf_dir).count() == cards
