@@ -5,8 +5,9 @@ pair is looked up by binary search among the sorted pair keys; the lowest rank o
 and its pairs are merged, leftmost first. Words are encoded once per Python worker (bounded cache), so
 a text costs its splitting and a gather.
 
-Null is an empty text: no ids, and decoded as an empty text. Empty tables, repeated rows and ids and
-other columns pass through. Ids that the vocabulary lacks decode to nothing.
+Null is an empty text: no ids, and decoded as an empty text. Repeated rows and ids are coded one by one;
+empty tables give empty results; other columns pass through, and one that has the name of a result is
+replaced by it. Ids that the vocabulary lacks decode to nothing.
 """
 
 from __future__ import annotations
@@ -178,7 +179,10 @@ def _joined(tokens: pa.Array, ids: pa.Array, first: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """Adds ids_col, the token ids of text_col, and if asked decoded_col, what those ids decode to.
     vocabulary: path of a tokenizers .json file on the driver."""
-    spec, at = _broadcast(docs, vocabulary), docs.columns.index(text_col)
+    spec = _broadcast(docs, vocabulary)
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
+    own = [k for k, c in enumerate(docs.columns) if c not in {f.name for f in added}]
+    at = docs.columns.index(text_col)
 
     def run(rows):
         codec = _codec(spec.value)
@@ -189,20 +193,22 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
                 part = batch.slice(lo, hi - lo)
                 flat, first = codec.encode(part.column(at).to_pylist())
                 ids = pa.array(flat.astype(np.int32))
-                out = [*part.columns, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), ids)]
+                out = [*(part.column(k) for k in own), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), ids)]
                 if decoded_col:
                     out.append(_joined(tokens, ids, first))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
-    names = [*docs.columns, *(f.name for f in added)]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    kept = [docs.schema.fields[k] for k in own]
+    names = [f.name for f in (*kept, *added)]
+    return docs.mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds out_col, the tokens of ids_col joined by a space, as a vocabulary without a decoder has it."""
     spec, at = _broadcast(docs, vocabulary), docs.columns.index(ids_col)
-    names = [*docs.columns, out_col]
+    own = [k for k, c in enumerate(docs.columns) if c != out_col]
+    kept = [docs.schema.fields[k] for k in own]
+    names = [*(f.name for f in kept), out_col]
 
     def run(rows):
         tokens = pa.array([*_codec(spec.value).tokens, ""])
@@ -211,6 +217,6 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str
                 part = batch.slice(lo, 200)
                 col = part.column(at)
                 first = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))))
-                yield pa.RecordBatch.from_arrays([*part.columns, _joined(tokens, col.flatten(), first)], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in own), _joined(tokens, col.flatten(), first)], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType())]))
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(out_col, T.StringType())]))

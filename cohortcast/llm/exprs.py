@@ -26,5 +26,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_key(*cols) -> Column:
-    """A 64-bit hash that tells rows apart by value; rows equal in all columns share it, and its results."""
-    return F.xxhash64(*cols)
+    """128 bits of hashes that tell rows apart by value; rows equal in these columns share them, and their results."""
+    return F.struct(F.xxhash64(F.lit(1), *cols).alias("a"), F.xxhash64(F.lit(2), *cols).alias("b"))
+
+
+def packed(columns: list[str]) -> Column:
+    """The columns as one struct, so that no name of theirs can clash with an operator's own; `unpacked` takes them out."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
+
+
+def unpacked(struct: str, columns: list[str]) -> list[Column]:
+    return [F.col(struct).getField(c).alias(c) for c in columns]

@@ -7,7 +7,7 @@ second pass looks pre-tokens up there; misses go through a cache in each Python
 to the tokenizer itself. No pre-token of the corpus is shuffled, and the table changes speed only.
 
 Null is an empty text with no tokens. Repeated rows and ids are counted one by one; an empty table
-gives an empty result; other columns are kept.
+gives an empty result; other columns are kept, and one that has the name of the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -112,6 +112,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", out_c
         spec = spark.sparkContext.broadcast(f.read())
     table = spark.sparkContext.broadcast(frequent_lengths(docs, spec, text_col, table_size, per_task))
     at = docs.columns.index(text_col)
+    own = [k for k, c in enumerate(docs.columns) if c != out_col]
+    kept = [docs.schema.fields[k] for k in own]
+    titles = [*(f.name for f in kept), out_col]
 
     def count(rows):
         lengths, (keys, sizes) = _lengths(spec.value), table.value
@@ -130,7 +133,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", out_c
                 if special:
                     total += np.bincount(owner[[p for p, _ in special]], minlength=len(texts))
                 out.append(total)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0, np.int64))], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in own), pa.array(np.concatenate(out) if out else np.empty(0, np.int64))], names=titles)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())])
+    schema = T.StructType([*kept, T.StructField(out_col, T.LongType())])
     return docs.mapInArrow(count, schema)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exprs import ascii_lower, let
+from .exprs import ascii_lower, let, packed, unpacked
 from .graphs import ready
 
 #: The default block list; a domain stands for its subdomains as well.
@@ -105,7 +105,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], blocked: DataFram
     spark = pages.sparkSession
     made = ["host", "path", "rule", "verdict"]
     others = [c for c in pages.columns if c not in made]
-    judged = pages.withColumns({"_host": host_of(F.col(url_col)), "_path": path_of(F.col(url_col))}).select(*others, F.col("_host").alias("host"), F.col("_path").alias("path"))
+    judged = pages.select(packed(others).alias("_pages"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     blocked = BLOCKED_DOMAINS if blocked is None else blocked
     listed = blocked if isinstance(blocked, DataFrame) else spark.createDataFrame([(b,) for b in blocked], "key string")
     listed = listed.toDF("key").select(ascii_lower(F.col("key")).alias("key")).distinct()
@@ -121,4 +121,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], blocked: DataFram
     for rule, verdict in verdicts.items():
         by_rule = F.when(F.col("rule") == rule, verdict).otherwise(by_rule)
     judged = judged.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    return judged.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("_bad"), "block").otherwise("allow"))).select(*others, *made)
+    return judged.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("_bad"), "block").otherwise("allow"))).select(*unpacked("_pages", others), *made)

@@ -33,8 +33,14 @@ def corpus():
 @pytest.fixture(scope="session")
 def docs(spark, corpus):
     """The corpus with columns whose names the operators use inside."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, node string, bucket string, key string, n string, _row string, `at` string, w string, kept string, score string"
-    return spark.createDataFrame([(*r, *["clash"] * 10) for r in corpus], schema)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, node string, bucket string, key string, n string, _row string, `at` string, w string, kept string, score string, n_lines string, m_0 string, x_words string, own string, docs string, _docs string, _done string, _again string, again string, ids string, n_tokens string, row string, hub string"
+    return spark.createDataFrame([(*r, *["clash"] * 23) for r in corpus], schema)
+
+
+def kept_columns(got, names, replaced=()):
+    """Whether all rows still have the clashing columns, with their values."""
+    mine = [c for c in names[5:] if c not in replaced]
+    return all(r[c] == "clash" for r in got for c in mine)
 
 
 @pytest.fixture(scope="session")

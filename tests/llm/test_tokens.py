@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from cohortcast.llm.bpe import decode, encode
 from cohortcast.llm.token_counts import count_tokens
 
+from .conftest import kept_columns
+
 ODD = ["<|endoftext|>a<|startoftext|>'s", "'s 's''s 'll're x's DON'T", "  \n", "!" * 3000 + "a" * 2000, "ΣΣς İ ﬁ é 가", "\x1c\x85　x", "🙂👩‍🚀 ½² 12345"]
 
 
@@ -17,7 +19,7 @@ def texts(spark, corpus):
     rnd = random.Random(3)
     alphabet = list("abAB'’sStdLl 19½²²é́中文!?.\n\t\x1c\xa0🙂<|>Σ")
     made = [t for _, t, *_ in corpus] + ODD + ["".join(rnd.choices(alphabet, k=rnd.randint(0, 50))) for _ in range(400)]
-    return made, spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumnRenamed("ids", "other")
+    return made, spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit("clash"))
 
 
 def library(name):
@@ -47,6 +49,16 @@ def test_counts(texts, table_size):
     assert got == {k: len(e.ids) for k, e in enumerate(t.encode_batch([x or "" for x in made], add_special_tokens=False))}
 
 
+def test_clashing_columns_are_replaced_and_others_stay(docs, corpus):
+    path, own = public_tokenizers.path("word_bpe_49k.json"), docs.columns
+    got = encode(docs, path).collect()
+    assert kept_columns(got, own, {"ids"}) and all(isinstance(r.ids, list) for r in got)
+    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert kept_columns(counted, own, {"n_tokens"}) and all(isinstance(r.n_tokens, int) for r in counted)
+    decoded = decode(encode(docs, path), path, out_col="row").collect()
+    assert kept_columns(decoded, own, {"ids", "row"}) and len(decoded) == len(corpus)
+
+
 def test_empty(empty):
     assert encode(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert count_tokens(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
