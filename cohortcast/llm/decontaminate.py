@@ -6,8 +6,9 @@ first, middle and last words; each place of each text probes that set by a broad
 is shuffled; a hit is verified by comparing all its words. The set's size is checked: beyond
 `max_windows` it is dealt to blocks, and all texts are scanned for each block in turn.
 
-Hits are few rows of numbers, grouped by a hash of the row. Null texts and items have no words. Equal
-rows get equal results, one for each row. Empty tables give empty results, an empty benchmark no hits.
+Hits are few rows of numbers, grouped by 128 bits of hashes of the row. Null texts and items have no words.
+Equal rows get equal results, one for each row. Empty tables give empty results, an empty benchmark no hits.
+Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exprs import ascii_lower, let, row_key
+from .exprs import ascii_lower, let, packed, row_key, unpacked
 from .graphs import ready
 
 #: The characters that part words.
@@ -54,16 +55,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: st
     texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("_row"), normal_words(F.col(text_col)).alias("w"))
     sizes = sorted(r["size"] for r in facts)
 
-    def places(size: int) -> DataFrame:
-        at = F.explode(F.sequence(F.lit(0), F.size("w") - size))
-        return texts.where(F.size("w") >= size).select("_row", "w", at.alias("p")).select("_row", "w", "p", _key(F.col("w"), F.col("p"), size).alias("key"))
+    def places() -> DataFrame:
+        """Each place of each text with the keys of all lengths that windows have, in one scan."""
+        at = texts.where(F.size("w") >= sizes[0]).select("_row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - sizes[0])).alias("p"))
+        if len(sizes) == 1:
+            return at.select("_row", "w", "p", F.lit(sizes[0]).alias("size"), _key(F.col("w"), F.col("p"), sizes[0]).alias("key"))
+        keys = F.array(*[F.struct(F.lit(n).alias("size"), _key(F.col("w"), F.col("p"), n).alias("key")) for n in sizes])
+        return at.select("_row", "w", "p", F.explode(keys).alias("k")).select("_row", "w", "p", "k.*").where(F.col("p") + F.col("size") <= F.size("w"))
 
     found = []
     for block in range(blocks):
-        for size in sizes:
-            part = windows.where((F.col("size") == size) & (F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)).select("key", "gram", "items")
-            hits = places(size).join(F.broadcast(part), "key").where(F.slice("w", F.col("p") + 1, size) == F.col("gram"))
-            found.append(hits.select("_row", "p", (F.col("p") + size).alias("to"), "items"))
+        part = windows.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("key", "gram", "items")
+        hits = places().join(F.broadcast(part), "key").where(F.slice("w", F.col("p") + 1, F.col("size")) == F.col("gram"))
+        found.append(hits.select("_row", "p", (F.col("p") + F.col("size")).alias("to"), "items"))
     base = texts.select("id", "_row", F.size("w").cast("long").alias("n_words"))
     if not found:
         return base.selectExpr("id", "_row", "n_words", "0L AS n_hit", "cast(array() AS array<string>) AS items", "cast(array() AS array<struct<from:int,to:int>>) AS spans", "false AS contaminated")
@@ -84,13 +88,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: st
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit words cut out of their texts."""
     found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    keyed = docs.withColumn("_row", row_key(id_col, text_col))
+    keyed = docs.select(packed(docs.columns).alias("_docs"), row_key(id_col, text_col).alias("_row"))
     if remove == "documents":
-        return keyed.join(found.where("contaminated").select("_row").distinct(), "_row", "left_anti").select(*docs.columns)
+        return keyed.join(found.where("contaminated").select("_row").distinct(), "_row", "left_anti").select(*unpacked("_docs", docs.columns))
     spans = found.where("contaminated").select("_row", F.col("spans").alias("_spans")).dropDuplicates(["_row"])
     # words and the gaps around them: gap 0, word 0, gap 1, word 1, ..., taken from the text by their lengths
     inside = lambda i: F.exists("_spans", lambda s: (i >= s["from"]) & (i < s["to"]))
-    word = F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
-    gap = F.split(F.col(text_col), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    text = F.col("_docs").getField(text_col)
+    word = F.regexp_extract_all(text, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
+    gap = F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     cut = let(F.struct(word.alias("w"), gap.alias("g")), lambda v: F.array_join(F.transform(v["g"], lambda g, i: F.when(i == 0, g).when(inside(i - 1), F.lit("")).otherwise(F.concat(F.get(v["w"], i - 1), g))), ""))
-    return keyed.join(spans, "_row", "left").withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    done = F.when(F.col("_spans").isNull(), text).otherwise(cut).alias(text_col)
+    return keyed.join(spans, "_row", "left").select(*[done if c == text_col else x for c, x in zip(docs.columns, unpacked("_docs", docs.columns))])
