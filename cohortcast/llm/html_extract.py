@@ -10,9 +10,10 @@ headers, sidebars, notices, adverts, forms, footers and comments, in many markup
 on the driver, with fixed bounds, and its weights are broadcast; pages are labelled map-side.
 
 Null, empty and blank pages have an empty text. Broken and cut-off markup is read as far as it goes: an
-open comment, script or tag runs to the end. Very long pages go through in windows of `WINDOW` blocks
-with `MARGIN` blocks of context at each side; no block is dropped. Repeated rows are read alike; an empty
-table gives an empty result.
+open comment, script or tag runs to the end; a head without an end tag ends where something stands that can't
+be in a head. Long pages are read in chunks of `CHUNK` blocks, from the front and from the back, and each chunk
+goes on with the state in which the last one ended, so that every label has the whole page as its context and
+memory stays bounded. Repeated rows are read alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,37 +37,97 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Elements that an open one of the same kind ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 ENDS_P = BLOCK_TAGS - {"br", "button", "html", "body", "option", "optgroup", "select", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "title", "textarea", "summary"}
+#: Elements that can stand in a head; any other ends a head that is still open.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 SCOPE = frozenset("article aside blockquote body div footer form header main nav ol section table td th ul".split())
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|=)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']\S*))", re.I)
 _SPACE = re.compile(r"\s+")
 _CUT = re.compile(r"[^a-z0-9]+")
 
 
-def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...]]]:
-    """(text, path) of each block with text, in page order; the path has a word for each open tag and marked attribute."""
-    out: list[tuple[str, tuple[str, ...]]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class _Open:
+    """The open elements of a page, with the vector of the path that they make: tags and marked attributes, each distinct word once.
+
+    An element that adds no word has its parent's vector, so that paths of any depth take little room. Where each
+    name is open, and the nearest element that bounds implied ends, is kept, so that a tag costs no walk.
+    """
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.words: list[tuple[str, ...]] = []
+        self.vectors = [np.zeros(TAGS, np.float32)]
+        self.scope: list[int] = []
+        self.at: dict[str, list[int]] = {}
+        self.count: dict[str, int] = {}
+        self.silent = 0
+
+    def last(self, name: str) -> int:
+        places = self.at.get(name)
+        return places[-1] if places else -1
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        new = [w for w in dict.fromkeys(words) if not self.count.get(w)]
+        vector = self.vectors[-1]
+        if new:
+            vector = vector.copy()
+            for w in new:
+                slot, sign = _slot(w, TAGS)
+                vector[slot] += sign
+        for w in words:
+            self.count[w] = self.count.get(w, 0) + 1
+        k = len(self.names)
+        self.scope.append(k if name in SCOPE else self.scope[-1] if k else -1)
+        self.names.append(name)
+        self.words.append(words)
+        self.vectors.append(vector)
+        self.at.setdefault(name, []).append(k)
+        self.silent += name in SILENT
+
+    def pop(self, k: int) -> None:
+        """Ends element k and all that are open in it."""
+        while len(self.names) > k:
+            name = self.names.pop()
+            self.at[name].pop()
+            for w in self.words.pop():
+                self.count[w] -= 1
+            self.vectors.pop()
+            self.scope.pop()
+            self.silent -= name in SILENT
+
+    def implied_ends(self, name: str) -> None:
+        """Ends what an element of this name ends before it begins."""
+        if name not in IN_HEAD and name != "head" and (head := self.last("head")) >= 0:
+            self.pop(head)
+        if name in BLOCK_TAGS and (svg := self.last("svg")) > self.last("foreignobject"):
+            self.pop(svg)
+        ended = max((self.last(c) for c in CLOSES.get(name, ())), default=-1)
+        if name in ENDS_P:
+            ended = max(ended, self.last("p"))
+        if ended >= 0 and ended >= self.scope[-1]:
+            self.pop(ended)
+
+
+def leaf_blocks(page: str | None) -> list[tuple[str, np.ndarray]]:
+    """(text, vector of the path) of each block with text, in page order."""
+    out: list[tuple[str, np.ndarray]] = []
+    stack = _Open()
     parts: list[str] = []
-    silent = 0
 
     def flush():
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             parts.clear()
             if text:
-                out.append((text, tuple(w for _, ws in stack for w in ws)))
-
-    def pop(k: int):
-        nonlocal silent
-        for name, _ in stack[k:]:
-            silent -= name in SILENT
-        del stack[k:]
+                out.append((text, stack.vectors[-1]))
 
     def text_to(end: int):
-        if not silent and end > at:
-            parts.append(html.unescape(page[at:end]))
+        if end > at:
+            if stack.silent and stack.names[-1] == "head" and not page[at:end].isspace():
+                stack.pop(len(stack.names) - 1)  # text can't stand in a head
+            if not stack.silent:
+                parts.append(html.unescape(page[at:end]))
 
     page = page or ""
     at = 0
@@ -82,28 +143,19 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...]]]:
         if name in BLOCK_TAGS:
             flush()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+            if (k := stack.last(name)) >= 0:
+                stack.pop(k)
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            open_name = stack[k][0]
-            if open_name in CLOSES.get(name, ()) or (open_name == "p" and name in ENDS_P):
-                pop(k)
-                break
-            if open_name in SCOPE:
-                break
+        stack.implied_ends(name)
         if name in VOID or m[3].endswith("/") and name in ("svg", "path"):
             continue
         words = [name]
         for a in _ATTR.finditer(m[3]):
             words += [f"{a[1].lower()}:{w}" for w in _CUT.split((a[2] or a[3] or a[4] or "").lower()) if w]
-        stack.append((name, tuple(words)))
-        silent += name in SILENT
+        stack.push(name, tuple(words))
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-            if name == "textarea" and not silent:
+            if name == "textarea" and not stack.silent:
                 parts.append(html.unescape(page[at : end.start() if end else len(page)]))
             at = end.start() if end else len(page)
     text_to(len(page))
@@ -111,7 +163,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...]]]:
     return out
 
 
-WIDTH, HIDDEN, WINDOW, MARGIN = 280, 12, 512, 64
+WIDTH, HIDDEN, CHUNK = 280, 12, 512
 TAGS, WORDS = 256, 16
 
 
@@ -124,22 +176,15 @@ def _slot(word: str, size: int) -> tuple[int, float]:
     return h % size, 1.0 if h >> 31 else -1.0
 
 
-@lru_cache(50_000)
-def _path_vector(path: tuple[str, ...]) -> tuple:
-    row = np.zeros(TAGS, np.float32)
-    for w in dict.fromkeys(path):
-        at, sign = _slot(w, TAGS)
-        row[at] += sign
-    return row
-
-
-def block_vectors(blocks: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
-    """A row for each block: hashed tag path, hashed first words, and sizes."""
-    out = np.zeros((len(blocks), WIDTH), np.float32)
-    for k, (text, path) in enumerate(blocks):
-        row = out[k]
-        row[:TAGS] = _path_vector(path)
-        words = dict.fromkeys(text[:300].lower().split(" ")[:16])
+def block_vectors(blocks: list[tuple[str, np.ndarray]], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """A row for each block from lo to hi: the tag path, all words hashed, and sizes."""
+    hi = len(blocks) if hi is None else hi
+    out = np.zeros((hi - lo, WIDTH), np.float32)
+    for k in range(lo, hi):
+        text, path = blocks[k]
+        row = out[k - lo]
+        row[:TAGS] = path
+        words = dict.fromkeys(text.lower().split(" "))
         for w in words:
             at, sign = _slot(w, WORDS)
             row[TAGS + at] += sign
@@ -153,10 +198,10 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(x: np.ndarray, w: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Outputs (time, page, HIDDEN) for inputs (time, page, WIDTH)."""
+def _lstm(x: np.ndarray, w: np.ndarray, keep: list | None = None, state: list | None = None) -> np.ndarray:
+    """Outputs (time, page, HIDDEN) for inputs (time, page, WIDTH). state: where to begin, replaced by where it ends."""
     steps, pages, _ = x.shape
-    h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+    h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
     out = np.empty((steps, pages, HIDDEN), np.float32)
     xw = x @ w[:WIDTH] + w[-1]
     for t in range(steps):
@@ -169,6 +214,8 @@ def _lstm(x: np.ndarray, w: np.ndarray, keep: list | None = None) -> np.ndarray:
             keep.append((h, before, i, f, o, u, tc))
         h = o * tc
         out[t] = h
+    if state is not None:
+        state[:] = h, c
     return out
 
 
@@ -213,20 +260,37 @@ def score(rows: list[np.ndarray], model) -> list[np.ndarray]:
     return [out[: len(p), k] for k, p in enumerate(rows)]
 
 
+def score_long(blocks: list, model) -> np.ndarray:
+    """The margins of one page of any length, in chunks: each goes on where the last one ended, in both directions."""
+    fw, bw, v = model
+    n = len(blocks)
+    starts = range(0, n, CHUNK)
+    hidden = np.empty((n, 2 * HIDDEN), np.float32)
+    out = np.empty(n, np.float32)
+    state: list = []
+    for lo in reversed(starts):
+        hi = min(n, lo + CHUNK)
+        hidden[lo:hi, HIDDEN:] = _lstm(block_vectors(blocks, lo, hi)[::-1, None], bw, state=state)[::-1, 0]
+    state = []
+    for lo in starts:
+        hi = min(n, lo + CHUNK)
+        x = block_vectors(blocks, lo, hi)
+        hidden[lo:hi, :HIDDEN] = _lstm(x[:, None], fw, state=state)[:, 0]
+        out[lo:hi] = np.concatenate((hidden[lo:hi], x), axis=1) @ v[:-1] + v[-1]
+    return out
+
+
 def label(pages: list[list], model) -> list[np.ndarray]:
-    """Which blocks of each page are article."""
-    windows = []  # (page, from, to, vectors of from - MARGIN to to + MARGIN)
-    for k, blocks in enumerate(pages):
-        v = block_vectors(blocks)
-        for lo in range(0, len(v), WINDOW):
-            a, b = max(0, lo - MARGIN), min(len(v), lo + WINDOW + MARGIN)
-            windows.append((k, lo, min(len(v), lo + WINDOW), a, v[a:b]))
+    """Which blocks of each page are article. Pages of up to CHUNK blocks go together, longer ones each in chunks."""
     out = [np.zeros(len(b), bool) for b in pages]
-    order = sorted(range(len(windows)), key=lambda i: len(windows[i][4]))
-    for at in range(0, len(order), 64):
-        part = [windows[i] for i in order[at : at + 64]]
-        for (k, lo, hi, a, _), s in zip(part, score([w[4] for w in part], model)):
-            out[k][lo:hi] = s[lo - a : hi - a] > 0
+    short = sorted((k for k, b in enumerate(pages) if 0 < len(b) <= CHUNK), key=lambda k: len(pages[k]))
+    for at in range(0, len(short), 64):
+        part = short[at : at + 64]
+        for k, s in zip(part, score([block_vectors(pages[k]) for k in part], model)):
+            out[k] = s > 0
+    for k, b in enumerate(pages):
+        if len(b) > CHUNK:
+            out[k] = score_long(b, model) > 0
     return out
 
 

@@ -1,6 +1,8 @@
 """Language identification and main text."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -73,7 +75,7 @@ def test_broken_pages(spark):
 def test_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     for r in main_text(pages.withColumn("raw", F.col("html"))).collect():
-        assert r.text == "\n".join(t for t, path in leaf_blocks(r.raw) if "article" in path)
+        assert r.text == "\n".join(t for t, _ in leaf_blocks(re.search(r"<article.*?(?:</article>|\Z)", r.raw, re.S)[0]))
 
 
 def test_written_pages():
@@ -108,3 +110,59 @@ def test_gradient():
         down[at] -= 1e-3
         slope = ((html_extract._lstm(x, up) - html_extract._lstm(x, down)) * g).sum() / 2e-3
         assert slope == pytest.approx(dw[at], abs=2e-2)
+
+
+def texts(page):
+    return [t for t, _ in leaf_blocks(page)]
+
+
+def test_quotes_count_only_in_values():
+    assert texts("<a title=John's>link</a> text one</p><p>two") == ["link text one", "two"]
+    assert texts("<p don't>hello</p><p>world it's") == ["hello", "world it's"]
+    assert texts('<p title="a > b" class=\'x>\'>kept</p><p title="open>gone</p>') == ["kept"]
+
+
+def test_unclosed_heads_and_pictures():
+    assert texts("<html><head><meta charset=utf-8><title>T</title><body><article><p>Hello</article>") == ["Hello"]
+    assert texts("<head><title>T</title><style>p{}</style>Bare text<p>b") == ["Bare text", "b"]
+    assert texts("<div><svg><text>x</text><p>after</div><p>more") == ["after", "more"]
+    assert texts("<div><object>x</div><p>more") == ["more"]
+
+
+def test_deep_nesting_is_linear():
+    began = time.time()
+    assert len(leaf_blocks("<div>x" * 50_000)) == 50_000
+    assert len(leaf_blocks("<b>" * 50_000 + "<p>x</i></u>" * 50_000)) == 50_000
+    assert time.time() - began < 20
+
+
+def test_long_pages_are_labelled_as_in_one_pass():
+    page = "<article>" + "".join(f"<p>para {k} of some words.</p>" if k % 7 else f"<div class=ad>buy {k}</div>" for k in range(5000)) + "</article><footer>x</footer>"
+    blocks, net = leaf_blocks(page), html_extract.model()
+    whole = html_extract.score([html_extract.block_vectors(blocks)], net)[0]
+    assert np.abs(whole - html_extract.score_long(blocks, net)).max() < 1e-3
+    assert (label([blocks], net)[0] == (whole > 0)).all()
+
+
+def test_words_count_to_the_end():
+    block = leaf_blocks("<p>" + "a b c " * 200 + "</p>")[0]
+    assert (html_extract.block_vectors([block]) != html_extract.block_vectors([(block[0] + " unlike", block[1])])).any()
+
+
+def test_what_the_recurrent_part_adds():
+    """On pages without telling elements, names and roles, labels come from the document's order: without the recurrent part they are worse."""
+    writer, net = html_extract._Writer(99), html_extract.model()
+    without = (net[0], net[1], net[2].copy())
+    without[2][: 2 * html_extract.HIDDEN] = 0
+    right, blocks_seen = [0, 0], 0
+    for _ in range(300):
+        page = writer.page()
+        if "<article" in page or "<main" in page:
+            continue
+        found = leaf_blocks(re.sub(r" (class|id|role)=('[^']*'|\"[^\"]*\")", "", page))
+        y = np.array([writer.MARK in t for t, _ in found], bool)
+        blocks = [(t.replace(writer.MARK, "") or "-", v) for t, v in found]
+        blocks_seen += len(y)
+        for k, weights in enumerate((net, without)):
+            right[k] += int((label([blocks], weights)[0] == y).sum())
+    assert right[0] > 0.8 * blocks_seen and right[0] > right[1] + 0.1 * blocks_seen
