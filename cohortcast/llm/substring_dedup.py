@@ -7,10 +7,10 @@ A run that is a block and occurs twice or more is an anchor. Windows around anch
 maximal exact repeats: the earliest start of each window's word sequence is found, and the windows
 that start later cover, joined, the words to remove.
 
-Texts are dealt to buckets by a hash. A bucket sends each distinct run once (pre-aggregation: a passage
+Texts are dealt to buckets of about `bucket_bytes` by a hash. A bucket sends each distinct run once (pre-aggregation: a passage
 that fills a third of the corpus costs a key per bucket), as 32 bits under a shard number; shards
 answer with a bit per key. Such bits may hold false anchors, never miss one; windows are then compared
-by 64-bit hashes with their starts. Only distinct keys and bits move, besides one shuffle of the texts.
+by 128 bits of hashes with their starts. Only distinct keys and bits move, besides one shuffle of the texts.
 
 Null and short texts lose nothing. Null ids come after all others. Rows with the same id and text are
 one start: neither makes the other a repeat. An empty table gives an empty result. Other columns are
@@ -59,7 +59,7 @@ class _Bucket:
         self.ids = ids
         self.id = ids.fill_null(LAST).to_numpy(zero_copy_only=False)
         self.texts = [t or b"" for t in _column(table, "text").cast(pa.binary()).take(pa.array(order)).to_pylist()]
-        keys, aligned, start, doc, at, wide, counts = [], [], [], [], [], [], []
+        keys, aligned, start, doc, at, wide, more, counts = [], [], [], [], [], [], [], []
         base = 0
         for lo, hi in _parts(self.texts):
             words = Words(self.texts[lo:hi])
@@ -67,6 +67,7 @@ class _Bucket:
             run, first = words.grams(block)
             keys.append(run), start.append(first + base), aligned.append(place[first] % block == 0)
             long, first = words.grams(window)
+            more.append(words.grams(window, second=True)[0])
             wide.append(long), at.append(first + base), doc.append(np.stack((words.doc[first] + lo, place[first])))
             counts.append(words.count)
             base += len(words.start)
@@ -75,6 +76,7 @@ class _Bucket:
         run = np.concatenate(keys) if keys else np.empty(0, U64)
         self.run_at = np.concatenate(start) if start else np.empty(0, np.int64)
         self.wide = np.concatenate(wide) if wide else np.empty(0, U64)
+        self.more = np.concatenate(more) if more else np.empty(0, U64)
         self.wide_at = np.concatenate(at) if at else np.empty(0, np.int64)
         self.wide_doc, self.wide_place = np.concatenate(doc, axis=1) if doc else np.empty((2, 0), np.int64)
         key = (((run >> U64(32)) % U64(shards)) << U64(32)) | (run & U64(0xFFFFFFFF))
@@ -103,12 +105,12 @@ class _Bucket:
         seen[self.run_at[anchor[self.inverse]] + 1] = 1
         seen = np.cumsum(seen)
         near = seen[self.wide_at + self.window - self.block + 1] > seen[self.wide_at]
-        self.c_hash, self.c_at = self.wide[near], self.wide_at[near]
+        self.c_hash, self.c_more, self.c_at = self.wide[near], self.more[near], self.wide_at[near]
         self.c_doc, self.c_place = self.wide_doc[near], self.wide_place[near]
         shard = self.c_hash % U64(self.shards)
-        order = np.lexsort((self.c_hash, shard))  # stable, and the rows are in the order of (id, place)
-        h = self.c_hash[order]
-        new = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
+        order = np.lexsort((self.c_more, self.c_hash, shard))  # stable, and the rows are in the order of (id, place)
+        h, more = self.c_hash[order], self.c_more[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (more[1:] != more[:-1])) if len(h) else np.empty(0, bool)
         self.u_first = order[new]
         self.c_unique = np.empty(len(h), np.int64)
         self.c_unique[order] = np.cumsum(new) - 1
@@ -118,7 +120,7 @@ class _Bucket:
         edge = np.searchsorted(self.u_shard, np.arange(self.shards + 1))
         for shard in np.flatnonzero(np.diff(edge)):
             own = self.u_first[edge[shard] : edge[shard + 1]]
-            yield int(shard), self.c_hash[own].tobytes(), self.id[self.c_doc[own]].tobytes(), self.c_place[own].astype(np.int32).tobytes()
+            yield int(shard), self.c_hash[own].tobytes(), self.c_more[own].tobytes(), self.id[self.c_doc[own]].tobytes(), self.c_place[own].astype(np.int32).tobytes()
 
     def removed(self, answers: dict[int, bytes]) -> np.ndarray:
         """A flag for each word of the bucket."""
@@ -157,10 +159,10 @@ def _shared_runs(table):
 def _first_windows(table):
     """Which windows of one shard start earliest: a bit for each window of each bucket."""
     col = lambda name, kind: [np.frombuffer(b, kind) for b in table.column(name).to_pylist()]
-    keys, ids, places = col("keys", U64), np.concatenate(col("ids", np.int64)), np.concatenate(col("places", np.int32))
+    keys, more, ids, places = col("keys", U64), np.concatenate(col("more", U64)), np.concatenate(col("ids", np.int64)), np.concatenate(col("places", np.int32))
     size, h = np.array([len(k) for k in keys]), np.concatenate(keys)
-    order = np.lexsort((places, ids, h))
-    new = np.append(True, h[order[1:]] != h[order[:-1]])
+    order = np.lexsort((places, ids, more, h))
+    new = np.append(True, (h[order[1:]] != h[order[:-1]]) | (more[order[1:]] != more[order[:-1]]))
     lead = order[new][np.cumsum(new) - 1]
     first = np.empty(len(h), bool)
     first[order] = (ids[order] == ids[lead]) & (places[order] == places[lead])
@@ -168,12 +170,14 @@ def _first_windows(table):
     return pa.table({"bucket": table.column("bucket"), "shard": table.column("shard"), "kind": pa.array([1] * len(size), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, partitions: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, partitions: int | None = None, bucket_bytes: int = 48 << 20) -> DataFrame:
     """id_col, n_words, n_removed and kept: the words of each text that no repeated window covers, joined by spaces.
 
-    partitions: of the shuffles (by default those of the session); texts go to twice as many buckets.
+    partitions: of the shuffles (by default those of the session, or more where buckets of `bucket_bytes` need more);
+    texts go to twice as many buckets, so that a task holds one bucket at a time, whatever the size of the input.
     """
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * bucket_bytes)))
     block, shards = (window + 1) // 2, n
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(2 * n)).cast("int"))
     made = lambda table: _Bucket(table, window, block, shards)
@@ -189,7 +193,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             bucket = made(table)
             bucket.candidates(_answers(known, 0))
             rows = [(shard, key[0].as_py(), *x) for shard, *x in bucket.send_windows()]
-        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.int32(), pa.int32(), *[pa.binary()] * 3))], names=["shard", "bucket", "keys", "ids", "places"])
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, (pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["shard", "bucket", "keys", "more", "ids", "places"])
 
     def keep(key, table, known):
         names, kinds = ["id", "n_words", "n_removed", "kept"], (pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -207,9 +211,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(b" ".join(compress(words, (~gone[hi - size : hi]).tolist()) if out else words))
         return pa.table([bucket.ids, pa.array(bucket.count), pa.array(lost), pa.array(kept, pa.binary()).cast(pa.string())], names=names)
 
-    by_bucket = texts.groupBy("bucket")
-    shared = by_bucket.applyInArrow(runs, "shard int, bucket int, keys binary, flags binary").groupBy("shard").applyInArrow(_shared_runs, answer)
-    starts = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(windows, "shard int, bucket int, keys binary, ids binary, places binary")
-    first = starts.groupBy("shard").applyInArrow(_first_windows, answer)
-    out = by_bucket.cogroup(shared.unionAll(first).groupBy("bucket")).applyInArrow(keep, "id long, n_words long, n_removed long, kept string")
+    by = lambda df, c: df.repartition(n, c).groupBy(c)
+    by_bucket = by(texts, "bucket")
+    shared = by(by_bucket.applyInArrow(runs, "shard int, bucket int, keys binary, flags binary"), "shard").applyInArrow(_shared_runs, answer)
+    starts = by_bucket.cogroup(by(shared, "bucket")).applyInArrow(windows, "shard int, bucket int, keys binary, more binary, ids binary, places binary")
+    first = by(starts, "shard").applyInArrow(_first_windows, answer)
+    out = by_bucket.cogroup(by(shared.unionAll(first), "bucket")).applyInArrow(keep, "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)

@@ -17,6 +17,7 @@ _WS[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE2 = U64(0xD6E8FEB86659FD93)
+_BASE3 = U64(0xA0761D6478BD642F)
 
 
 def _inverse(x: np.uint64) -> np.uint64:
@@ -41,7 +42,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_P1, _P2 = _Powers(_BASE), _Powers(_BASE2)
+_P1, _P2, _P3 = _Powers(_BASE), _Powers(_BASE2), _Powers(_BASE3)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,14 +98,14 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), self.count)
         self.hash = span_hashes(data, self.start, self.end) if hashes else None
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the n words from each place where n words of one text follow, and those places."""
+    def grams(self, n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the n words from each place where n words of one text follow, and those places. second: another 64 bits."""
         total = len(self.start)
         if total < n:
             return np.empty(0, U64), np.empty(0, np.int64)
         at = np.flatnonzero(self.doc[n - 1 :] == self.doc[: total - n + 1])
         with np.errstate(over="ignore"):
-            up, down = _P2.upto(total + 1)
+            up, down = (_P3 if second else _P2).upto(total + 1)
             sums = np.zeros(total + 1, U64)
             np.cumsum(self.hash * up[:total], out=sums[1:])
             return mix((sums[at + n] - sums[at]) * down[at] + U64(n)), at
