@@ -5,8 +5,9 @@ predicts each bit. Decoding weighs the bits' losses: the language with the least
 its codeword wins, and a text is ambiguous where the runner-up is nearly as near.
 
 Classifiers are fitted by logistic regression, on at most `per_language` texts a language, chosen by
-a hash of the id; of each, at most `fit_chars` characters are learned from. These bounds hold for the
-sample alone: prediction reads whole texts, map-side, with weights of fixed size in a broadcast.
+a hash of the id. Whole texts are counted map-side, in the sample too: the driver gets a row of
+`BUCKETS` half-precision numbers for each sampled text. That bound holds for the sample alone: prediction
+reads all texts, map-side, with weights of fixed size in a broadcast.
 
 Null texts and texts without a letter are `und` with score 0. Rows without a language are never learned
 from. With one learned language all texts are given it; with none, `und`. Empty tables give empty
@@ -107,7 +108,7 @@ def decode(margin: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, share[np.arange(len(best)), best]
 
 
-def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, fit_chars: int = 20_000, longest: int = 3, ambiguous_below: float = 0.8) -> DataFrame:
+def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, longest: int = 3, ambiguous_below: float = 0.8) -> DataFrame:
     """docs with lang_pred, score (0 to 1) and ambiguous (such columns of docs are replaced). learn: which rows may be learned from."""
     spark = docs.sparkSession
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row a language
@@ -117,11 +118,19 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     for r in known:
         share = F.when(F.col(lang_col) == r["lang"], min(1.0, 2.0 * per_language / r["n"])).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit("sample"), id_col, text_col), F.lit(1 << 30)) < share * (1 << 30)
-    rows = docs.where(learn & drawn & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, fit_chars).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_language).orderBy("lang", "k").toPandas() if names else None
+    rows = docs.where(learn & drawn & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_language)
+
+    def counted(batches_of):
+        for batch in batches_of:
+            for lo, hi in batches(batch.column(2)):
+                x, _ = features(batch.column(2).slice(lo, hi - lo).to_pylist(), longest)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())], names=["lang", "k", "x"])
+
     model = None
     if names:
-        x, _ = features(rows["text"].tolist(), longest)
+        rows = rows.select("lang", "k", "text").mapInArrow(counted, "lang string, k int, x binary").toPandas().sort_values(["lang", "k"])  # per_language rows a language
+        x = np.stack([np.frombuffer(v, np.float16) for v in rows["x"]]).astype(np.float32)
         y = np.array([names.index(v) for v in rows["lang"]])
         code = codewords(len(names))
         model = (*fit(x, y, code), code)
