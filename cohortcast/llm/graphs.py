@@ -51,6 +51,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], count: str, h
     return few.unionByName(rows.join(keys, on, "left_anti").join(groups.join(keys, on, "left_anti"), on, how))
 
 
+def few(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table of narrow keys, checkpointed, and marked for broadcast if it has at most `most` rows."""
+    out = settled(keys)
+    return F.broadcast(out) if out.limit(most + 1).count() <= most else out
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each linked node with the smallest node that it reaches, itself included.
 

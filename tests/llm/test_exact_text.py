@@ -1,6 +1,7 @@
 """Substring dedup, Jaccard join and decontamination against brute force."""
 
 import hashlib
+import random
 import re
 from itertools import combinations
 
@@ -12,6 +13,8 @@ from cohortcast.llm.graphs import components
 from cohortcast.llm.ngram_jaccard import signature_bits, similar_texts
 from cohortcast.llm.substring_dedup import remove_repeats
 
+from .conftest import kept_columns
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -65,14 +68,33 @@ def brute_components(rows, n, percent):
 
 @pytest.mark.parametrize("percent,frequent,tile", [(85, 1 << 16, 256), (30, 4, 2)])
 def test_components(docs, corpus, percent, frequent, tile):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_texts(docs, percent=percent, frequent=frequent, tile=tile).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_texts(docs, shingle=4, percent=percent, frequent=frequent, tile=tile).collect()}
     assert got == brute_components(corpus, 4, percent)
 
 
+def test_large_group_of_near_copies(spark):
+    """700 copies of one text, each with its own changes, over 30 partitions; a passage that every text has; texts alike by chance."""
+    rnd = random.Random(11)
+    base, passage = [f"b{k}" for k in range(120)], [f"p{k}" for k in range(12)]
+    vocab = [f"v{k}" for k in range(30)]
+    rows = []
+    for k in range(700):
+        words = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 3, 5, 9])):
+            words[rnd.randrange(120)] = f"n{rnd.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join([*passage, *(rnd.choice(vocab) for _ in range(rnd.randint(3, 60)))])) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    for tile in (16, 128):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_texts(df, shingle=4, percent=85, tile=tile).collect()}
+        assert got == brute_components(rows, 4, 85)
+    assert len({c for _, c in got.values()}) > 160
+
+
 def test_signatures_fold():
     import numpy as np
 
-    from cohortcast.llm.ngram_jaccard import _halved, signatures
+    from cohortcast.llm.ngram_jaccard import folded, signatures
 
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 500, dtype=np.int64).astype(np.uint64))
@@ -80,7 +102,7 @@ def test_signatures_fold():
     size = np.array([len(a), len(b)])
     assert signature_bits(size).tolist() == [1024, 2048]
     x, y = (np.frombuffer(s, np.uint64) for s in signatures(size, np.repeat([0, 1], size), np.concatenate((a, b))))
-    assert int(np.bitwise_count(x ^ _halved(y)).sum()) <= len(np.setxor1d(a, b))
+    assert int(np.bitwise_count(x ^ folded(y, len(x))).sum()) <= len(np.setxor1d(a, b))
 
 
 def test_long_chain(spark):
@@ -130,7 +152,9 @@ def test_removal_of_documents_and_spans(spark, docs, corpus):
     kept = decontaminate(docs, bench)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, v in expected.items() if not v[3]}
-    cut = {r.doc_id: r.text for r in decontaminate(docs, bench, remove="spans").collect()}
+    cut = decontaminate(docs, bench, remove="spans").collect()
+    assert kept_columns(kept.collect(), docs.columns) and kept_columns(cut, docs.columns)
+    cut = {r.doc_id: r.text for r in cut}
     left = brute_contamination([(d, t) for d, t in cut.items()], [], 13)
     for d, (n, hit, _, bad) in expected.items():
         assert left[d][0] == (n - hit if bad else n)
