@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exprs import ascii_lower, let, packed, row_key, unpacked
-from .graphs import ready
+from .graphs import few, ready
 
 #: The characters that part words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -90,7 +90,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     keyed = docs.select(packed(docs.columns).alias("_docs"), row_key(id_col, text_col).alias("_row"))
     if remove == "documents":
-        return keyed.join(found.where("contaminated").select("_row").distinct(), "_row", "left_anti").select(*unpacked("_docs", docs.columns))
+        return keyed.join(few(found.where("contaminated").select("_row").distinct()), "_row", "left_anti").select(*unpacked("_docs", docs.columns))
     spans = found.where("contaminated").select("_row", F.col("spans").alias("_spans")).dropDuplicates(["_row"])
     # words and the gaps around them: gap 0, word 0, gap 1, word 1, ..., taken from the text by their lengths
     inside = lambda i: F.exists("_spans", lambda s: (i >= s["from"]) & (i < s["to"]))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from cohortcast.llm.bpe import encode
 from cohortcast.llm.decontaminate import decontaminate
-from cohortcast.llm.graphs import ready
+from cohortcast.llm.exprs import packed, unpacked
+from cohortcast.llm.graphs import few, ready
 from cohortcast.llm.ngram_jaccard import similar_texts
 from cohortcast.llm.pii import pseudonymise
 from cohortcast.llm.quality_rules import judge
@@ -28,9 +29,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (Jaccard 0.8 or more on 5-word shingles) the document of the smallest id, of repeated rows one."""
-    others = similar_texts(docs, shingle=5, percent=80).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of near duplicates (Jaccard 0.8 or more on 5-word shingles) the first document by id (null last), of equal rows one.
+
+    Rows are told by id and hash. Their texts aren't shuffled while the rows to drop, and those to count once, are few.
+    """
+    id, on = F.col("doc_id").cast("long"), ["none", "id", "row"]
+    found = similar_texts(docs, shingle=5, percent=80, rows=True).select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row", "first").checkpoint()
+    keyed = docs.select(packed(docs.columns).alias("docs"), id.isNull().alias("none"), F.coalesce(id, F.lit(0)).alias("id"), F.xxhash64(id, "text").alias("row"))
+    kept = keyed.join(few(found.where("not first").select(*on).distinct()), on, "left_anti")
+    again = few(found.where("first").groupBy(*on).count().where("count > 1").select(*on))
+    once = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(on)) if not again.isEmpty() else kept
+    return once.select(*unpacked("docs", docs.columns))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +53,12 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and n_tokens."""
-    coded = encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    """doc_id, lang, source, ids, n_tokens and decoded (what the ids stand for)."""
+    coded = encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), decoded_col="decoded")
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", contamination), ("PII", private_data), ("BPE encoding", tokens)]
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", contamination), ("PII", private_data), ("BPE encoding and decoding", tokens)]
 
 #: SQL can't express the robust outliers, components, keyed surrogates and merges of the stages.
 ORACLE_SQL = None

@@ -46,7 +46,7 @@ def test_stages(spark, folder):
     counts = [s.count() for s in state]
     base = {d for d, t in rows[0].items() if (s := statistics(t))[0] >= 50 and 100 * s[4] <= 50 * s[0]}
     assert set(rows[1]) == base
-    labels = brute_components([(d, t) for d, t in rows[1].items()], 4, 85)
+    labels = brute_components([(d, t) for d, t in rows[1].items()], 5, 80)
     assert set(rows[2]) == {d for d, (_, c) in labels.items() if c == d} and counts[2] == len(rows[2]) < len(rows[1])
     leaked = brute_contamination([(d, t) for d, t in rows[2].items()], items, 13)
     assert set(rows[3]) == {d for d, v in leaked.items() if not v[3]} and len(rows[3]) < len(rows[2])
@@ -55,6 +55,7 @@ def test_stages(spark, folder):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     t.no_truncation()
     t.no_padding()
+    assert all(r.decoded == t.decode(r.ids, skip_special_tokens=False) for r in state[5].collect())
     assert {r.doc_id: r.ids for r in state[5].collect()} == {d: t.encode(x, add_special_tokens=False).ids for d, x in rows[4].items()}
 
 
@@ -75,10 +76,22 @@ def test_near_copies_between_the_limits_of_op5_and_the_stage(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
 
 
+def test_near_duplicates_are_told_by_row(spark):
+    """Null ids, an id that two texts share, repeated rows, texts without words; columns named like the stage's own."""
+    rnd = random.Random(10)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(5, a), (7, a), (7, b), (None, a + " more"), (None, c), (None, c), (9, None), (9, None), (10, ""), (None, None)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, id string, row string")
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(d), str(t)) for d, t in [(5, a), (7, b), (None, c), (9, None), (10, ""), (None, None)])
+    assert all(r.id == r.row == "clash" for r in got)
+
+
 def test_run_equals_its_stages(spark, folder):
     path, _ = folder
     got = corpus_pipeline.run(spark, path)
-    assert got.columns == ["doc_id", "lang", "source", "ids", "n_tokens"] and got.where("n_tokens <> size(ids)").count() == 0
+    assert got.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "decoded"] and got.where("n_tokens <> size(ids)").count() == 0
 
 
 def test_most_frequent(spark):
