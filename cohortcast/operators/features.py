@@ -51,16 +51,21 @@ def race_shape(df: DataFrame, group: str, style: str, forward: list[str]) -> Dat
 def history_form(target: DataFrame, history: DataFrame, keys: list[str], at: str, date: str, score: str, entity: str, enough: float = 5, recent: int = 180) -> DataFrame:
     """target with form (decay-weighted score over all earlier rows, blended to 0.5 by coverage of recent ones), starts and days since the last.
 
-    Entity history is summed by day first, and joined on the entity; equal (entity, day) targets are asked once.
+    Histories are summed by day first; then each entity's window runs over its days, one row each. Decay factors
+    out of the running sums (weights grow with the day, and cancel in the quotient), so no day meets another.
     """
-    day = history.where(F.col(score).isNotNull()).groupBy(entity, F.to_date(date).alias("_day")).agg(F.count("*").alias("_n"), F.sum(score).alias("_s"))
-    asked = target.select(entity, F.to_date(at).alias("_at")).distinct()
-    age = F.datediff("_at", "_day")
-    w = F.exp(-0.01 * age)
-    sums = asked.join(day, entity).where(age > 0).groupBy(entity, "_at").agg((F.sum(w * F.col("_s")) / F.sum(w * F.col("_n"))).alias("_raw"), F.sum("_n").alias("starts"), F.sum(F.when(age <= recent, F.col("_n")).otherwise(0)).alias("_recent"), F.min(age).alias("days_off"))
-    out = target.withColumn("_at", F.to_date(at)).join(sums, [entity, "_at"], "left")
+    number = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01"))
+    day = history.where(F.col(score).isNotNull()).groupBy(entity, number(date).alias("_d")).agg(F.count("*").alias("_n"), F.sum(F.col(score).cast("double")).alias("_s"))
+    asked = target.select(entity, number(at).alias("_d")).distinct().select(entity, "_d", F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_s"))
+    days_of = day.unionByName(asked).groupBy(entity, "_d").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    order = Window.partitionBy(entity).orderBy("_d")
+    earlier, lately = order.rangeBetween(Window.unboundedPreceding, -1), order.rangeBetween(-recent, -1)
+    grown = F.exp(0.01 * F.col("_d"))
+    sums = days_of.select(entity, "_d", F.sum(grown * F.col("_s")).over(earlier).alias("_a"), F.sum(grown * F.col("_n")).over(earlier).alias("_b"), F.sum("_n").over(earlier).alias("starts"), F.sum("_n").over(lately).alias("_recent"), (F.col("_d") - F.max(F.when(F.col("_n") > 0, F.col("_d"))).over(earlier)).alias("days_off"))
+    sums = sums.select(entity, "_d", F.when(F.col("starts") > 0, F.col("_a") / F.col("_b")).alias("_raw"), "starts", "_recent", "days_off")
+    out = target.withColumn("_d", number(at)).join(sums, [entity, "_d"], "left")
     form = blended(F.col("_raw"), F.coalesce("_recent", F.lit(0)), enough)
-    return out.withColumn("form", form).withColumn("starts", F.coalesce("starts", F.lit(0))).drop("_at", "_raw", "_recent")
+    return out.withColumn("form", form).withColumn("starts", F.coalesce("starts", F.lit(0))).drop("_d", "_raw", "_recent")
 
 
 def fit_rate(wins: Column, starts: Column, weight: float = 2, prior: float = 0.5) -> Column:

@@ -69,15 +69,17 @@ def near_value(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str, tole
 def cohort_stats(df: DataFrame, target: DataFrame, keys: list[str], at: str, date: str, x: str, days: int = 90, least: int = 5) -> DataFrame:
     """target with mean and population deviation of x among rows of the same keys up to `days` before, null if fewer than `least`.
 
-    Daily sums are taken first, so a target meets at most `days` rows, however large the cohort.
+    Sums are taken by day first, so each key's window is over its days, one row each, however large the cohort.
     """
-    day = df.groupBy(*keys, F.to_date(date).alias("_day")).agg(F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(F.col(x) * F.col(x)).alias("_q"))
-    spans = target.select(*keys, F.to_date(at).alias("_at")).distinct()
-    gap = F.datediff("_at", "_day")
-    sums = spans.join(day, keys).where((gap > 0) & (gap <= days)).groupBy(*keys, "_at").agg(F.sum("_n").alias("cohort_n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"))
-    mean = F.col("_s") / F.col("cohort_n")
-    stats = sums.select(*keys, "_at", "cohort_n", F.when(F.col("cohort_n") >= least, mean).alias("cohort_mean"), F.when(F.col("cohort_n") >= least, F.sqrt(F.greatest(F.col("_q") / F.col("cohort_n") - mean * mean, F.lit(0.0)))).alias("cohort_sd"))
-    return target.withColumn("_at", F.to_date(at)).join(stats, [*keys, "_at"], "left").drop("_at")
+    number = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01"))
+    day = df.groupBy(*keys, number(date).alias("_d")).agg(F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(F.col(x) * F.col(x)).alias("_q"))
+    asked = target.select(*keys, number(at).alias("_d")).distinct().select(*keys, "_d", F.lit(0).cast("long").alias("_n"), F.lit(None).cast("double").alias("_s"), F.lit(None).cast("double").alias("_q"))
+    days_of = day.unionByName(asked).groupBy(*keys, "_d").agg(*[F.sum(c).alias(c) for c in ("_n", "_s", "_q")])
+    before = Window.partitionBy(*keys).orderBy("_d").rangeBetween(-days, -1)
+    sums = days_of.select(*keys, "_d", F.sum("_n").over(before).alias("_c"), F.sum("_s").over(before).alias("_a"), F.sum("_q").over(before).alias("_b"))
+    enough, mean = F.col("_c") >= least, F.col("_a") / F.col("_c")
+    stats = sums.where("_c > 0").select(*keys, "_d", F.col("_c").alias("cohort_n"), F.when(enough, mean).alias("cohort_mean"), F.when(enough, F.sqrt(F.greatest(F.col("_b") / F.col("_c") - mean * mean, F.lit(0.0)))).alias("cohort_sd"))
+    return target.withColumn("_d", number(at)).join(stats, [*keys, "_d"], "left").drop("_d")
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["fields", "lookups", "measures", "checks", "bets", "records", "cards", "models"]
+_MODULES = ["fields", "lookups", "measures", "checks", "bets", "records", "cards", "models", "members"]
 
 
 def _all() -> dict:

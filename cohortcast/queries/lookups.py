@@ -35,12 +35,12 @@ J09 = AS_OF.format(on="v.ts <= o.ts - INTERVAL 30 MINUTE", cols="CASE WHEN b.ts
 
 
 def j10_complete_capture(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("card"), F.col("l_partkey").alias("member"), F.col("l_returnflag").alias("provider"), F.to_date("l_shipdate").alias("ts"), F.col("l_quantity").alias("price")).where("card % 3 = 0")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("card"), F.col("l_partkey").alias("member"), F.col("l_returnflag").alias("provider"), F.to_date("l_shipdate").alias("ts"), F.col("l_quantity").alias("price"))
     expected = lines.where("provider = 'N'").select("card", "member").distinct()
     return joins.complete_capture(lines, expected, "card", "member", ["provider"], "ts", "price").select("card", "member", "provider", "ts")
 
 
-J10 = """WITH l AS (SELECT l_orderkey AS card, l_partkey AS member, l_returnflag AS provider, CAST(l_shipdate AS DATE) AS ts, l_quantity AS price FROM lineitem WHERE l_orderkey % 3 = 0),
+J10 = """WITH l AS (SELECT l_orderkey AS card, l_partkey AS member, l_returnflag AS provider, CAST(l_shipdate AS DATE) AS ts, l_quantity AS price FROM lineitem),
 x AS (SELECT DISTINCT card, member FROM l WHERE provider = 'N'), want AS (SELECT card, count(*) AS w FROM x GROUP BY 1),
 b AS (SELECT l.card, l.ts, l.provider, count(*) AS n, count(DISTINCT l.member) AS k, count(x.member) AS h, bool_and(price > 1) AS ok FROM l LEFT JOIN x ON x.card = l.card AND x.member = l.member GROUP BY 1, 2, 3),
 c AS (SELECT b.*, rank() OVER (PARTITION BY card ORDER BY ts DESC) AS rk FROM b JOIN want USING (card) WHERE n = w AND k = w AND h = w AND ok),
@@ -67,19 +67,19 @@ def j13_within_days(spark, d):
 
 def j14_near_value(spark, d):
     p = table(spark, d, "part")
-    a = p.where("p_partkey % 10 = 0").select("p_brand", F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("x"))
+    a = p.select("p_brand", F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("x"))
     b = p.select("p_brand", F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("y"))
     return joins.near_value(a, b, ["p_brand"], "x", "y", 5.0).select("a", "b", "p_brand")
 
 
 def j15_cohort(spark, d):
     o = table(spark, d, "orders").select("o_orderpriority", F.col("o_orderkey").alias("id"), "o_orderdate", "o_totalprice")
-    c = joins.cohort_stats(o, o.where("id % 50 = 0"), ["o_orderpriority"], "o_orderdate", "o_orderdate", "o_totalprice")
-    return c.select("id", "cohort_n", F.round("cohort_mean", 1).alias("cohort_mean"), r("cohort_sd", 1))
+    c = joins.cohort_stats(o, o, ["o_orderpriority"], "o_orderdate", "o_orderdate", "o_totalprice")
+    return c.select("id", "cohort_n", F.round(F.col("cohort_mean") + 1e-6, 1).alias("cohort_mean"), r("cohort_sd", 1))
 
 
-J15 = """SELECT a.o_orderkey AS id, nullif(count(b.o_orderkey), 0) AS cohort_n, CASE WHEN count(b.o_orderkey) >= 5 THEN round(avg(b.o_totalprice), 1) END AS cohort_mean, CASE WHEN count(b.o_orderkey) >= 5 THEN round(stddev_pop(b.o_totalprice), 1) END AS cohort_sd
-FROM orders a LEFT JOIN orders b ON a.o_orderpriority = b.o_orderpriority AND date_diff('day', CAST(b.o_orderdate AS DATE), CAST(a.o_orderdate AS DATE)) BETWEEN 1 AND 90 WHERE a.o_orderkey % 50 = 0 GROUP BY 1"""
+J15 = """SELECT a.o_orderkey AS id, nullif(count(b.o_orderkey), 0) AS cohort_n, CASE WHEN count(b.o_orderkey) >= 5 THEN round(avg(b.o_totalprice) + 1e-6, 1) END AS cohort_mean, CASE WHEN count(b.o_orderkey) >= 5 THEN round(stddev_pop(b.o_totalprice), 1) END AS cohort_sd
+FROM orders a LEFT JOIN orders b ON a.o_orderpriority = b.o_orderpriority AND date_diff('day', CAST(b.o_orderdate AS DATE), CAST(a.o_orderdate AS DATE)) BETWEEN 1 AND 90 GROUP BY 1"""
 
 
 def j17_reconcile(spark, d):
@@ -221,7 +221,7 @@ QUERIES = {
     "j09_as_of_lag": (j09_as_of_lag, J09),
     "j10_complete_capture": (j10_complete_capture, J10),
     "j13_within_days": (j13_within_days, "SELECT a.o_orderkey AS id, count(*) AS n, max(CAST(b.o_orderdate AS DATE)) AS latest FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND date_diff('day', CAST(b.o_orderdate AS DATE), CAST(a.o_orderdate AS DATE)) BETWEEN 1 AND 60 GROUP BY 1"),
-    "j14_near_value": (j14_near_value, "SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_brand FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(a.p_retailprice - b.p_retailprice) <= 5 WHERE a.p_partkey % 10 = 0"),
+    "j14_near_value": (j14_near_value, "SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_brand FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(a.p_retailprice - b.p_retailprice) <= 5"),
     "j15_cohort": (j15_cohort, J15),
     "j17_reconcile": (j17_reconcile, J17),
     "j20_best_match": (j20_best_match, J20),
