@@ -102,6 +102,6 @@ def quantile_reliability(df: DataFrame, p: str, won: str, bins: int = 10, digits
     """A row for each of at most `bins` quantile bins: n, mean p, share won, gap. p is rounded, which bounds the state of the exact quantiles."""
     q = df.select(F.round(p, digits).alias("p"), F.col(won).cast("int").alias("won"))
     edges = q.agg(F.percentile("p", F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_e"))  # one row
-    binned = q.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: F.round(e, 6) < F.col("p"))))
+    binned = q.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: F.round(e, 6) < F.col("p"))).cast("long"))
     sums = binned.groupBy("bin").agg(F.count("*").alias("n"), F.sum(F.col("p").cast("decimal(18,3)")).cast("double").alias("_p"), F.sum("won").alias("_w"))
     return sums.select("bin", "n", F.round(F.col("_p") / F.col("n"), 6).alias("mean_p"), F.round(F.col("_w") / F.col("n"), 6).alias("share"), F.round(F.abs(F.col("_p") / F.col("n") - F.col("_w") / F.col("n")), 6).alias("gap"))

@@ -188,7 +188,7 @@ def e06_run(spark, d):
     f, w = field(spark, d).withColumn("out", F.col("member") % 10 == 0), Window.partitionBy("card")
     f = f.withColumns({"k": F.row_number().over(w.orderBy("out", F.round("p", 9).desc(), "member")), "v": F.row_number().over(w.orderBy("out", F.round("decimal", 6), "post"))}).where("not out")
     first = lambda c, x: F.max(F.when(F.col(c) == 1, F.col(x)))
-    g = f.groupBy("card").agg(first("k", "member").alias("pick"), first("k", "finish").alias("pick_finish"), first("v", "member").alias("favourite"), first("v", "finish").alias("favourite_finish"), F.count_if((F.col("k") <= 3) & (F.col("finish") <= 3)).alias("top3_hits"))
+    g = f.groupBy("card").agg(first("k", "member").alias("pick"), first("k", "finish").cast("long").alias("pick_finish"), first("v", "member").alias("favourite"), first("v", "finish").cast("long").alias("favourite_finish"), F.count_if((F.col("k") <= 3) & (F.col("finish") <= 3)).alias("top3_hits"))
     return g.withColumn("pick_won", F.col("pick_finish") == 1).withColumn("agrees", F.col("pick") == F.col("favourite"))
 
 
