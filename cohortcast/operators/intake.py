@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcast.functions.odds import american_to_decimal, text_to_decimal
@@ -108,3 +108,44 @@ def view_mismatches(one: DataFrame, other: DataFrame, keys: list[str], fields: l
     both = one.join(other.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in fields]), keys)
     differ = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_o_{c}")), F.lit(c)) for c in fields]))
     return both.select(*keys, differ.alias("fields")).where(F.size("fields") > 0)
+
+
+def history_status(parsed: DataFrame, entities: DataFrame, on_card: DataFrame, stored: DataFrame, name: str, id: str, date: str) -> DataFrame:
+    """parsed with the id of its name's entity (letter case aside) and status, the first that applies: UNMATCHED, NOT_ON_CARD, DUPLICATE (entity and date are stored) or INSERTED.
+
+    Of arriving rows of one entity and date the first by all columns is inserted, the others are duplicates.
+    """
+    columns = parsed.columns
+    known = entities.groupBy(F.lower(name).alias("_k")).agg(F.min(id).alias(id))
+    out = parsed.withColumn("_k", F.lower(name)).join(known, "_k", "left").join(on_card.select(id).distinct().withColumn("_c", F.lit(True)), id, "left")
+    out = out.join(stored.select(id, date).distinct().withColumn("_s", F.lit(True)), [id, date], "left")
+    # Only rows that may be inserted are numbered, so the unmatched ones, which share a null id, meet in no window.
+    fit = F.col("_c") & F.col("_s").isNull()
+    first = out.where(fit).withColumn("_nth", F.row_number().over(Window.partitionBy(id, date).orderBy(*columns))).withColumn("status", F.when(F.col("_nth") == 1, "INSERTED").otherwise("DUPLICATE"))
+    rest = out.where(~F.coalesce(fit, F.lit(False))).withColumn("status", F.when(F.col(id).isNull(), "UNMATCHED").when(F.col("_c").isNull(), "NOT_ON_CARD").otherwise("DUPLICATE"))
+    return first.select(*columns, id, "status").unionByName(rest.select(*columns, id, "status"))
+
+
+def upserted(stored: DataFrame, arriving: DataFrame, keys: list[str], id: str) -> DataFrame:
+    """The registry after arriving rows (one a key, without ids): a known key keeps its id and takes the new values, a new one gets an id from its key's hash; action tells which.
+
+    The hash has 63 bits and asks no row for the largest id, so that it needs no order over all rows.
+    """
+    values = [c for c in arriving.columns if c not in keys]
+    both = stored.withColumn("_s", F.lit(True)).join(arriving.select(*keys, F.lit(True).alias("_a"), *[F.col(c).alias(f"_n_{c}") for c in values]), keys, "full_outer")
+    made = F.coalesce(id, F.xxhash64(*keys).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
+    action = F.when(F.col("_a").isNull(), "kept").when(F.col("_s").isNull(), "inserted").otherwise("updated")
+    return both.select(*keys, made.alias(id), *[F.when(F.col("_a"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in values], action.alias("action"))
+
+
+def provider_coverage(one: DataFrame, two: DataFrame, key: str, features: list[str], as_of: str, cutoff: str) -> DataFrame:
+    """feature, both, conflicts, only_first, only_second, neither and unproven: how two providers (one row a key each) cover each feature.
+
+    unproven counts keys with a value of which no provider's as-of is known to lie before the cutoff (a column of the first).
+    """
+    both = one.join(two.select(key, F.col(as_of).alias("_as_of"), *[F.col(c).alias(f"_o_{c}") for c in features]), key, "left")
+    ok = lambda v, t: F.col(v).isNotNull() & F.coalesce(F.col(t) < F.col(cutoff), F.lit(False))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).isNotNull().alias("a"), F.col(f"_o_{c}").isNotNull().alias("b"), F.coalesce(F.col(c) != F.col(f"_o_{c}"), F.lit(False)).alias("x"), (ok(c, as_of) | ok(f"_o_{c}", "_as_of")).alias("p")) for c in features])
+    r = both.select(F.explode(cells).alias("_r")).select("_r.*")
+    a, b = F.col("a"), F.col("b")
+    return r.groupBy("feature").agg(F.count_if(a & b).alias("both"), F.count_if("x").alias("conflicts"), F.count_if(a & ~b).alias("only_first"), F.count_if(b & ~a).alias("only_second"), F.count_if(~a & ~b).alias("neither"), F.count_if((a | b) & ~F.col("p")).alias("unproven"))

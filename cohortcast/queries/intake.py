@@ -99,6 +99,47 @@ def q14_views(spark, d):
 
 Q14 = "WITH a AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f, min(l_linestatus) AS s, min(CASE WHEN l_linenumber > 2 THEN l_suppkey END) AS e, l_orderkey + l_linenumber AS n FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN n % 5 = 0 AND f <> 'X' THEN 'l_returnflag' END, CASE WHEN n % 7 = 0 AND e IS NOT NULL THEN 'evidence' END) AS fields FROM a WHERE n % 13 <> 0 AND ((n % 5 = 0 AND f <> 'X') OR (n % 7 = 0 AND e IS NOT NULL))"
 
+def s22_history(spark, d):
+    """Customers' orders as history rows by name; some names are of nobody, a segment isn't on the card, older orders are stored."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), "c_mktsegment")
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("day"))
+    parsed = o.join(c, "c_custkey").select(F.when(F.col("o_orderkey") % 9 == 0, F.concat("name", F.lit("x"))).when(F.col("o_orderkey") % 2 == 0, F.upper("name")).otherwise(F.col("name")).alias("name"), "day", "o_orderkey")
+    got = k.history_status(parsed, c, c.where("c_mktsegment <> 'BUILDING'"), o.where("o_orderkey % 4 = 0"), "name", "c_custkey", "day")
+    return got.select("o_orderkey", "c_custkey", "day", "status")
+
+
+S22 = """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN c_custkey END AS id, c_mktsegment AS seg, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name FROM orders JOIN customer ON o_custkey = c_custkey),
+h AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 4 = 0),
+s AS (SELECT p.*, CASE WHEN id IS NULL THEN 'UNMATCHED' WHEN seg = 'BUILDING' THEN 'NOT_ON_CARD' WHEN h.day IS NOT NULL THEN 'DUPLICATE' END AS status FROM p LEFT JOIN h ON h.o_custkey = id AND h.day = p.day)
+SELECT o_orderkey, id AS c_custkey, day, coalesce(status, CASE WHEN row_number() OVER (PARTITION BY id, day, status ORDER BY name, o_orderkey) = 1 THEN 'INSERTED' ELSE 'DUPLICATE' END) AS status FROM s"""
+
+
+def l09_registry(spark, d):
+    """Models by customer and priority: stored are odd orders' newest, arriving the even ones' prices. Ids of new keys are shown as null."""
+    o = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority")
+    even = F.col("o_orderkey") % 2 == 0
+    both = o.agg(F.max(F.when(~even, F.col("o_orderkey"))).alias("model_id"), F.max(F.when(~even, F.col("o_totalprice"))).alias("old"), F.max(F.when(even, F.col("o_totalprice"))).alias("new"))
+    stored = both.where("model_id IS NOT NULL").select("o_custkey", "o_orderpriority", "model_id", F.col("old").alias("metric"))
+    arriving = both.where("new IS NOT NULL").select("o_custkey", "o_orderpriority", F.col("new").alias("metric"))
+    return k.upserted(stored, arriving, ["o_custkey", "o_orderpriority"], "model_id").withColumn("model_id", F.when(F.col("action") != "inserted", F.col("model_id")))
+
+
+L09 = "WITH b AS (SELECT o_custkey, o_orderpriority, max(o_orderkey) FILTER (o_orderkey % 2 = 1) AS model_id, max(o_totalprice) FILTER (o_orderkey % 2 = 1) AS old, max(o_totalprice) FILTER (o_orderkey % 2 = 0) AS new FROM orders GROUP BY 1, 2) SELECT o_custkey, o_orderpriority, model_id, coalesce(new, old) AS metric, CASE WHEN new IS NULL THEN 'kept' WHEN model_id IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM b"
+
+
+def q15_providers(spark, d):
+    """Orders as keys; the second provider lacks some, differs in some, and is late or undated in some."""
+    n = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("cutoff", F.lit(5))
+    one = o.select("o_orderkey", "cutoff", F.when(n % 3 != 0, n % 10).alias("as_of"), F.when(n % 4 != 0, F.col("o_orderpriority")).alias("class"), F.when(n % 5 != 0, F.col("o_orderstatus")).alias("style"))
+    two = o.where(n % 7 != 0).select("o_orderkey", (n % 6).alias("as_of"), F.when(n % 2 == 0, F.col("o_orderpriority")).alias("class"), F.when(n % 11 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("style"))
+    return k.provider_coverage(one, two, "o_orderkey", ["class", "style"], "as_of", "cutoff")
+
+
+Q15 = """WITH o AS (SELECT o_orderkey AS n, o_orderpriority AS p, o_orderstatus AS s, coalesce(n % 3 <> 0 AND n % 10 < 5, false) AS ok1, n % 7 <> 0 AND n % 6 < 5 AS ok2, n % 7 <> 0 AS there FROM orders),
+c AS (SELECT 'class' AS feature, CASE WHEN n % 4 <> 0 THEN p END AS a, CASE WHEN there AND n % 2 = 0 THEN p END AS b, ok1, ok2 FROM o UNION ALL SELECT 'style', CASE WHEN n % 5 <> 0 THEN s END, CASE WHEN there THEN CASE WHEN n % 11 = 0 THEN 'Z' ELSE s END END, ok1, ok2 FROM o)
+SELECT feature, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS "both", count(*) FILTER (a <> b) AS conflicts, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS only_first, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS only_second, count(*) FILTER (a IS NULL AND b IS NULL) AS neither, count(*) FILTER (coalesce(a, b) IS NOT NULL AND NOT ((a IS NOT NULL AND ok1) OR (b IS NOT NULL AND ok2))) AS unproven FROM c GROUP BY 1"""
+
 QUERIES = {
     "s03_odds_feed": (s03_odds_feed, S03),
     "s05_outcome_log": (s05_outcome_log, S05),
@@ -106,4 +147,7 @@ QUERIES = {
     "p23_contract": (p23_contract, P23),
     "l11_model_choice": (l11_model_choice, L11),
     "q14_views": (q14_views, Q14),
+    "s22_history": (s22_history, S22),
+    "l09_registry": (l09_registry, L09),
+    "q15_providers": (q15_providers, Q15),
 }

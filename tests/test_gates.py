@@ -83,3 +83,18 @@ def test_logs_and_models(spark):
     one = spark.createDataFrame([(1, None, 1), (2, None, 1), (3, "x", 1)], "id int, s string, n int")
     other = spark.createDataFrame([(1, None, 1), (2, "x", 2)], "id int, s string, n int")
     assert [tuple(r) for r in intake.view_mismatches(one, other, ["id"], ["s", "n"]).collect()] == [(2, ["s", "n"])]
+
+
+def test_history_and_registry(spark):
+    entities = spark.createDataFrame([("Ann", 1), ("Bo", 2), (None, 3)], "name string, id int")
+    parsed = spark.createDataFrame([("ANN", 5, 1), ("Ann", 5, 2), ("ann", 6, 3), ("Bo", 5, 4), ("Zed", 5, 5), (None, 5, 6), ("Ann", None, 7)], "name string, day int, row int")
+    got = intake.history_status(parsed, entities, entities.where("id <> 2"), spark.createDataFrame([(1, 6)], "id int, day int"), "name", "id", "day")
+    assert {r.row: r.status for r in got.collect()} == {1: "INSERTED", 2: "DUPLICATE", 3: "DUPLICATE", 4: "NOT_ON_CARD", 5: "UNMATCHED", 6: "UNMATCHED", 7: "INSERTED"}
+    stored = spark.createDataFrame([("a", 7, 0.5), ("b", 8, 0.5)], "k string, id long, m double")
+    arriving = spark.createDataFrame([("a", None), ("c", 0.1)], "k string, m double")
+    got = {r.k: r for r in intake.upserted(stored, arriving, ["k"], "id").collect()}
+    assert (got["a"].id, got["a"].m, got["a"].action) == (7, None, "updated") and (got["b"].id, got["b"].m, got["b"].action) == (8, 0.5, "kept")
+    assert got["c"].id >= 0 and got["c"].action == "inserted"
+    one = spark.createDataFrame([(1, 1, 5, "x"), (2, 9, 5, "x"), (3, None, 5, None)], "k int, t int, cut int, v string")
+    two = spark.createDataFrame([(1, 9, "y"), (2, None, None)], "k int, t int, v string")
+    assert [tuple(r) for r in intake.provider_coverage(one, two, "k", ["v"], "t", "cut").collect()] == [("v", 1, 1, 1, 0, 1, 1)]
