@@ -149,3 +149,9 @@ def provider_coverage(one: DataFrame, two: DataFrame, key: str, features: list[s
     r = both.select(F.explode(cells).alias("_r")).select("_r.*")
     a, b = F.col("a"), F.col("b")
     return r.groupBy("feature").agg(F.count_if(a & b).alias("both"), F.count_if("x").alias("conflicts"), F.count_if(a & ~b).alias("only_first"), F.count_if(b & ~a).alias("only_second"), F.count_if(~a & ~b).alias("neither"), F.count_if((a | b) & ~F.col("p")).alias("unproven"))
+
+
+def created_groups(feed: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and created: the known groups and those that a feed names first. A feed's row with a null key makes no group."""
+    named = feed.select(*keys).dropna().distinct().join(groups.select(*keys).distinct(), keys, "left_anti")
+    return groups.select(*keys).distinct().withColumn("created", F.lit(False)).unionByName(named.withColumn("created", F.lit(True)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortcast.operators import intake as k
 from cohortcast.queries.frames import FIELD, field, table
 from cohortcast.queries.members import _then
+from cohortcast.sources.sinks import new_rows
 
 #: Books whose prices are taken.
 BOOKS = ["fanduel", "draftkings", "twinspires", "churchill", "betmgm", "betonline", "caesars", "manual", "morningline"]
@@ -140,6 +141,23 @@ Q15 = """WITH o AS (SELECT o_orderkey AS n, o_orderpriority AS p, o_orderstatus
 c AS (SELECT 'class' AS feature, CASE WHEN n % 4 <> 0 THEN p END AS a, CASE WHEN there AND n % 2 = 0 THEN p END AS b, ok1, ok2 FROM o UNION ALL SELECT 'style', CASE WHEN n % 5 <> 0 THEN s END, CASE WHEN there THEN CASE WHEN n % 11 = 0 THEN 'Z' ELSE s END END, ok1, ok2 FROM o)
 SELECT feature, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS "both", count(*) FILTER (a <> b) AS conflicts, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS only_first, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS only_second, count(*) FILTER (a IS NULL AND b IS NULL) AS neither, count(*) FILTER (coalesce(a, b) IS NOT NULL AND NOT ((a IS NOT NULL AND ok1) OR (b IS NOT NULL AND ok2))) AS unproven FROM c GROUP BY 1"""
 
+def s04_new_groups(spark, d):
+    """Orders as a feed of groups by customer and month; the fulfilled ones' groups are known."""
+    o = table(spark, d, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus")
+    return k.created_groups(o, o.where("o_orderstatus = 'F'"), ["o_custkey", "month"])
+
+
+S04 = "SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, NOT bool_or(o_orderstatus = 'F') AS created FROM orders GROUP BY 1, 2"
+
+
+def s18_prediction_log(spark, d):
+    """What a log takes of all lines by day, where those of small numbers are logged: an entry of a card once."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day"))
+    return new_rows(lines.where("l_linenumber < 4"), lines, ["l_orderkey", "l_partkey", "day"]).groupBy("day").agg(F.count("*").alias("appended"))
+
+
+S18 = "WITH l AS (SELECT l_orderkey, l_partkey, CAST(l_shipdate AS DATE) AS day, min(l_linenumber) AS least FROM lineitem GROUP BY 1, 2, 3) SELECT day, count(*) AS appended FROM l WHERE least >= 4 GROUP BY 1"
+
 QUERIES = {
     "s03_odds_feed": (s03_odds_feed, S03),
     "s05_outcome_log": (s05_outcome_log, S05),
@@ -150,4 +168,6 @@ QUERIES = {
     "s22_history": (s22_history, S22),
     "l09_registry": (l09_registry, L09),
     "q15_providers": (q15_providers, Q15),
+    "s04_new_groups": (s04_new_groups, S04),
+    "s18_prediction_log": (s18_prediction_log, S18),
 }

@@ -98,3 +98,9 @@ def test_history_and_registry(spark):
     one = spark.createDataFrame([(1, 1, 5, "x"), (2, 9, 5, "x"), (3, None, 5, None)], "k int, t int, cut int, v string")
     two = spark.createDataFrame([(1, 9, "y"), (2, None, None)], "k int, t int, v string")
     assert [tuple(r) for r in intake.provider_coverage(one, two, "k", ["v"], "t", "cut").collect()] == [("v", 1, 1, 1, 0, 1, 1)]
+
+
+def test_created_groups(spark):
+    feed = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "t int, d string")
+    got = intake.created_groups(feed, spark.createDataFrame([(1, "a"), (3, "z")], "t int, d string"), ["t", "d"]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "a", False), (2, "b", True), (3, "z", False)]
