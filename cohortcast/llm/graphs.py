@@ -18,6 +18,17 @@ def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return out.coalesce(1 + out.count() // rows)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """A checkpoint of df that keeps how its rows are dealt and sorted, so that joins on them neither shuffle nor sort: an adaptive plan would not tell."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(key, was)
+
+
 def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
     """About the `most` rows of highest count, and no more than that; ties at the end are cut as they come.
 

@@ -165,9 +165,80 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    pieces = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), longest=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import books_digest, compress
+
+    coded, codebooks = compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books_digest(codebooks)).alias("codebooks_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit_texts
+
+    return audit_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """The rounds one after the other: a<k> assigns, c<k> replaces."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (
+  SELECT x.r, x.p, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN c{k} c USING (p)) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+  SELECT p, e, list(floor_mean ORDER BY i) AS v FROM (
+    SELECT p, e, i, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS floor_mean
+    FROM (SELECT a.p, a.e, unnest(range(1, 9)) AS i, unnest(x.v) AS y FROM a{k} a JOIN x USING (r, p)) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p, q[8 * p + 1 : 8 * p + 8] AS v FROM k, range(8) s(p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM x WHERE r <= 16),
+{", ".join(steps)},
+n AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, i)) FROM (SELECT p, e, unnest(range(1, 9)) AS i, unnest(v) AS y FROM c{rounds})) AS codebooks_sha256
+FROM k JOIN n USING (r)
+"""
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d LEFT JOIN l USING (doc_id)),
+a AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT v.c || w.c || x.c || y.c || z.c AS o FROM c v, c w, c x, c y, c z WHERE len(list_distinct([v.c, w.c, x.c, y.c, z.c])) = 5),
+s AS (SELECT o, k, o[k] AS own, o[1 : k - 1] AS before FROM o, range(1, 6) r(k)),
+j AS (
+  SELECT part, o AS filter_order, k AS step, own, sum(CASE WHEN translate(fails, before || own, '') = fails THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN contains(fails, own) AND translate(fails, before, '') = fails THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN contains(fails, own) AND translate(fails, before, '') <> fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN contains(fails, own) AND translate(fails, before, '') = fails THEN g ELSE 0 END) AS good_lost,
+         sum(CASE WHEN contains(fails, own) AND translate(fails, before, '') = fails THEN x ELSE 0 END) AS toxic_lost
+  FROM a, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM j
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_html_extract, op4_quality_rules, op5_ngram_jaccard, op6_decontaminate, op7_bpe, op8_url_filter, op9_lang_id, op10_token_counts)}
+    named = (op1_pii, op2_substring_dedup, op3_html_extract, op4_quality_rules, op5_ngram_jaccard, op6_decontaminate, op7_bpe, op8_url_filter, op9_lang_id, op10_token_counts, op11_packing, op12_vector_codes, op13_filter_audit)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": _op8_sql()}
+    return {"op2_substring_dedup": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_url_filter": _op8_sql(), "op12_vector_codes": _op12_sql(), "op13_filter_audit": OP13_SQL}
