@@ -65,32 +65,42 @@ def summary(scores: DataFrame, forecast: str) -> DataFrame:
     return scores.groupBy(forecast).agg(F.count("*").alias("groups"), *[F.avg(c).alias(f"mean_{c}") for c in ("log_loss", "brier", "winner_rank", "top1")])
 
 
-def paired(scores: DataFrame, group: str, forecast: str, a: str, b: str, measure: str = "log_loss", target: float = 0.01) -> DataFrame:
-    """One row: mean difference a - b over groups that both have, its normal interval, a verdict, and groups needed to see `target`."""
-    x, y = (scores.where(F.col(forecast) == f).select(group, F.col(measure).alias(n)) for f, n in ((a, "_a"), (b, "_b")))
-    d = F.col("_a") - F.col("_b")
-    out = x.join(y, group).agg(F.count("*").alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd"))
-    half = 1.96 * F.col("sd") / F.sqrt("n")
-    out = out.withColumn("lo", F.col("mean_diff") - half).withColumn("hi", F.col("mean_diff") + half)
-    return out.withColumn("verdict", F.when(F.col("hi") < 0, "BETTER").when(F.col("lo") > 0, "WORSE").otherwise("UNCLEAR")).withColumn("needed", F.ceil(F.pow(1.96 * F.col("sd") / target, 2)))
-
-
-def bootstrap(df: DataFrame, by: list[str], key: str, num: str, den: Column | None = None, reps: int = 200, seed: int = 7) -> DataFrame:
-    """Percentile interval of sum(num) / sum(den) (a mean, by default) over resamples.
-
-    Each row has a Poisson(1) weight in each resample, drawn from a hash of key, resample and seed, so tasks
-    agree on them and the result is repeatable. A row expands to `reps` weights that are summed in its own
-    task before anything is shuffled: what moves is a row for each group, resample and task.
+#: Groups without which no verdict is given.
+LEAST_GROUPS = 30
+
+
+def paired(scores: DataFrame, group: str, forecast: str, a: str, b: str, gain: float = 0.01) -> DataFrame:
+    """One row: differences a - b over groups that both have (negative: a is better), without resampling.
+
+    n, mean_diff and sd of log loss, brier_diff, and needed: groups without which a gain of this share of b's log loss isn't seen (null if sd is 0 or n is 2 or less).
     """
-    den = den if den is not None else F.lit(1.0)
-    u = F.pmod(F.xxhash64(key, "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]  # the cumulative Poisson(1) distribution
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = df.select(*by, key, F.col(num).alias("_num"), den.alias("_den"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("_w", weight)
-    sums = drawn.groupBy(*by, "rep").agg((F.sum(F.col("_w") * F.col("_num")) / F.sum(F.col("_w") * F.col("_den"))).alias("_x"))
-    point = df.groupBy(*by).agg((F.sum(num) / F.sum(den)).alias("estimate"))
-    ends = sums.groupBy(*by).agg(F.percentile("_x", F.lit(0.025)).alias("lo"), F.percentile("_x", F.lit(0.975)).alias("hi"))
-    return point.join(ends, by) if by else point.crossJoin(ends)  # one row each
+    return _differences(scores, group, forecast, a, b).agg(F.count("*").alias("n"), F.avg("loss").alias("mean_diff"), F.coalesce(F.stddev_samp("loss"), F.lit(0.0)).alias("sd"), F.avg("brier").alias("brier_diff"), F.avg("reference").alias("_r")).withColumn(
+        "needed", F.when((F.col("n") > 2) & (F.col("sd") > 0) & (F.col("_r") > 0), F.ceil(F.pow(1.96 * F.col("sd") / (gain * F.col("_r")), 2)))
+    ).drop("_r")
+
+
+def _differences(scores: DataFrame, group: str, forecast: str, a: str, b: str) -> DataFrame:
+    x, y = (scores.where(F.col(forecast) == f).select(group, F.struct("log_loss", "brier").alias(n)) for f, n in ((a, "_a"), (b, "_b")))
+    both = x.join(y, group).where("_a.log_loss IS NOT NULL AND _b.log_loss IS NOT NULL")
+    return both.select(group, F.expr("_a.log_loss - _b.log_loss AS loss"), F.expr("_a.brier - _b.brier AS brier"), F.expr("_b.log_loss AS reference"))
+
+
+def paired_verdict(scores: DataFrame, group: str, forecast: str, a: str, b: str, reps: int = 2000, seed: int = 7) -> DataFrame:
+    """One row: n, and the differences of log loss and Brier score (a - b) with bootstrap intervals over groups, and the verdict that the interval of log loss allows."""
+    from cohortcast.operators.resample import intervals
+
+    out = intervals(_differences(scores, group, forecast, a, b), [], group, {"loss": ("loss", None), "brier": ("brier", None)}, reps, seed)
+    verdict = F.when(F.col("n") < LEAST_GROUPS, "INSUFFICIENT_DATA").when(F.col("loss_hi") < 0, "BETTER_THAN_REFERENCE").when(F.col("loss_lo") > 0, "WORSE_THAN_REFERENCE").otherwise("NOT_DISTINGUISHABLE")
+    return out.withColumn("verdict", verdict)
+
+
+def bootstrap(df: DataFrame, by: list[str], key: str, num: str, den: Column | None = None, reps: int = 2000, seed: int = 7) -> DataFrame:
+    """estimate, lo and hi: percentile interval of sum(num) / sum(den) (a mean, by default) over resampled groups. df has a row for each group, told by key."""
+    from cohortcast.operators.resample import intervals
+
+    rows = df.select(*by, key, F.col(num).alias("_num"), (den if den is not None else F.lit(1.0)).alias("_den"))
+    out = intervals(rows, by, key, {"estimate": ("_num", "_den")}, reps, seed)
+    return out.select(*by, "estimate", F.col("estimate_lo").alias("lo"), F.col("estimate_hi").alias("hi"))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

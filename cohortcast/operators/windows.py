@@ -93,18 +93,18 @@ def drift_series(df: DataFrame, by: list[str], order: list, price: str) -> DataF
 
 
 def date_blocks(df: DataFrame, date: str, blocks: int, out: str = "block") -> DataFrame:
-    """Chronological blocks of about equally many distinct dates; a date is never split. Dates are few rows, broadcast by Spark if small."""
-    dates = df.select(date).distinct().groupBy().agg(F.array_sort(F.collect_set(date)).alias("_d"))
-    numbered = dates.select(F.posexplode("_d").alias("_k", date), F.size("_d").alias("_n")).select(date, F.floor(F.col("_k") * blocks / F.col("_n")).cast("int").alias(out))
-    return df.join(numbered, date)
+    """Chronological blocks of about equally many distinct days; a day is never split. Times count by their day, so that days are few rows."""
+    dates = df.select(F.to_date(date).alias("_day")).distinct().groupBy().agg(F.array_sort(F.collect_set("_day")).alias("_d"))
+    numbered = dates.select(F.posexplode("_d").alias("_k", "_day"), F.size("_d").alias("_n")).select("_day", F.floor(F.col("_k") * blocks / F.col("_n")).cast("int").alias(out))
+    return df.withColumn("_day", F.to_date(date)).join(numbered, "_day").drop("_day")
 
 
 def split_by_date(df: DataFrame, date: str, train: float = 0.70, valid: float = 0.15) -> DataFrame:
-    """A column `part`: train, valid or test, by the share of distinct dates up to each."""
-    dates = df.select(date).distinct().groupBy().agg(F.array_sort(F.collect_set(date)).alias("_d"))
+    """A column `part`: train, valid or test, by the share of distinct days up to each."""
+    dates = df.select(F.to_date(date).alias("_day")).distinct().groupBy().agg(F.array_sort(F.collect_set("_day")).alias("_d"))
     at = (F.col("_k") + 1) / F.col("_n")
-    labels = dates.select(F.posexplode("_d").alias("_k", date), F.size("_d").alias("_n")).select(date, F.when(at <= train, "train").when(at <= train + valid, "valid").otherwise("test").alias("part"))
-    return df.join(labels, date)
+    labels = dates.select(F.posexplode("_d").alias("_k", "_day"), F.size("_d").alias("_n")).select("_day", F.when(at <= train, "train").when(at <= train + valid, "valid").otherwise("test").alias("part"))
+    return df.withColumn("_day", F.to_date(date)).join(labels, "_day").drop("_day")
 
 
 def free_slots(df: DataFrame, group: str, slot: str, tie: str, most: int) -> DataFrame:

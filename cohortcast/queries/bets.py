@@ -114,6 +114,30 @@ def e13_report(spark, d):
 E13 = with_sql(SETTLED, "SELECT 'edge_v1' AS policy, class, count(*) FILTER (l) AS bets, count(*) FILTER (status = 'WON') AS wins, sum(CASE WHEN l THEN 2.0::DOUBLE ELSE 0 END) AS turnover, round(sum(net), 4) AS net, round(sum(CASE WHEN l THEN p END), 4) AS expected_wins, round(sum(net) / sum(CASE WHEN l THEN 2 ELSE 0 END), 5) AS roi, round((count(*) FILTER (status = 'WON') - sum(CASE WHEN l THEN p END)) / sqrt(sum(CASE WHEN l THEN p * (1 - p) END)), 4) AS z FROM (SELECT *, status IN ('WON', 'LOST') AS l FROM settled) GROUP BY class")
 
 
+def _priced(spark, d):
+    """Settled bets with the card's day and the value of their price against the last one, which follows the members' share of price."""
+    f = dated(spark, d).select("card", "member", "day", (1 / (F.col("p") * 1.18)).alias("closing"))
+    return _settled(spark, d).join(f, ["card", "member"]).withColumn("clv", backtest.closing_line_value(F.col("decimal"), F.col("closing")))
+
+
+def a15_performance(spark, d):
+    b = _priced(spark, d)
+    whole = backtest.performance(b, ["policy", "class"], F.lit(2.0)).join(backtest.max_drawdown(b.where("status IN ('WON', 'LOST')"), ["policy", "class"], "day", ["card", "member"]), ["policy", "class"], "left")
+    return whole.select("policy", "class", "bets", "refunded", "staked", "wins", *[r(c, 4) for c in ("returned", "profit", "roi", "hit_rate", "expected_hit_rate", "expected_wins", "wins_z", "mean_decimal", "mean_clv", "positive_clv", "max_drawdown")], "needed")
+
+
+A15 = with_sql(SETTLED, """, pr AS (SELECT s.*, f.day, decimal_ * f.p * 1.18 - 1 AS clv, status IN ('WON', 'LOST') AS l FROM (SELECT *, decimal AS decimal_ FROM settled) s JOIN dated f ON f.card = s.card AND f.member = s.member),
+run AS (SELECT class, bal, greatest(0, max(bal) OVER (PARTITION BY class ORDER BY day, card, member ROWS UNBOUNDED PRECEDING)) AS peak FROM (SELECT *, sum(net) OVER (PARTITION BY class ORDER BY day, card, member ROWS UNBOUNDED PRECEDING) AS bal FROM pr WHERE l)),
+dd AS (SELECT class, max(peak - bal) AS dd FROM run GROUP BY 1),
+g AS (SELECT class, count(*) FILTER (l) AS bets, count(*) FILTER (status = 'REFUNDED_SCRATCH') AS refunded, coalesce(sum(2.0::DOUBLE) FILTER (l), 0) AS staked, coalesce(sum(net) FILTER (l), 0) AS profit, avg((status = 'WON')::INT) FILTER (l) AS hr, avg(p) FILTER (l) AS ehr, count(*) FILTER (status = 'WON') AS wins, sum(p) FILTER (l) AS ew, sum(p * (1 - p)) FILTER (l) AS v, avg(decimal) FILTER (l) AS md, avg(clv) FILTER (l) AS mc, avg((clv > 0)::INT) FILTER (l) AS pc, stddev_samp(net / 2) FILTER (l) AS sd FROM pr GROUP BY 1)
+SELECT 'edge_v1' AS policy, class, bets, refunded, staked, wins, round(staked + profit, 4) AS returned, round(profit, 4) AS profit, round(profit / nullif(staked, 0), 4) AS roi, round(hr, 4) AS hit_rate, round(ehr, 4) AS expected_hit_rate, round(ew, 4) AS expected_wins, round((wins - ew) / sqrt(nullif(v, 0)), 4) AS wins_z, round(md, 4) AS mean_decimal, round(mc, 4) AS mean_clv, round(pc, 4) AS positive_clv, round(dd, 4) AS max_drawdown, CASE WHEN sd > 0 THEN CAST(ceil((1.96 * sd / 0.05) ** 2) AS BIGINT) END AS needed FROM g LEFT JOIN dd USING (class)""").replace("\n, pr AS", ",\npr AS", 1)
+
+
+def a15_verdicts(spark, d):
+    """Returns and closing-line values by class with intervals from 2,000 resamples of bets."""
+    return backtest.verdicts(_priced(spark, d), ["policy", "class"], "decision_id", F.lit(2.0))
+
+
 def x14_history_form(spark, d):
     f = dated(spark, d)
     h = f.select("jockey", F.col("day").alias("past"), features.beaten_share(F.col("finish"), F.col("n")).alias("score"))
@@ -193,6 +217,8 @@ QUERIES = {
     "e11_decide": (e11_decide, with_sql(DECIDED, "SELECT 'edge_v1' AS policy, card, member, round(edge, 6) AS edge, round(ev, 6) AS ev, sha256('edge_v1|' || card || '|' || member) AS decision_id FROM bets")),
     "e12_settle": (e12_settle, with_sql(SETTLED, "SELECT card, member, status, round(net, 6) AS net FROM settled")),
     "e13_report": (e13_report, E13),
+    "a15_performance": (a15_performance, A15),
+    "a15_verdicts": (a15_verdicts, None),
     "e15_newest_version": (e15_newest_version, "WITH e AS (SELECT *, 'v' || (event_id % 4) AS version FROM events), n AS (SELECT event_type, arg_max(version, (ts, event_id)) AS version FROM e GROUP BY 1) SELECT event_type, version, count(*) AS n FROM e JOIN n USING (event_type, version) GROUP BY 1, 2"),
     "walk_forward": (walk_forward, WALK),
     "x03_layoff": (x03_layoff, X03),

@@ -59,13 +59,20 @@ def a09_summary(spark, d):
 
 def a11_paired(spark, d):
     s = agg.group_scores(_long(field(spark, d)), "card", "forecast", "p", "won")
-    return agg.paired(s, "card", "forecast", "market", "price").select("n", r("mean_diff"), r("lo"), r("hi"), "verdict")
+    return agg.paired(s, "card", "forecast", "market", "price").select("n", r("mean_diff"), r("sd"), r("brier_diff"), "needed")
 
 
-A11 = with_sql(SCORES, "SELECT n, round(md, 6) AS mean_diff, round(md - 1.96 * sd / sqrt(n), 6) AS lo, round(md + 1.96 * sd / sqrt(n), 6) AS hi, CASE WHEN md + 1.96 * sd / sqrt(n) < 0 THEN 'BETTER' WHEN md - 1.96 * sd / sqrt(n) > 0 THEN 'WORSE' ELSE 'UNCLEAR' END AS verdict FROM (SELECT count(*) AS n, avg(a.log_loss - b.log_loss) AS md, stddev_samp(a.log_loss - b.log_loss) AS sd FROM scores a JOIN scores b ON a.card = b.card AND a.forecast = 'market' AND b.forecast = 'price')")
+A11 = with_sql(SCORES, "SELECT n, round(md, 6) AS mean_diff, round(sd, 6) AS sd, round(bd, 6) AS brier_diff, CAST(ceil((1.96 * sd / (0.01 * rf)) ** 2) AS BIGINT) AS needed FROM (SELECT count(*) AS n, avg(a.log_loss - b.log_loss) AS md, stddev_samp(a.log_loss - b.log_loss) AS sd, avg(a.brier - b.brier) AS bd, avg(b.log_loss) AS rf FROM scores a JOIN scores b ON a.card = b.card AND a.forecast = 'market' AND b.forecast = 'price')")
+
+
+def a11_verdict(spark, d):
+    """Differences of two forecasts with intervals from 2,000 resamples of cards."""
+    s = agg.group_scores(_long(field(spark, d)), "card", "forecast", "p", "won")
+    return agg.paired_verdict(s, "card", "forecast", "market", "price")
 
 
 def a12_bootstrap(spark, d):
+    """How often the first post wins, by surface, with intervals from 2,000 resamples of cards."""
     f = field(spark, d).where("finish = 1").withColumn("hit", (F.col("post") == 1).cast("double"))
     return agg.bootstrap(f, ["surface"], "card", "hit")
 
@@ -177,6 +184,7 @@ QUERIES = {
     "e02_group_scores": (e02_group_scores, with_sql(SCORES, "SELECT card, forecast, round(log_loss, 6) AS log_loss, round(brier, 9) AS brier, round(winner_rank, 6) AS winner_rank, round(top1, 6) AS top1, field_size FROM scores")),
     "a09_summary": (a09_summary, with_sql(SCORES, "SELECT forecast, count(*) AS groups, round(avg(log_loss), 5) AS mean_log_loss, round(avg(brier), 5) AS mean_brier, round(avg(winner_rank), 5) AS mean_winner_rank, round(avg(top1), 5) AS mean_top1 FROM scores GROUP BY 1")),
     "a11_paired": (a11_paired, A11),
+    "a11_verdict": (a11_verdict, None),
     "a12_bootstrap": (a12_bootstrap, None),
     "a13_wilson": (a13_wilson, A13),
     "a19_distinct": (a19_distinct, with_sql(DATED, "SELECT class, count(DISTINCT card) AS cards, count(DISTINCT day) AS days, count(DISTINCT owner) AS owners FROM dated GROUP BY 1")),

@@ -64,24 +64,6 @@ def l03_sufficiency(spark, d):
     return learning.sufficiency(dated(spark, d), "class", "card", 3000, 12000).select("class", "groups", "rows", "model")
 
 
-def l06_rolling_forecasts(spark, d):
-    """Out-of-fold probabilities of a boosted model: each block of dates from those before it."""
-    f = dated(spark, d).select("card", "member", "day", "price", "qty", "post", "n", (F.col("finish") == 1).cast("double").alias("label")).withColumn("cheap", F.col("price") / F.col("qty"))
-    columns = ["price", "post", "n", "cheap"]
-
-    def fit_predict(train, test):
-        return learning.predict(learning.fit_classifier(train, columns, "label", trees=3, depth=3), test, "card")
-
-    out = learning.rolling_forecasts(f.drop("qty"), "day", "label", 2, 7, fit_predict)
-    return out.groupBy("fold").agg(F.count("*").alias("members"), F.count_distinct("card").alias("cards"), F.round(F.sum("p") / F.count_distinct("card"), 6).alias("p_a_card"))
-
-
-def l04_calibration(spark, d):
-    f = dated(spark, d).where("n > 1").select("card", F.round("m", 4).alias("p"), (F.col("finish") == 1).cast("double").alias("label"))
-    model = learning.calibrate(f, "p", "label")
-    return model.transform(f).groupBy(F.floor(F.col("p") * 10).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("prediction"), 4).alias("calibrated"))
-
-
 def s17_scope_overwrite(spark, d):
     """Partitions of two classes are written again; the others stay as they were."""
     out = shared_folder(spark, "s17")
@@ -93,8 +75,6 @@ def s17_scope_overwrite(spark, d):
 
 QUERIES = {
     "l03_sufficiency": (l03_sufficiency, with_sql(DATED, "SELECT class, count(DISTINCT card) AS groups, count(*) AS rows, CASE WHEN count(DISTINCT card) >= 3000 AND count(*) >= 12000 THEN class ELSE 'pooled' END AS model FROM dated GROUP BY 1")),
-    "l04_calibration": (l04_calibration, None),
-    "l06_rolling_forecasts": (l06_rolling_forecasts, None),
     "s17_scope_overwrite": (s17_scope_overwrite, "SELECT o_orderstatus, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END)::DOUBLE, 1) AS total FROM orders GROUP BY 1"),
     "t01_ingest": (t01_ingest, "SELECT e.event_id, e.user_id, e.ts FROM events e JOIN (SELECT user_id, max(ts) AS post FROM events WHERE event_type = 'purchase' GROUP BY 1) p USING (user_id) WHERE event_type = 'click' AND e.ts < post"),
     "t03_drift": (t03_drift, T03),
