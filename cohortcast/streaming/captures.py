@@ -1,7 +1,11 @@
-"""Price captures as a stream: ingest, assembly, drift, settlement and arrival of artifacts."""
+"""Price captures as a stream: ingest, assembly, drift, settlement, arrival of artifacts, and evaluation as outcomes come in."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +17,43 @@ def ingest(captures: DataFrame, posts: DataFrame, group: str, ts: str, keys: lis
     return known.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def complete_batches(captures: DataFrame, expected: DataFrame, group: str, member: str, ts: str, late: str = "10 minutes", window: str = "1 minute") -> DataFrame:
-    """Batches of one minute that quote every expected member. expected is a table (group, member)."""
-    size = expected.groupBy(group).agg(F.count_distinct(member).alias("want"))
-    seen = captures.withWatermark(ts, late).groupBy(F.window(ts, window).alias("at"), group).agg(F.size(F.collect_set(member)).alias("have"))
-    return seen.join(size, group).where("have = want").select(group, F.col("at.start").alias("batch"), "have")
+def complete_batches(captures: DataFrame, expected: DataFrame, group: str, member: str, batch: str, ts: str, price: str, late: str = "10 minutes", wait: str = "10 minutes", at_once: bool = True) -> DataFrame:
+    """(group, batch, members, refused): capture batches that quote every expected member of their group.
+
+    batch: a timestamp that the quotes of one capture share; expected: a table (group, member). The state of a batch holds its
+    members' first prices, so it is as large as its group's field. With `at_once` a batch comes out with the quote that completes it
+    and never again; it is forgotten when the watermark has passed it by `wait`. Without, it is judged at that time, and left out if a member was
+    quoted at two prices. Repeated quotes change nothing; those of members that aren't expected are ignored, and so are late ones and those without a price.
+    """
+    want = expected.where(F.col(member).isNotNull()).groupBy(group).agg(F.sort_array(F.collect_set(F.col(member).cast("string"))).alias("_want"))
+    quotes = captures.withWatermark(ts, late).where(F.col(price).isNotNull()).join(want, group)
+    quotes = quotes.select(F.col(group).cast("string").alias("_group"), F.col(batch).cast("timestamp").alias("_batch"), F.col(ts), F.col(member).cast("string").alias("_member"), F.col(price).cast("double").alias("_price"), "_want", F.expr(f"unix_millis(CAST(`{batch}` AS timestamp) + interval {wait})").alias("_until"))
+
+    def assemble(key, frames: Iterable[pd.DataFrame], state):
+        held = json.loads(state.get[0]) if state.exists else {"prices": {}, "clash": False, "told": False, "want": []}
+        whole = lambda: bool(held["want"]) and set(held["want"]) <= set(held["prices"])
+        row = lambda: pd.DataFrame({"key": [key[0]], "batch": [key[1]], "members": [len(held["prices"])]})
+        if state.hasTimedOut:
+            if not at_once and whole() and not held["clash"]:
+                yield row()
+            state.remove()
+            return
+        until = None
+        for frame in frames:
+            for name, cost, want, last in zip(frame["_member"], frame["_price"], frame["_want"], frame["_until"]):
+                held["want"], until = list(want), int(last)
+                if name in held["want"]:
+                    held["clash"] |= held["prices"].setdefault(name, cost) != cost
+        told = held["told"]
+        held["told"] = told or whole()
+        state.update((json.dumps(held),))
+        if until is not None:
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        if at_once and held["told"] and not told:
+            yield row()
+
+    out = quotes.groupBy("_group", "_batch").applyInPandasWithState(assemble, "key string, batch timestamp, members int", "held string", "append", "EventTimeTimeout")
+    return out.select(F.col("key").cast(captures.schema[group].dataType).alias(group), "batch", "members")
 
 
 def drift(captures: DataFrame, by: list[str], ts: str, price: str, window: str = "10 minutes", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -27,18 +63,52 @@ def drift(captures: DataFrame, by: list[str], ts: str, price: str, window: str =
 
 
 def settlements(bets: DataFrame, outcomes: DataFrame, key: str, bet_ts: str, outcome_ts: str, within: str = "2 days", late: str = "1 day") -> DataFrame:
-    """Open bets joined to outcomes that arrive within a span after them; bets without one come out when the watermark passes."""
+    """Open bets joined to outcomes that arrive within a span after them; bets without one come out, once, when the watermark passes the span."""
     b = bets.withWatermark(bet_ts, late).alias("b")
     o = outcomes.withWatermark(outcome_ts, late).alias("o")
     on = F.expr(f"b.{key} = o.{key} AND o.{outcome_ts} >= b.{bet_ts} AND o.{outcome_ts} <= b.{bet_ts} + interval {within}")
     return b.join(o, on, "left_outer").select("b.*", *[F.col(f"o.{c}").alias(f"outcome_{c}") for c in outcomes.columns])
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """For foreachBatch: appends rows whose keys the table at path lacks, so that a repeated batch adds nothing."""
-    fresh = batch.dropDuplicates(keys)
+def stored(spark, path: str) -> DataFrame | None:
+    """The table at path, or None where nothing is stored yet. Any other fault is the caller's."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def fresh_rows(batch: DataFrame, batch_id: int, path: str, keys: list[str], parts: int = 32) -> DataFrame:
+    """Rows of the batch whose keys no other batch has stored at path, each key once, with their `stored_part`.
+
+    The table is partitioned by batch (`stored_batch`) and a hash of the keys: only parts that the batch touches are read (at most `parts` numbers come to the driver),
+    and never what an earlier try of this batch has left.
+    """
+    own = batch.withColumn("stored_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).dropDuplicates(keys)
+    known = stored(batch.sparkSession, path)
+    if known is None:
+        return own
+    touched = [r.stored_part for r in own.select("stored_part").distinct().collect()]
+    return own.join(known.where(F.col("stored_part").isin(touched) & (F.col("stored_batch") != batch_id)).select("stored_part", *keys), ["stored_part", *keys], "left_anti")
+
+
+def store_new(batch: DataFrame, batch_id: int, path: str, keys: list[str], parts: int = 32) -> None:
+    """For foreachBatch: stores rows whose keys the table at path lacks. A batch that is tried again replaces its own rows, so nothing is stored twice."""
+    fresh_rows(batch, batch_id, path, keys, parts).write.mode("overwrite").partitionBy("stored_part").parquet(f"{path}/stored_batch={batch_id}")
+
+
+def evaluate_new(batch: DataFrame, batch_id: int, path: str, keys: list[str], by: list[str], sums: dict[str, F.Column], parts: int = 32) -> None:
+    """For foreachBatch: stores new rows under path/rows, and the sums of what is new by `by` under path/sums. Both are replaced when a batch is tried again."""
+    new = fresh_rows(batch, batch_id, f"{path}/rows", keys, parts).persist()
     try:
-        fresh = fresh.join(batch.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
-    except AnalysisException:  # the first batch: nothing is stored yet
-        pass
-    fresh.write.mode("append").parquet(path)
+        new.write.mode("overwrite").partitionBy("stored_part").parquet(f"{path}/rows/stored_batch={batch_id}")
+        new.groupBy(*by).agg(*[F.sum(x).alias(name) for name, x in sums.items()]).coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/stored_batch={batch_id}")
+    finally:
+        new.unpersist()
+
+
+def evaluation(spark, path: str, by: list[str], sums: list[str]) -> DataFrame:
+    """The sums of all batches: what is read grows with the batches, not with their rows."""
+    return spark.read.parquet(f"{path}/sums").groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
