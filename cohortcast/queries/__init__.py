@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["fields", "lookups", "measures", "checks", "bets", "records", "cards", "models", "members", "audits", "gates", "intake", "learned"]
+_MODULES = ["fields", "lookups", "measures", "checks", "bets", "records", "cards", "models", "members", "audits", "gates", "intake", "learned", "histories"]
 
 
 def _all() -> dict:

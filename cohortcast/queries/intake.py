@@ -100,6 +100,40 @@ def q14_views(spark, d):
 
 Q14 = "WITH a AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f, min(l_linestatus) AS s, min(CASE WHEN l_linenumber > 2 THEN l_suppkey END) AS e, l_orderkey + l_linenumber AS n FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN n % 5 = 0 AND f <> 'X' THEN 'l_returnflag' END, CASE WHEN n % 7 = 0 AND e IS NOT NULL THEN 'evidence' END) AS fields FROM a WHERE n % 13 <> 0 AND ((n % 5 = 0 AND f <> 'X') OR (n % 7 = 0 AND e IS NOT NULL))"
 
+def s22_fuzzy_names(spark, d):
+    """History rows come under typed names: some lack their last character, some have a wrong one. All customers are one block."""
+    from cohortcast.operators.joins import best_match
+
+    c = table(spark, d, "customer").select(F.lit(1).alias("block"), "c_custkey", "c_name")
+    typed = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.substring("c_name", 1, 12), F.lit("x"), F.expr("substring(c_name, 14)"))).when(F.col("c_custkey") % 3 == 1, F.expr("substring(c_name, 1, length(c_name) - 1)")).otherwise(F.lower("c_name"))
+    got = best_match(c.select("block", F.col("c_custkey").alias("row"), typed.alias("typed")), c, "block", "typed", "c_name", "c_custkey")
+    return got.select("row", "match_id", "match_type", F.round("match_score", 6).alias("match_score"))
+
+
+S22F = """WITH c AS (SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS k, regexp_replace(upper(CASE c_custkey % 3 WHEN 0 THEN substr(c_name, 1, 12) || 'x' || substr(c_name, 14) WHEN 1 THEN substr(c_name, 1, length(c_name) - 1) ELSE c_name END), '[^A-Z0-9]', '', 'g') AS t FROM customer),
+e AS (SELECT k, min(c_custkey) AS id FROM c GROUP BY 1 HAVING count(*) = 1), x AS (SELECT c.c_custkey AS row, t, e.id FROM c LEFT JOIN e ON e.k = c.t),
+s AS (SELECT x.t, b.c_custkey AS id, 1 - levenshtein(x.t, b.k) / greatest(length(x.t), length(b.k)) AS sim FROM (SELECT DISTINCT t FROM x WHERE id IS NULL) x, c b),
+f AS (SELECT t, min(id) AS fid, count(DISTINCT id) AS n, max(sim) AS sim FROM (SELECT *, max(sim) OVER (PARTITION BY t) AS best FROM s WHERE sim >= 0.72) WHERE sim = best GROUP BY 1)
+SELECT row, CASE WHEN id IS NOT NULL THEN id WHEN n = 1 THEN fid END AS match_id, CASE WHEN id IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'fuzzy' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS match_type, round(CASE WHEN id IS NOT NULL THEN 1 ELSE sim END, 6) AS match_score FROM x LEFT JOIN f USING (t)"""
+
+
+def j30_names(spark, d):
+    """A preview of results by name: suppliers are members of their nation, and every fourth result has a wrong digit; what would match how, by nation."""
+    from cohortcast.operators.joins import best_match
+
+    m = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+    typed = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.expr("substring(s_name, 1, length(s_name) - 1)"), F.lit("z"))).when(F.col("s_suppkey") % 4 == 1, F.reverse("s_name")).otherwise(F.upper("s_name"))
+    got = best_match(m.select("s_nationkey", typed.alias("typed")), m, "s_nationkey", "typed", "s_name", "s_suppkey")
+    return got.groupBy("s_nationkey", "match_type").agg(F.count("*").alias("results"), F.count("match_id").alias("matched"))
+
+
+J30N = """WITH c AS (SELECT s_nationkey AS b, s_suppkey AS i, regexp_replace(upper(s_name), '[^A-Z0-9]', '', 'g') AS k, regexp_replace(upper(CASE s_suppkey % 4 WHEN 0 THEN substr(s_name, 1, length(s_name) - 1) || 'z' WHEN 1 THEN reverse(s_name) ELSE s_name END), '[^A-Z0-9]', '', 'g') AS t FROM supplier),
+e AS (SELECT b, k, min(i) AS id FROM c GROUP BY 1, 2 HAVING count(*) = 1), x AS (SELECT c.b, t, e.id FROM c LEFT JOIN e ON e.b = c.b AND e.k = c.t),
+s AS (SELECT x.b, x.t, c.i, 1 - levenshtein(x.t, c.k) / greatest(length(x.t), length(c.k)) AS sim FROM (SELECT DISTINCT b, t FROM x WHERE id IS NULL) x JOIN c ON c.b = x.b),
+f AS (SELECT b, t, min(i) AS fid, count(DISTINCT i) AS n FROM (SELECT *, max(sim) OVER (PARTITION BY b, t) AS best FROM s WHERE sim >= 0.72) WHERE sim = best GROUP BY 1, 2)
+SELECT x.b AS s_nationkey, CASE WHEN id IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'fuzzy' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS match_type, count(*) AS results, count(CASE WHEN id IS NOT NULL THEN id WHEN n = 1 THEN fid END) AS matched FROM x LEFT JOIN f ON f.b = x.b AND f.t = x.t GROUP BY 1, 2"""
+
+
 def s22_history(spark, d):
     """Customers' orders as history rows by name; some names are of nobody, a segment isn't on the card, older orders are stored."""
     c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), "c_mktsegment")
@@ -166,6 +200,8 @@ QUERIES = {
     "l11_model_choice": (l11_model_choice, L11),
     "q14_views": (q14_views, Q14),
     "s22_history": (s22_history, S22),
+    "s22_fuzzy_names": (s22_fuzzy_names, S22F),
+    "j30_names": (j30_names, J30N),
     "l09_registry": (l09_registry, L09),
     "q15_providers": (q15_providers, Q15),
     "s04_new_groups": (s04_new_groups, S04),
