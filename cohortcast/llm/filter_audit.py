@@ -70,21 +70,37 @@ def later_copies(rows: DataFrame) -> DataFrame:
     return join_groups(rows.select("row", "id", "digest"), groups, ["digest"], "copies").where("id > least").select("row")
 
 
-def overlaps(rows: DataFrame, filters: list[str]) -> DataFrame:
+class Failures:
+    """The stored tables: ids of all rows, ids that fail each filter, and failures with what they are counted by. All are dealt alike by id and sorted."""
+
+    def __init__(self, rows: DataFrame, filters: list[str], per_part: int = 500_000):
+        kept = rows.checkpoint()
+        parts = max(rows.sparkSession.sparkContext.defaultParallelism, 1 + kept.count() // per_part)
+        base = placed(kept.repartition(parts, "row").sortWithinPartitions("row"))
+        named = F.array_compact(F.array(F.lit(""), *[F.when(F.col(f), F.lit(f)) for f in filters]))
+        self.ids = base.select("row")
+        self.failing = [placed(base.where(F.col(f)).select("row")) for f in filters]
+        self.failures = placed(base.select("row", "part", "good", "toxic", F.explode(named).alias("filter")).sortWithinPartitions("row"))
+
+    def survivors(self, prefix: int) -> DataFrame:
+        """Ids that no filter of the prefix removes."""
+        ran = [ids for k, ids in enumerate(self.failing) if prefix >> k & 1]
+        return reduce(lambda left, ids: left.join(ids.hint("merge"), "row", "left_anti"), ran, self.ids)
+
+    def counts(self, prefixes) -> DataFrame:
+        """(part, prefix, filter, n, n_good, n_toxic): what each filter removes of a prefix's survivors; filter "": the survivors themselves."""
+        found = [self.failures.join(self.survivors(p).hint("merge"), "row", "left_semi").select("part", "good", "toxic", "filter", F.lit(p).alias("prefix")) for p in prefixes]
+        return reduce(DataFrame.unionAll, found).groupBy("part", "prefix", "filter").agg(F.count("*").alias("n"), F.count_if("good").alias("n_good"), F.count_if("toxic").alias("n_toxic"))
+
+
+def overlaps(rows: DataFrame, filters: list[str], at_once: int = 8) -> DataFrame:
     """part, prefix (number with a bit for each filter that ran), filter (empty: the survivors), n, n_good, n_toxic.
 
-    rows: row (a unique long), part, good, toxic, and for each filter a Boolean column of its name that tells whether the row fails."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = placed(rows.checkpoint().repartition(parts, "row").sortWithinPartitions("row"))
-    failing = [placed(base.where(F.col(f)).select("row")) for f in filters]
-    named = F.array_compact(F.array(F.lit(""), *[F.when(F.col(f), F.lit(f)) for f in filters]))
-    failures = placed(base.select("row", "part", "good", "toxic", F.explode(named).alias("filter")).sortWithinPartitions("row"))
-    ids, found = base.select("row"), []
-    for prefix in range(1 << len(filters)):
-        ran = [k for k in range(len(filters)) if prefix >> k & 1]
-        survivors = reduce(lambda left, k: left.join(failing[k].hint("merge"), "row", "left_anti"), ran, ids)
-        found.append(failures.join(survivors.hint("merge"), "row", "left_semi").select("part", "good", "toxic", "filter", F.lit(prefix).alias("prefix")))
-    return reduce(DataFrame.unionAll, found).groupBy("part", "prefix", "filter").agg(F.count("*").alias("n"), F.count_if("good").alias("n_good"), F.count_if("toxic").alias("n_toxic"))
+    rows: row (a unique long), part, good, toxic, and for each filter a Boolean column of its name that tells whether the row fails.
+    Prefixes are counted `at_once` in a job, so that a task reports the metrics of a few joins only; each job's counts are stored.
+    """
+    tables, last = Failures(rows, filters), 1 << len(filters)
+    return reduce(DataFrame.unionAll, [tables.counts(range(lo, min(lo + at_once, last))).checkpoint() for lo in range(0, last, at_once)])
 
 
 def audit(rows: DataFrame, filters: list[str]) -> DataFrame:

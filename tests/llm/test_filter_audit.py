@@ -84,5 +84,5 @@ def test_joins_neither_shuffle_nor_sort(spark):
 
     ready(spark)
     rows = spark.range(2000).selectExpr("id AS row", "'x' AS part", "id % 7 = 0 AS good", "id % 11 = 0 AS toxic", "id % 2 = 0 AS A", "id % 3 = 0 AS B", "id % 5 = 0 AS C")
-    plan = filter_audit.overlaps(rows, ["A", "B", "C"])._jdf.queryExecution().executedPlan().toString()
+    plan = filter_audit.Failures(rows, ["A", "B", "C"]).counts(range(8))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Sort [" not in plan and plan.count("SortMergeJoin") == 20
