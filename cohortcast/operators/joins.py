@@ -155,3 +155,10 @@ def harville(df: DataFrame, group: str, member: str, p: str) -> DataFrame:
         return F.struct(x["m"].alias(member), x["p"].alias("win"), place.alias("place"), show.alias("show"))
 
     return field.select(group, F.inline(F.transform("f", lambda x: chances(F.col("f"), x))))
+
+
+def by_distinct(df: DataFrame, column: str, out: str, value) -> DataFrame:
+    """df with `out`, value(column) worked out once for each distinct value: for what is dear to read and often repeated. Nulls get value(null)."""
+    known = df.select(column).where(F.col(column).isNotNull()).distinct().select(F.col(column).alias("_key"), value(F.col(column)).alias(out))
+    there = df.join(known, F.col(column) == F.col("_key"), "left").drop("_key")
+    return there.withColumn(out, F.when(F.col(column).isNull(), value(F.lit(None).cast("string"))).otherwise(F.col(out)))

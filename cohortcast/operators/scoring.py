@@ -75,3 +75,41 @@ def stakes(df: DataFrame, p: str, decimal: str, bankroll: float, fraction: float
 
     stake = round_stake(bankroll * F.least(F.lit(cap), fraction * kelly(F.col(p), F.col(decimal))), F.lit(unit))
     return df.withColumn("stake", F.coalesce(stake, F.lit(0.0))).withColumn("action", F.when(F.col("stake") >= unit, "BET").otherwise("PASS"))
+
+
+#: Fixed values of the dark-horse patch: the index from which it works, the share of chance moved there and at index 1, the floor, and the multipliers of favourites
+#: that close from the rail, press inside, and press outside.
+PATCH_FROM, LEAST_MOVED, MOST_MOVED, PATCH_FLOOR = 0.70, 0.05, 0.10, 0.035
+RAIL_CLOSER, INNER, OUTER = 0.90, 0.95, 1.05
+
+
+def dark_horses(df: DataFrame, group: str, index: str, p: str = "p") -> DataFrame:
+    """df with the patch for cards of great chaos: dark_horse, upside, p_multiplied, p_floored, beneficiary, p_patched and dark_tier (none, light, strong).
+
+    Columns read: energy, development, pace, distance, publicness (0 to 10), late_z, and the flags rail_closer, tactical_inner, tactical_outer; index is the card's (0 to 1).
+    Dark horses have a chance of 0.015 to 0.12, publicness of 7 at most, development or energy of 7, and pace or distance fit of 6. From the index on, favourites are
+    multiplied and the best dark horses lifted to the floor; then donors (flagged favourites, or members without upside from the card's 70 % quantile on) give a share of the field's
+    chance, at most 0.6 of theirs, by their chance, to beneficiaries by upside times late_z. Null scores are no dark horse's; null flags are false; chances that sum to nothing are null.
+    """
+    c, w = F.col, Window.partitionBy(group)
+    flag = lambda x: F.coalesce(c(x).cast("boolean"), F.lit(False))
+    total = F.sum(p).over(w)
+    out = df.withColumn("_b", F.when(total > 0, c(p) / total)).withColumn("_on", F.coalesce(c(index) >= PATCH_FROM, F.lit(False)))
+    dark = c("_b").between(0.015, 0.12) & (c("publicness") <= 7) & ((c("development") >= 7) | (c("energy") >= 7)) & ((c("pace") >= 6) | (c("distance") >= 6))
+    out = out.withColumn("dark_horse", F.coalesce(dark, F.lit(False))).withColumn("upside", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (0.5 * c("development") + 0.5 * c("energy")) / 10)))
+    factor = F.when(flag("rail_closer"), RAIL_CLOSER).otherwise(1.0) * F.when(flag("tactical_inner"), INNER).otherwise(1.0) * F.when(flag("tactical_outer"), OUTER).otherwise(1.0)
+    out = out.withColumn("p_multiplied", F.when(c("_on"), c("_b") * factor).otherwise(c("_b")))
+    late = F.coalesce("late_z", F.lit(-9.0))
+    lifted = c("_on") & c("dark_horse") & (c("upside") >= 0.7) & (late >= 0.7) & (c("pace") >= 7)
+    out = out.withColumn("p_floored", F.when(lifted, F.greatest("p_multiplied", F.lit(PATCH_FLOOR))).otherwise(c("p_multiplied")))
+    out = out.withColumn("beneficiary", F.coalesce(c("dark_horse") & (c("upside") >= 0.5) & (late >= 0) & (c("pace") >= 6), F.lit(False)))
+    out = out.withColumn("_cut", F.percentile("_b", F.lit(0.7)).over(w))
+    plain = F.coalesce((c("upside") <= 0.4) & (c("_b") >= c("_cut")), F.lit(False))
+    donor = ~c("dark_horse") & ~flag("tactical_outer") & (flag("rail_closer") | flag("tactical_inner") | plain)
+    out = out.withColumn("_gives", F.when(donor, c("_b")).otherwise(0.0)).withColumn("_takes", F.when(c("beneficiary"), c("upside") * F.greatest(late, F.lit(0.1))).otherwise(0.0))
+    given, taken = F.sum("_gives").over(w), F.sum("_takes").over(w)
+    share_moved = F.least(F.lit(MOST_MOVED), F.greatest(F.lit(LEAST_MOVED), LEAST_MOVED + (MOST_MOVED - LEAST_MOVED) * (c(index) - PATCH_FROM) / (1 - PATCH_FROM)))
+    out = out.withColumn("_given", given).withColumn("_taken", taken).withColumn("_moved", F.when(c("_on") & (c("_given") > 0) & (c("_taken") > 0), F.least(share_moved, 0.6 * c("_given"))).otherwise(0.0))
+    raw = c("p_floored") - F.when(c("_given") > 0, c("_gives") / c("_given") * c("_moved")).otherwise(0.0) + F.when(c("_taken") > 0, c("_takes") / c("_taken") * c("_moved")).otherwise(0.0)
+    tier = F.when(~c("dark_horse"), "none").when(c("upside") >= 0.7, "strong").otherwise("light")
+    return share(out.withColumn("_raw", raw), group, "_raw", "p_patched").withColumn("dark_tier", tier).drop("_b", "_on", "_cut", "_gives", "_takes", "_given", "_taken", "_moved", "_raw")

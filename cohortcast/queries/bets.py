@@ -60,6 +60,27 @@ x AS (SELECT *, CASE WHEN got > 0 AND gave > 0 THEN 0.05 ELSE 0 END AS mv FROM g
 y AS (SELECT card, member, CASE WHEN donor THEN p - mv * p WHEN taker THEN greatest(0.035, p + mv * gave * p / got) ELSE p END AS v FROM x) SELECT card, member, round(v / sum(v) OVER (PARTITION BY card), 6) AS patched_p FROM y""").replace("\n, c AS", ",\nc AS", 1)
 
 
+def m08_dark_horses(spark, d):
+    """Scores follow numbers of the member; the index of chaos is the card's."""
+    c = F.col
+    f = field(spark, d)
+    score = lambda k: ((c("member") * k + c("post")) % 11).cast("double")
+    f = f.withColumns({"index": 0.55 + (c("card") % 10) * 0.05, "development": score(3), "energy": score(5), "pace": score(7), "distance": score(2), "publicness": score(9), "late_z": F.when(c("member") % 6 > 0, ((c("member") % 7) - 3) / 2.0), "rail_closer": c("post") == 1, "tactical_inner": c("member") % 5 == 0, "tactical_outer": c("member") % 8 == 0})
+    out = scoring.dark_horses(f, "card", "index")
+    return out.select("card", "member", "dark_horse", r("upside"), r("p_multiplied"), r("p_floored"), "beneficiary", r("p_patched"), "dark_tier")
+
+
+M08D = with_sql(FIELD, """, s AS (SELECT card, member, p AS b, 0.55::DOUBLE + (card % 10) * 0.05::DOUBLE AS ix, (member * 3 + post) % 11 AS dev, (member * 5 + post) % 11 AS en, (member * 7 + post) % 11 AS pa, (member * 2 + post) % 11 AS di, (member * 9 + post) % 11 AS pu, CASE WHEN member % 6 > 0 THEN (member % 7 - 3) / 2 END AS z, post = 1 AS rc, member % 5 = 0 AS ti, member % 8 = 0 AS tu FROM field),
+a AS (SELECT *, ix >= 0.7::DOUBLE AS act, b BETWEEN 0.015 AND 0.12 AND pu <= 7 AND (dev >= 7 OR en >= 7) AND (pa >= 6 OR di >= 6) AS dark, (dev + en) / 20 AS up, quantile_cont(b, 0.7) OVER (PARTITION BY card) AS cut FROM s),
+m AS (SELECT *, CASE WHEN act THEN b * (CASE WHEN rc THEN 0.9 ELSE 1 END) * (CASE WHEN ti THEN 0.95 ELSE 1 END) * (CASE WHEN tu THEN 1.05 ELSE 1 END) ELSE b END AS pm FROM a),
+fl AS (SELECT *, CASE WHEN act AND dark AND up >= 0.7 AND coalesce(z, -9) >= 0.7 AND pa >= 7 THEN greatest(pm, 0.035) ELSE pm END AS pf, dark AND up >= 0.5 AND coalesce(z, -9) >= 0 AND pa >= 6 AS ben FROM m),
+g AS (SELECT *, CASE WHEN NOT dark AND NOT tu AND (rc OR ti OR (up <= 0.4 AND b >= cut)) THEN b ELSE 0 END AS gv, CASE WHEN ben THEN up * greatest(coalesce(z, -9), 0.1) ELSE 0 END AS tk FROM fl),
+h AS (SELECT *, sum(gv) OVER (PARTITION BY card) AS gs, sum(tk) OVER (PARTITION BY card) AS ts FROM g),
+v AS (SELECT *, CASE WHEN act AND gs > 0 AND ts > 0 THEN least(least(0.1, greatest(0.05, 0.05 + 0.05 * (ix - 0.7) / 0.3)), 0.6 * gs) ELSE 0 END AS mv FROM h),
+x AS (SELECT *, pf - CASE WHEN gs > 0 THEN gv / gs * mv ELSE 0 END + CASE WHEN ts > 0 THEN tk / ts * mv ELSE 0 END AS raw FROM v)
+SELECT card, member, dark AS dark_horse, round(up, 6) AS upside, round(pm, 6) AS p_multiplied, round(pf, 6) AS p_floored, ben AS beneficiary, round(raw / sum(raw) OVER (PARTITION BY card), 6) AS p_patched, CASE WHEN NOT dark THEN 'none' WHEN up >= 0.7 THEN 'strong' ELSE 'light' END AS dark_tier FROM x""").replace("\n, s AS", ",\ns AS", 1)
+
+
 def m13_picks(spark, d):
     f = field(spark, d)
     return scoring.picks(f, "card", "member", {"WIN": ("p", "m", 0.08, 0.04)}, 3, 2).select("card", "member", "bet", r("ours"), r("lead"), "nth", "long_shot", r("break_even"))
@@ -209,6 +230,7 @@ QUERIES = {
     "m05_place_show": (m05_place_show, with_sql(FIELD, "SELECT card, member, round(least(1, 0.45 * p + 0.55 / n), 6) AS place, round(least(1, 0.35 * p + 0.65 / n), 6) AS show FROM field")),
     "m07_confidence": (m07_confidence, M07),
     "m08_lift_longshots": (m08_lift_longshots, M08),
+    "m08_dark_horses": (m08_dark_horses, M08D),
     "m10_market": (m10_market, M10),
     "m13_picks": (m13_picks, M13),
     "m14_stakes": (m14_stakes, M14),

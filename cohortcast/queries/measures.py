@@ -159,6 +159,37 @@ F01 = """WITH l AS (SELECT CAST(l_quantity AS INT) AS q, l_linenumber AS k, l_pa
 CASE c WHEN 0 THEN 1 + q / (k + 1) WHEN 1 THEN 1 + (q * 10 + 100) / 100 WHEN 2 THEN 1 + 100 / (q * 5 + 100) WHEN 3 THEN q + 1.5 END AS d FROM l) SELECT raw, count(*) AS rows, round(CAST(any_value(d) AS DOUBLE), 6) AS decimal, round(1 / CAST(any_value(d) AS DOUBLE), 6) AS implied FROM x GROUP BY raw"""
 
 
+#: Spellings of distances, and their furlongs.
+SPELLINGS = [("Six Furlongs", 6.0), ("Five And One Half Furlongs", 5.5), ("One And One Sixteenth Miles", 8.5), ("One Mile And Seventy Yards", 8.3182), ("About Seven Furlongs", 7.0), ("Three Hundred Yards", None), ("Two Hundreds", None), ("Three Hundredths", None), ("Four Miles Two", None), ("One Mile", 8.0), ("Seven Eighths", None), ("One And Three Quarters Miles", 14.0), ("Forty Five Yards", 0.2045), ("Half Mile", None), ("Zero Furlongs", None), ("Two Miles And One Eighth Mile", 17.0)]
+
+
+def f21_spelled(spark, d):
+    """Parts' names with a spelled distance behind them; each distinct text is read once."""
+    from cohortcast.functions.text import spelled_furlongs
+    from cohortcast.operators.joins import by_distinct
+
+    texts = F.element_at(F.array(*[F.lit(t) for t, _ in SPELLINGS]), (F.col("p_size") % len(SPELLINGS) + 1).cast("int"))
+    p = table(spark, d, "part").select("p_partkey", texts.alias("spelled"))
+    return by_distinct(p, "spelled", "furlongs", spelled_furlongs)
+
+
+F21 = "SELECT p_partkey, t AS spelled, f AS furlongs FROM part JOIN (VALUES " + ", ".join(f"({k}, '{t}', {'NULL' if f is None else f}::DOUBLE)" for k, (t, f) in enumerate(SPELLINGS)) + f") v(k, t, f) ON k = p_size % {len(SPELLINGS)}"
+
+
+def f19_zones(spark, d):
+    """Customers' states and hours from Pacific time, and the zones that both agree on."""
+    from cohortcast.functions.text import zone
+
+    states = F.element_at(F.array(*map(F.lit, ZONE_STATES)), (F.col("c_custkey") % len(ZONE_STATES) + 1).cast("int"))
+    c = table(spark, d, "customer").select(states.alias("state"), (F.col("c_custkey") % 4).alias("hours"))
+    return c.groupBy("state", "hours", zone(F.col("state"), F.col("hours")).alias("zone")).agg(F.count("*").alias("customers"))
+
+
+ZONE_STATES = ["NY", "CA", "KY", "TX", "AZ", "OR", "IN", "CO", "HI"]
+_AGREED = "('NY', 3, 'America/New_York'), ('CA', 0, 'America/Los_Angeles'), ('KY', 3, 'America/New_York'), ('KY', 2, 'America/Chicago'), ('TX', 2, 'America/Chicago'), ('TX', 1, 'America/Denver'), ('AZ', 1, 'America/Phoenix'), ('OR', 0, 'America/Los_Angeles'), ('OR', 1, 'America/Boise'), ('IN', 3, 'America/Indiana/Indianapolis'), ('IN', 2, 'America/Chicago'), ('CO', 1, 'America/Denver')"
+F19 = f"WITH c AS (SELECT list_extract({ZONE_STATES}, CAST(c_custkey % {len(ZONE_STATES)} + 1 AS BIGINT)) AS state, c_custkey % 4 AS hours FROM customer) SELECT c.state, c.hours, z AS zone, count(*) AS customers FROM c LEFT JOIN (VALUES {_AGREED}) v(s, h, z) ON s = c.state AND h = c.hours GROUP BY 1, 2, 3"
+
+
 def f02_distance_text(spark, d):
     k = F.col("l_partkey") % 4
     q = F.col("l_quantity").cast("int").cast("string")
@@ -198,5 +229,7 @@ QUERIES = {
     "a37_worst_status": (a37_worst_status, "SELECT l_orderkey, arg_min(l_returnflag || l_linestatus, CASE l_returnflag || l_linestatus WHEN 'RF' THEN 1 WHEN 'AF' THEN 2 WHEN 'NF' THEN 3 WHEN 'NO' THEN 4 WHEN 'AO' THEN 5 WHEN 'RO' THEN 6 END) AS worst FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus FROM lineitem) GROUP BY 1"),
     "f01_odds_text": (f01_odds_text, F01),
     "f02_distance_text": (f02_distance_text, F02),
+    "f19_zones": (f19_zones, F19),
+    "f21_spelled": (f21_spelled, F21),
     "f06_name_keys": (f06_name_keys, "SELECT p_partkey, trim(regexp_replace(upper(p_name), '[^A-Z0-9]+', ' ', 'g')) AS key, regexp_replace(upper(p_name), '[^A-Z0-9]+', '', 'g') AS squash FROM part"),
 }
