@@ -73,8 +73,9 @@ class _Open:
         if new:
             vector = vector.copy()
             for w in new:
-                slot, sign = _slot(w, TAGS)
-                vector[slot] += sign
+                for salt in SALTS:  # of three slots a strange name shares at most one or two with a known one
+                    slot, sign = _slot(salt + w, TAGS)
+                    vector[slot] += sign * len(SALTS) ** -0.5
         for w in words:
             self.count[w] = self.count.get(w, 0) + 1
         k = len(self.names)
@@ -164,6 +165,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, np.ndarray]]:
 
 
 WIDTH, HIDDEN, CHUNK = 280, 12, 512
+SALTS = ("", "~", "^")
 TAGS, WORDS = 256, 16
 
 
@@ -367,13 +369,29 @@ class _Writer:
         if self.maybe(0.1):
             inner += self.comments()
         kind = self.rng.random()
-        if kind < 0.45:
+        if kind < 0.28:
             return f"<article{self.name('post', 'article', 'entry') if self.maybe(0.3) else ''}>{inner}</article>"
-        if kind < 0.6:
+        if kind < 0.36:
             return f"<main>{self.pick(inner, f'<article>{inner}</article>')}</main>"
-        if kind < 0.9:
+        if kind < 0.54:
             return f"<div{self.name('content', 'article', 'post', 'entry-content', 'story', 'article-body', 'main-content', 'post-content', 'text', 'body-copy')}>{inner}</div>"
-        return f"<div role='main'>{inner}</div>"
+        if kind < 0.58:
+            return f"<div role='main'>{inner}</div>"
+        if kind < 0.92:
+            return self.plain(inner)
+        return inner  # straight in the body
+
+    def coined(self) -> str:
+        """A name that says nothing."""
+        return "".join(self.rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), self.rng.integers(1, 8)))
+
+    def plain(self, inner: str) -> str:
+        """A container that doesn't tell what it holds: the blocks around it, and the text, have to."""
+        for _ in range(int(self.rng.choice([1, 1, 1, 2, 3, 5]))):
+            called = self.pick("", "", self.name("row", "col", "inner", "wrap", "grid", "module", "left", "center", "column", "area", "zone", "layout", "top-story", "side-story", "review"), self.name(self.coined(), f"{self.coined()} {self.coined()}"))
+            tag = self.pick("div", "div", "section", "section", "section", "td", "center", "span", f"x-{self.coined()}")
+            inner = f"<table><tr><td{called}>{inner}</td></tr></table>" if tag == "td" else f"<{tag}{called}>{inner}</{tag}>"
+        return inner
 
     def links(self, n: int) -> str:
         item = self.pick("<li><a href='/a'>{}</a></li>", "<a href='/a'>{}</a>", "<li>{}</li>", "<div><a href='/a'>{}</a></div>")
@@ -418,6 +436,8 @@ class _Writer:
     def page(self) -> str:
         before = [f() for f, p in ((self.head, 0.5), (self.menu, 0.7), (self.notice, 0.3), (self.advert, 0.5), (self.form, 0.2), (self.side, 0.2)) if self.maybe(p)]
         after = [f() for f, p in ((self.share, 0.2), (self.advert, 0.3), (self.comments, 0.4), (self.form, 0.25), (self.side, 0.4), (self.notice, 0.2), (self.foot, 0.85)) if self.maybe(p)]
+        if self.maybe(0.05):  # nothing but the article
+            before, after = [], []
         if self.maybe(0.3):
             self.rng.shuffle(before)
         inner = "".join(before) + self.article() + "".join(after)
@@ -426,14 +446,18 @@ class _Writer:
         page = f"<!DOCTYPE html><html lang='en'><head><title>{self.words(1, 6)}</title><style>p{{margin:0}}</style></head><body>{inner}</body></html>"
         return page[: self.rng.integers(len(page) // 2, len(page))] if self.maybe(0.03) else page
 
+    def hidden(self, page: str) -> str:
+        """The page; at times the article's element is a plain one, so that context and text have to carry the labels."""
+        return re.sub(r"<(/?)(article|main)\b", r"<\1div", page) if self.maybe(0.2) else page
+
     def sample(self):
         """Blocks without marks, and labels."""
-        found = leaf_blocks(self.page())
+        found = leaf_blocks(self.hidden(self.page()))
         mark = self.MARK
         return [(t.replace(mark, "") or "-", p) for t, p in found], np.array([mark in t for t, _ in found], bool)
 
 
-def train(pages: int = 1600, rounds: int = 8, seed: int = 11, rate: float = 0.01):
+def train(pages: int = 2000, rounds: int = 8, seed: int = 11, rate: float = 0.01):
     """Weights (forward, backward, output) after Adam steps on `pages` written pages."""
     writer, rng = _Writer(seed), np.random.default_rng(seed)
     samples = [(block_vectors(b), y) for b, y in (writer.sample() for _ in range(pages)) if len(b)]

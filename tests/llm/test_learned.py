@@ -78,6 +78,22 @@ def test_given_pages(spark, sf_dir):
         assert r.text == "\n".join(t for t, _ in leaf_blocks(re.search(r"<article.*?(?:</article>|\Z)", r.raw, re.S)[0]))
 
 
+@pytest.mark.parametrize("opens, closes", [("<section>", "</section>"), ("<div>", "</div>"), ("<div><div><div>", "</div></div></div>"), ("<table><tr><td>", "</td></tr></table>"), ("<main>", "</main>"), ("<div class='col x2'>", "</div>"), ("<div id=story>", "</div>"), ("<span>", "</span>"), ("", "")])
+def test_the_container_does_not_decide(opens, closes):
+    """Articles of the given pages in other containers, or in none: their blocks stay, and none of the others comes in."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    net, held, total = html_extract.model(), 0, 0
+    for html in pages:
+        want = [t for t, _ in leaf_blocks(re.search(r"<article.*?(?:</article>|\Z)", html, re.S)[0])]
+        blocks = leaf_blocks(re.sub(r"<article\b[^>]*>", opens, html).replace("</article>", closes))
+        got = [t for (t, _), kept in zip(blocks, label([blocks], net)[0]) if kept]
+        assert set(got) <= set(want)
+        held, total = held + len(got), total + len(want)
+    assert held >= 0.98 * total
+
+
 def test_written_pages():
     writer, net = html_extract._Writer(123), html_extract.model()
     wrong = total = 0
@@ -165,4 +181,4 @@ def test_what_the_recurrent_part_adds():
         blocks_seen += len(y)
         for k, weights in enumerate((net, without)):
             right[k] += int((label([blocks], weights)[0] == y).sum())
-    assert right[0] > 0.8 * blocks_seen and right[0] > right[1] + 0.1 * blocks_seen
+    assert right[0] > 0.85 * blocks_seen and right[0] > right[1] + 0.02 * blocks_seen  # plain containers are articles by themselves now, so that less is left to add
