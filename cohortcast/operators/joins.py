@@ -6,19 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, ts: str, take: list[str], tie: str, strict: bool = True, lag: str | None = None, max_age: str | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, ts: str, take: list[str], tie: str, strict: bool = True, lag: str | None = None, max_age: str | None = None, bucket_days: float | None = None) -> DataFrame:
     """left with the columns `take` of the last right row before `at` (less `lag`; `strict`: not at it), null if none.
 
-    One shuffle by the keys: right rows and left rows are put in one order, and a running last value is
-    taken, so that no pair of rows is formed, however many a key has. Of equal times the largest `tie`
-    counts. Rows older than `max_age` before `at` are refused. Intervals are like "30 minutes".
+    Right rows and left rows are put in one order by key, and a running last value is taken, so that no pair of rows is formed,
+    however many a key has. Of equal times the largest `tie` counts. Rows older than `max_age` before `at` are refused. Intervals are like "30 minutes".
+    One shuffle by the keys; with `bucket_days` the order is by key and span of days, and each span's last row is carried to the next ones by a
+    window over spans, one row each: a key with a large share of all rows is then no task of its own.
     """
     limit = F.col(at) - F.expr(f"interval {lag}") if lag else F.col(at)
     payload = F.struct(F.col(ts).alias("_ts"), *take)
     sides = left.select(*keys, limit.alias("_t"), F.lit(1 if strict else 3).alias("_o"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.struct(*left.columns).alias("_left"), F.lit(None).alias("_right"))
     rows = right.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("_t"), F.lit(2).alias("_o"), F.col(tie).alias("_tie"), F.lit(None).alias("_left"), payload.alias("_right"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_o", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = sides.unionByName(rows).withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where("_left IS NOT NULL")
+    both = sides.unionByName(rows)
+    if bucket_days:
+        both = both.withColumn("_span", F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / F.lit(round(bucket_days * 86_400_000_000))))
+    parts = [*keys, "_span"] if bucket_days else keys
+    w = Window.partitionBy(*parts).orderBy("_t", "_o", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where("_left IS NOT NULL")
+    if bucket_days:
+        ends = both.groupBy(*parts).agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct("_t", "_tie"))).alias("_end"))
+        past = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*[F.col(c).alias(f"_key_{c}") for c in parts], F.last("_end", ignorenulls=True).over(past).alias("_before"))
+        same = [found[c].eqNullSafe(carried[f"_key_{c}"]) for c in parts]
+        found = found.join(carried, same, "left").withColumn("_last", F.coalesce("_last", "_before"))
     if max_age:
         found = found.withColumn("_last", F.when(F.col("_last._ts") >= F.col(f"_left.{at}") - F.expr(f"interval {max_age}"), F.col("_last")))
     return found.select("_left.*", *[F.col(f"_last.{c}").alias(c) for c in take], F.col("_last._ts").alias(f"as_of_{ts}"))

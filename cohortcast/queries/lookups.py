@@ -19,12 +19,12 @@ def _runs(spark, d):
 
 def j08_as_of(spark, d):
     post, runs = _runs(spark, d)
-    return joins.as_of(post, runs, ["user_id"], "post", "ts", ["run_id", "value"], "run_id").select("outcome_id", "run_id", r("value"), "as_of_ts")
+    return joins.as_of(post, runs, ["user_id"], "post", "ts", ["run_id", "value"], "run_id", bucket_days=1).select("outcome_id", "run_id", r("value"), "as_of_ts")
 
 
 def j09_as_of_lag(spark, d):
     post, runs = _runs(spark, d)
-    return joins.as_of(post, runs, ["user_id"], "post", "ts", ["run_id"], "run_id", strict=False, lag="30 minutes", max_age="1 day").select("outcome_id", "run_id", "as_of_ts")
+    return joins.as_of(post, runs, ["user_id"], "post", "ts", ["run_id"], "run_id", strict=False, lag="30 minutes", max_age="1 day", bucket_days=1).select("outcome_id", "run_id", "as_of_ts")
 
 
 AS_OF = """WITH e AS (SELECT * FROM events), b AS (SELECT o.event_id AS outcome_id, v.event_id AS run_id, v.value, v.ts, row_number() OVER (PARTITION BY o.event_id ORDER BY v.ts DESC, v.event_id DESC) AS k

@@ -24,6 +24,21 @@ def test_no_run_at_or_after_post_is_used(spark):
     assert got == {1: None, 2: None, 3: None}
 
 
+@pytest.mark.parametrize("options", [{}, {"strict": False}, {"lag": "30 minutes", "max_age": "3 days"}])
+def test_spans_carry_a_hot_key(spark, options):
+    """With spans the same rows are found, and the windows go by key and span: nine tenths of the rows are one key's."""
+    import random
+
+    rnd = random.Random(8)
+    key = lambda: rnd.choice([1] * 18 + [2, None])
+    when = lambda: at(0) + dt.timedelta(minutes=rnd.randrange(60 * 24 * 40))
+    left = spark.createDataFrame([(key(), when(), k) for k in range(400)] + [(3, at(1), 400), (1, None, 401)], "card int, post timestamp, id int")
+    right = spark.createDataFrame([(key(), when(), k) for k in range(150)] + [(1, at(9), 150), (1, at(9), 151), (3, None, 152)], "card int, ts timestamp, run int")
+    plain, spans = (joins.as_of(left, right, ["card"], "post", "ts", ["run"], "run", bucket_days=b, **options) for b in (None, 2))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, spans.collect()))
+    assert "_span" in spans._jdf.queryExecution().executedPlan().toString().split("Window [last(_right")[1].split("\n")[0]
+
+
 def test_complete_capture(spark):
     expected = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "card int, member string")
     rows = [(1, "a", "x", 1, 3.0), (1, "b", "x", 1, 2.0), (1, "a", "x", 2, 3.0), (1, "a", "y", 3, 3.0), (1, "b", "y", 3, 0.5), (2, "a", "x", 1, 2.0), (2, "a", "y", 1, 2.0)]
