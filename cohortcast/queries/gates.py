@@ -164,7 +164,35 @@ def j22_find_card(spark, d):
 
 J22 = "WITH o AS (SELECT o_orderkey AS k, 'T' || c_nationkey AS code, CAST(o_orderdate AS DATE) AS day FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), c AS (SELECT code, day, k % 12 AS number, min(k) AS card FROM o GROUP BY 1, 2, 3) SELECT k AS o_orderkey, card FROM o LEFT JOIN c ON c.code = o.code AND c.day = o.day AND number = k % 12 AND k % 3 < 2 AND k % 11 <> 0"
 
+def q16_manifests(spark, d):
+    """Each order's manifest as JSON, with faults by its number: times without zone or after the post, counts, states, unreadable texts."""
+    from cohortcast.operators.manifests import judge_manifests
+
+    k = F.col("o_orderkey")
+    at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    text = lambda x: F.lit(x)
+    fields = {
+        "artifact_path_or_uri": F.concat(text("/raw/"), k), "sha256": F.sha2(k.cast("string").cast("binary"), 256), "source_provider": text("p"), "parser_version": text("1"),
+        "source_as_of_timestamp": F.when(k % 11 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 11 == 1, at).otherwise(F.concat(at, text("+00:00"))), "source_as_of_tier": F.when(k % 3 == 0, "OPERATOR_ATTESTED").otherwise("PROVEN"),
+        "source_as_of_provenance": F.when(k % 5 == 0, "FILENAME_DERIVED").otherwise("PUBLISHER_TIMESTAMP"), "target_track_code": text("CD"), "target_race_date": F.date_format("o_orderdate", "yyyy-MM-dd"), "target_race_number": F.lit(1),
+        "target_scheduled_post_timestamp": F.concat(F.date_format(F.expr("CAST(o_orderdate AS timestamp_ntz) + make_dt_interval(0, CAST(o_orderkey % 7 - 1 AS int))"), "yyyy-MM-dd'T'HH:mm:ss"), text("Z")), "target_surface": text("dirt"), "target_distance_furlongs": F.lit(6.5),
+        "expected_active_starter_count": (k % 13).cast("int"), "observed_active_starter_count": (k % 13).cast("int") + (k % 17 == 0).cast("int"), "identity_reconciliation_status": F.when(k % 19 == 0, "INCOMPLETE").otherwise("COMPLETE"),
+        "field_completeness_status": text("COMPLETE"), "feature_vector_status": text("COMPLETE"), "raw_artifact_retained": k % 23 != 0, "pre_race_fields_only": F.lit(True),
+        "outcome_reference": F.struct(text("x").alias("path_or_uri"), F.sha2(text("x"), 256).alias("sha256"), text("p").alias("source_provider"), text("1").alias("parser_version")), "outcome_provenance_status": text("PROVEN"),
+    }
+    json = F.when(k % 29 == 0, "{").otherwise(F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()])))
+    got = judge_manifests(table(spark, d, "orders").select("o_orderkey", json.alias("manifest")), "manifest")
+    return got.select("o_orderkey", F.array_join("codes", ";").alias("codes"), "passed")
+
+
+Q16 = """WITH c AS (SELECT o_orderkey, o_orderkey AS k, o_orderkey % 29 = 0 AS bad, o_orderkey % 11 = 0 OR o_orderkey % 11 = 1 OR o_orderkey % 13 < 2 AS broken FROM orders),
+j AS (SELECT o_orderkey, CASE WHEN bad THEN 'MANIFEST_JSON_UNREADABLE' ELSE concat_ws(';', CASE WHEN broken THEN 'MANIFEST_SCHEMA_INVALID' END, CASE WHEN k % 11 = 0 THEN 'SOURCE_AS_OF_TIMESTAMP_DATE_ONLY' WHEN k % 11 = 1 THEN 'SOURCE_AS_OF_TIMESTAMP_INVALID_OR_TIMEZONE_MISSING' WHEN k % 7 < 2 THEN 'SOURCE_AS_OF_NOT_STRICTLY_BEFORE_TARGET_POST' END,
+  CASE WHEN k % 5 = 0 AND k % 3 > 0 THEN 'FILENAME_DERIVED_CANNOT_CLAIM_PROVEN' END, CASE WHEN k % 13 < 2 THEN 'ACTIVE_STARTER_COUNT_INSUFFICIENT' END, CASE WHEN k % 19 = 0 THEN 'IDENTITY_RECONCILIATION_INCOMPLETE' END, CASE WHEN k % 17 = 0 THEN 'PARTIAL_STARTER_FIELD' END, CASE WHEN k % 23 = 0 THEN 'RAW_ARTIFACT_NOT_RETAINED' END) END AS codes FROM c)
+SELECT o_orderkey, codes, codes = '' AS passed FROM j"""
+
+
 QUERIES = {
+    "q16_manifests": (q16_manifests, Q16),
     "x02_form": (x02_form, X02),
     "x09_sire": (x09_sire, X09),
     "f09_styles": (f09_styles, F09),
