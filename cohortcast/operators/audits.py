@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,10 +100,39 @@ def whole_group_override(df: DataFrame, group: str, value: str, code: str, captu
     return df.withColumn("observed", whole).withColumn(value, F.when(whole, mapped).otherwise(F.col(value)))
 
 
-def quantile_reliability(df: DataFrame, p: str, won: str, bins: int = 10, digits: int = 3) -> DataFrame:
-    """A row for each of at most `bins` quantile bins: n, mean p, share won, gap. p is rounded, which bounds the state of the exact quantiles."""
-    q = df.select(F.round(p, digits).alias("p"), F.col(won).cast("int").alias("won"))
-    edges = q.agg(F.percentile("p", F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_e"))  # one row
-    binned = q.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: F.round(e, 6) < F.col("p"))).cast("long"))
-    sums = binned.groupBy("bin").agg(F.count("*").alias("n"), F.sum(F.col("p").cast("decimal(18,3)")).cast("double").alias("_p"), F.sum("won").alias("_w"))
-    return sums.select("bin", "n", F.round(F.col("_p") / F.col("n"), 6).alias("mean_p"), F.round(F.col("_w") / F.col("n"), 6).alias("share"), F.round(F.abs(F.col("_p") / F.col("n") - F.col("_w") / F.col("n")), 6).alias("gap"))
+def exact_quantiles(df: DataFrame, x: str, shares: list[float], accuracy: int = 10_000) -> list[float]:
+    """Quantiles of x with linear interpolation, exact: nulls don't count; of no values, none.
+
+    A sketch gives each quantile a bracket of about 4 / accuracy of the rows; rows below it are counted, and only those within are ordered, by
+    bracket. A bracket that misses its ranks is replaced by the whole range. What comes to the driver is a few numbers a quantile.
+    """
+    values = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("_x"))
+    ends = [min(1.0, max(0.0, q + d)) for q in shares for d in (-2 / accuracy, 2 / accuracy)]
+    seen = values.agg(F.count("*").alias("n"), F.percentile_approx("_x", F.array(*map(F.lit, ends)), F.lit(accuracy)).alias("e"), F.min("_x").alias("a"), F.max("_x").alias("z")).first()
+    if not seen.n:
+        return []
+    ranks = [q * (seen.n - 1) for q in shares]
+    edge = lambda k: seen.a if ends[k] == 0 else seen.z if ends[k] == 1 else seen.e[k]
+    spans = [(edge(2 * k), edge(2 * k + 1)) for k in range(len(shares))]
+    for _ in range(2):
+        counts = values.agg(*[F.count_if(F.col("_x") < a) for a, _ in spans], *[F.count_if(F.col("_x") <= z) for _, z in spans]).first()
+        below, upto = counts[: len(spans)], counts[len(spans) :]
+        spans = [(a, z) if below[k] <= math.floor(r) and upto[k] > math.ceil(r) else (seen.a, seen.z) for k, (r, (a, z)) in enumerate(zip(ranks, spans))]
+    asked = [(k, int(i)) for k, r in enumerate(ranks) for i in sorted({math.floor(r), math.ceil(r)})]
+    inside = F.array_compact(F.array(*[F.when(F.col("_x").between(a, z), F.lit(k)) for k, (a, z) in enumerate(spans)]))
+    times = values.select("_x", F.explode(inside).alias("_k")).groupBy("_k", "_x").agg(F.count("*").alias("_n"))
+    first = F.element_at(F.array(*map(F.lit, below)), F.col("_k") + 1)
+    ordered = times.withColumn("_to", first + F.sum("_n").over(Window.partitionBy("_k").orderBy("_x")))
+    hit = F.array_compact(F.array(*[F.when((F.col("_k") == k) & (F.col("_to") > i) & (F.col("_to") - F.col("_n") <= i), F.lit(i)) for k, i in asked]))
+    found = {(r["_k"], r.i): r["_x"] for r in ordered.select("_k", "_x", F.explode(hit).alias("i")).collect()}  # two rows a quantile
+    low = lambda k: found[k, math.floor(ranks[k])]
+    return [low(k) + (found[k, math.ceil(r)] - low(k)) * (r - math.floor(r)) for k, r in enumerate(ranks)]
+
+
+def quantile_reliability(df: DataFrame, p: str, won: str, bins: int = 10) -> DataFrame:
+    """A row for each of at most `bins` quantile bins: n, mean p, share won, gap. Edges are exact; a value that is an edge lies below it."""
+    q = df.where(F.col(p).isNotNull()).select(F.col(p).alias("p"), F.col(won).cast("int").alias("won"))
+    edges = exact_quantiles(q, "p", [k / bins for k in range(1, bins)])
+    bin_of = sum((F.when(F.col("p") > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("long")
+    means = q.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("_p"), F.avg("won").alias("_w"))
+    return means.select("bin", "n", F.round("_p", 6).alias("mean_p"), F.round("_w", 6).alias("share"), F.round(F.abs(F.col("_p") - F.col("_w")), 6).alias("gap"))

@@ -16,7 +16,7 @@ def a08_quantile_bins(spark, d):
     return a.quantile_reliability(field(spark, d).withColumn("won", F.col("finish") == 1), "p", "won")
 
 
-A08 = _then(FIELD, "q AS (SELECT CAST(round(p, 3) AS DECIMAL(18,3)) AS p, (finish = 1)::INT AS won FROM field), e AS (SELECT quantile_cont(p::DOUBLE, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM q), b AS (SELECT p, won, len(list_filter(e, lambda x: round(x, 6) < p::DOUBLE)) AS bin FROM q, e), s AS (SELECT bin, count(*) AS n, CAST(sum(p) AS DOUBLE) / count(*) AS mp, sum(won) / count(*) AS sh FROM b GROUP BY 1)", "SELECT bin, n, round(mp, 6) AS mean_p, round(sh, 6) AS share, round(abs(mp - sh), 6) AS gap FROM s")
+A08 = _then(FIELD, "q AS (SELECT p, (finish = 1)::INT AS won FROM field), e AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM q), b AS (SELECT p, won, len(list_filter(e, lambda x: x < p)) AS bin FROM q, e), s AS (SELECT bin, count(*) AS n, avg(p) AS mp, avg(won) AS sh FROM b GROUP BY 1)", "SELECT bin, n, round(mp, 6) AS mean_p, round(sh, 6) AS share, round(abs(mp - sh), 6) AS gap FROM s")
 
 
 def _names(spark, d):

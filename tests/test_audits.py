@@ -47,3 +47,16 @@ def test_preview(spark):
     members = spark.createDataFrame([(1, 1), (1, 2)], "card int, member int")
     results = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 3), (9, 1)], "card int, member int")
     assert {(r.card, r.member): r.status for r in audits.match_preview(results, members, "card", "member").collect()} == {(1, 1): "MATCHED", (1, 2): "DUPLICATE", (1, 3): "UNMATCHED", (9, 1): "RACE_MISSING"}
+
+
+def test_exact_quantiles(spark):
+    """Against numpy: ties, nulls, few rows, and brackets so rough that they miss."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    for values in (rng.random(3000), np.round(rng.random(2000), 1), np.array([1.0, 2.0, 4.0]), np.array([5.0]), np.concatenate((np.zeros(900), rng.random(100)))):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
+        for accuracy in (10_000, 20):
+            assert np.allclose(audits.exact_quantiles(df, "x", shares, accuracy), np.quantile(values, shares), rtol=0, atol=1e-12)
+    assert audits.exact_quantiles(spark.createDataFrame([], "x double"), "x", shares) == []
