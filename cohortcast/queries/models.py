@@ -60,6 +60,19 @@ def t06_arrivals(spark, d):
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("artifacts"))
 
 
+def s12_artifacts(spark, d):
+    """Contents arrive with the version of their parser, a third of them before the rest: each pair of content and version is stored once."""
+    out = shared_folder(spark, "s12")
+    e = table(spark, d, "events").select(F.sha2(F.concat_ws("|", "event_type", "props"), 256).alias("sha256"), F.concat(F.lit("v"), (F.col("event_id") % 2).cast("string")).alias("parser_version"), "event_id")
+    for k, part in enumerate((e.where("event_id % 3 = 0"), e)):
+        captures.store_new(part.drop("event_id"), k, out, ["sha256", "parser_version"])
+    return spark.read.parquet(out).groupBy("parser_version", F.col("stored_batch").cast("int").alias("batch")).agg(F.count("*").alias("artifacts"))
+
+
+S12 = """WITH e AS (SELECT sha256(event_type || '|' || props) AS s, 'v' || (event_id % 2) AS parser_version, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS b FROM events),
+f AS (SELECT s, parser_version, min(b) AS batch FROM e GROUP BY 1, 2) SELECT parser_version, CAST(batch AS INT) AS batch, count(*) AS artifacts FROM f GROUP BY 1, 2"""
+
+
 def _arriving(spark, frames: dict, clock: dict, pieces: int, run) -> None:
     """Writes each frame piece by piece of its time, and lets run(folder of each) read what has come after each piece.
 
@@ -171,6 +184,7 @@ def s17_scope_overwrite(spark, d):
 QUERIES = {
     "l03_sufficiency": (l03_sufficiency, with_sql(DATED, "SELECT class, count(DISTINCT card) AS groups, count(*) AS rows, CASE WHEN count(DISTINCT card) >= 3000 AND count(*) >= 12000 THEN class ELSE 'pooled' END AS model FROM dated GROUP BY 1")),
     "s17_scope_overwrite": (s17_scope_overwrite, "SELECT o_orderstatus, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END)::DOUBLE, 1) AS total FROM orders GROUP BY 1"),
+    "s12_artifacts": (s12_artifacts, S12),
     "t01_ingest": (t01_ingest, "SELECT e.event_id, e.user_id, e.ts FROM events e JOIN (SELECT user_id, max(ts) AS post FROM events WHERE event_type = 'purchase' GROUP BY 1) p USING (user_id) WHERE event_type = 'click' AND e.ts < post"),
     "t02_complete_batches": (t02_complete_batches, T02),
     "t02_clean_batches": (t02_clean_batches, T02 + " AND max(prices) = 1 AND week + INTERVAL 8 DAY < max(last) - INTERVAL 1 HOUR"),
