@@ -73,9 +73,8 @@ class _Open:
         if new:
             vector = vector.copy()
             for w in new:
-                for salt in SALTS:  # of three slots a strange name shares at most one or two with a known one
-                    slot, sign = _slot(salt + w, TAGS)
-                    vector[slot] += sign * len(SALTS) ** -0.5
+                for slot, share in _slots(w):
+                    vector[slot] += share
         for w in words:
             self.count[w] = self.count.get(w, 0) + 1
         k = len(self.names)
@@ -178,6 +177,12 @@ def _slot(word: str, size: int) -> tuple[int, float]:
     return h % size, 1.0 if h >> 31 else -1.0
 
 
+@lru_cache(50_000)
+def _slots(name: str) -> list[tuple[int, float]]:
+    """Three slots of a name and its share in each: of three a strange name has at most one or two in common with a known one."""
+    return [(slot, sign * len(SALTS) ** -0.5) for slot, sign in (_slot(salt + name, TAGS) for salt in SALTS)]
+
+
 def block_vectors(blocks: list[tuple[str, np.ndarray]], lo: int = 0, hi: int | None = None) -> np.ndarray:
     """A row for each block from lo to hi: the tag path, all words hashed, and sizes."""
     hi = len(blocks) if hi is None else hi
