@@ -94,6 +94,33 @@ def paired_verdict(scores: DataFrame, group: str, forecast: str, a: str, b: str,
     return out.withColumn("verdict", verdict)
 
 
+#: Groups under which a segment is called thin.
+THIN = 10
+
+
+def evaluation_cube(scores: DataFrame, group: str, forecast: str, dims: list[str], candidate: str, reference: str) -> DataFrame:
+    """The whole and each value of each dimension, in one pass: dimension ("all" for the whole), value (text), groups, paired groups, mean log loss, Brier, top-1 and winner's rank of both
+    forecasts over paired groups, their difference in log loss, and whether the segment is thin. scores: `group_scores` with the group's dims."""
+    names = ["log_loss", "brier", "top1", "winner_rank"]
+    of = lambda f, c: F.max(F.when(F.col(forecast) == f, F.col(c)))
+    wide = scores.groupBy(group, *dims).agg(*[of(f, c).alias(f"{side}_{c}") for side, f in (("candidate", candidate), ("reference", reference)) for c in names])
+    both = F.col("candidate_log_loss").isNotNull() & F.col("reference_log_loss").isNotNull()
+    means = [F.avg(F.when(both, F.col(f"{side}_{c}"))).alias(f"{side}_{c}") for side in ("candidate", "reference") for c in names]
+    dimension, value = F.lit("all"), F.lit(None).cast("string")
+    for d in dims:
+        dimension, value = F.when(F.grouping(d) == 0, d).otherwise(dimension), F.when(F.grouping(d) == 0, F.col(d).cast("string")).otherwise(value)
+    out = wide.groupingSets([[], *[[d] for d in dims]], *dims).agg(dimension.alias("dimension"), value.alias("value"), F.count("*").alias("groups"), F.count_if(both).alias("paired"), *means)
+    return out.drop(*dims).withColumn("delta_log_loss", F.col("candidate_log_loss") - F.col("reference_log_loss")).withColumn("thin", F.col("paired") < THIN)
+
+
+def running_loss(scores: DataFrame, group: str, forecast: str, day: str, names: list[str]) -> DataFrame:
+    """A row for each day: groups so far that have all the forecasts, and each forecast's mean log loss over them. A window goes over days, not over groups."""
+    wide = scores.groupBy(group, day).agg(*[F.max(F.when(F.col(forecast) == f, F.col("log_loss"))).alias(f) for f in names])
+    days = wide.where(" AND ".join(f"`{f}` IS NOT NULL" for f in names)).groupBy(day).agg(F.count("*").alias("_n"), *[F.sum(f).alias(f) for f in names])
+    so_far = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    return days.select(day, F.sum("_n").over(so_far).alias("groups"), *[(F.sum(f).over(so_far) / F.sum("_n").over(so_far)).alias(f) for f in names])
+
+
 def bootstrap(df: DataFrame, by: list[str], key: str, num: str, den: Column | None = None, reps: int = 2000, seed: int = 7) -> DataFrame:
     """estimate, lo and hi: percentile interval of sum(num) / sum(den) (a mean, by default) over resampled groups. df has a row for each group, told by key."""
     from cohortcast.operators.resample import intervals

@@ -57,6 +57,32 @@ def a09_summary(spark, d):
     return s.select("forecast", "groups", *[r(c, 5) for c in s.columns if c.startswith("mean_")])
 
 
+def _dated_scores(spark, d):
+    f = dated(spark, d)
+    cards = f.groupBy("card").agg(F.min("day").alias("day"), F.min("class").alias("family"), F.when(F.max("n") < 3, "small").when(F.max("n") < 6, "medium").otherwise("large").alias("size"), F.min("surface").alias("ground"))
+    return agg.group_scores(_long(f), "card", "forecast", "p", "won").join(cards, "card")
+
+
+def e03_evaluation(spark, d):
+    """The market's forecasts against those by price: all cards, by family, by size of the field and by ground."""
+    cube = agg.evaluation_cube(_dated_scores(spark, d), "card", "forecast", ["family", "size", "ground"], "market", "price")
+    return cube.select("dimension", "value", "groups", "paired", "thin", *[r(c, 5) for c in cube.columns if c.startswith(("candidate", "reference", "delta"))])
+
+
+CARDS = "cards AS (SELECT card, min(day) AS day, min(class) AS family, CASE WHEN max(n) < 3 THEN 'small' WHEN max(n) < 6 THEN 'medium' ELSE 'large' END AS size, min(surface) AS ground FROM (SELECT f.*, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS class FROM field f JOIN orders ON o_orderkey = card) GROUP BY 1)"
+_MEANS = ", ".join(f"round(avg(CASE WHEN ok THEN {s}.{c} END), 5) AS {n}_{c}" for n, s in (("candidate", "a"), ("reference", "b")) for c in ("log_loss", "brier", "top1", "winner_rank"))
+E03 = with_sql(SCORES + ",\n" + CARDS, f""", k AS (SELECT cards.*, a, b, a.log_loss IS NOT NULL AND b.log_loss IS NOT NULL AS ok FROM cards JOIN scores a ON a.card = cards.card AND a.forecast = 'market' JOIN scores b ON b.card = cards.card AND b.forecast = 'price')
+SELECT CASE WHEN grouping(family) = 0 THEN 'family' WHEN grouping(size) = 0 THEN 'size' WHEN grouping(ground) = 0 THEN 'ground' ELSE 'all' END AS dimension, coalesce(family, size, ground) AS value, count(*) AS groups, count(*) FILTER (ok) AS paired, count(*) FILTER (ok) < 10 AS thin, {_MEANS},
+  round(avg(CASE WHEN ok THEN a.log_loss END) - avg(CASE WHEN ok THEN b.log_loss END), 5) AS delta_log_loss FROM k GROUP BY GROUPING SETS ((), (family), (size), (ground))""").replace("\n, k AS", ",\nk AS", 1)
+
+
+def e03_running(spark, d):
+    return agg.running_loss(_dated_scores(spark, d), "card", "forecast", "day", ["market", "price"]).select("day", "groups", r("market", 5), r("price", 5))
+
+
+E03R = with_sql(SCORES + ",\n" + CARDS, ", w AS (SELECT day, count(*) AS n, sum(a.log_loss) AS a, sum(b.log_loss) AS b FROM cards JOIN scores a ON a.card = cards.card AND a.forecast = 'market' JOIN scores b ON b.card = cards.card AND b.forecast = 'price' WHERE a.log_loss IS NOT NULL AND b.log_loss IS NOT NULL GROUP BY 1) SELECT day, CAST(sum(n) OVER o AS BIGINT) AS groups, round(sum(a) OVER o / sum(n) OVER o, 5) AS market, round(sum(b) OVER o / sum(n) OVER o, 5) AS price FROM w WINDOW o AS (ORDER BY day)").replace("\n, w AS", ",\nw AS", 1)
+
+
 def a11_paired(spark, d):
     s = agg.group_scores(_long(field(spark, d)), "card", "forecast", "p", "won")
     return agg.paired(s, "card", "forecast", "market", "price").select("n", r("mean_diff"), r("sd"), r("brier_diff"), "needed")
@@ -216,6 +242,8 @@ QUERIES = {
     "a09_summary": (a09_summary, with_sql(SCORES, "SELECT forecast, count(*) AS groups, round(avg(log_loss), 5) AS mean_log_loss, round(avg(brier), 5) AS mean_brier, round(avg(winner_rank), 5) AS mean_winner_rank, round(avg(top1), 5) AS mean_top1 FROM scores GROUP BY 1")),
     "a11_paired": (a11_paired, A11),
     "a11_verdict": (a11_verdict, None),
+    "e03_evaluation": (e03_evaluation, E03),
+    "e03_running": (e03_running, E03R),
     "a12_bootstrap": (a12_bootstrap, None),
     "a13_wilson": (a13_wilson, A13),
     "a19_distinct": (a19_distinct, with_sql(DATED, "SELECT class, count(DISTINCT card) AS cards, count(DISTINCT day) AS days, count(DISTINCT owner) AS owners FROM dated GROUP BY 1")),

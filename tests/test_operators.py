@@ -182,3 +182,15 @@ def test_every_card_has_a_temperature(spark, sf_dir):
 
     cards = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert a35_grid(spark, sf_dir).count() == cards
+
+
+def test_evaluation_cube_and_running_loss(spark):
+    rows = [(k, f, 1.0 + (f == "b") + 0.1 * k, 0.5, 1.0, 1.0, "x" if k < 11 else None, at(0) + dt.timedelta(k // 5)) for k in range(13) for f in "ab" if (k, f) != (3, "b")]
+    scores = spark.createDataFrame(rows, "card int, f string, log_loss double, brier double, top1 double, winner_rank double, family string, day timestamp").withColumn("day", F.to_date("day"))
+    got = {(r.dimension, r.value): r for r in aggregates.evaluation_cube(scores, "card", "f", ["family"], "a", "b").collect()}
+    assert set(got) == {("all", None), ("family", "x"), ("family", None)}
+    whole, x, none = got["all", None], got["family", "x"], got["family", None]
+    assert (whole.groups, whole.paired, whole.thin) == (13, 12, False) and (x.paired, x.thin) == (10, False) and (none.paired, none.thin) == (2, True)
+    assert whole.delta_log_loss == pytest.approx(-1.0) and none.candidate_log_loss == pytest.approx(1.0 + 0.1 * 11.5)
+    run = aggregates.running_loss(scores, "card", "f", "day", ["a", "b"]).orderBy("day").collect()
+    assert [r.groups for r in run] == [4, 9, 12] and run[0].a == pytest.approx(1.175) and run[2].b - run[2].a == pytest.approx(1.0)
