@@ -8,6 +8,10 @@ from cohortcast.operators import histories
 from cohortcast.queries.frames import DATED, dated, with_sql
 
 
+#: Beyond every member's key, so that card * ID + member is one row's alone.
+ID = 10_000_000_000
+
+
 def _then(frame, parts, body):
     return with_sql(frame + ",\n" + parts, body)
 
@@ -70,18 +74,18 @@ g AS (SELECT card, min(ago) FILTER (live) AS off, count(*) FILTER (live AND ago
 
 
 def x20_speed_figures(spark, d):
-    """Members of some cards have figures of their own; suppliers of others have results; the rest are derived from places."""
+    """Members of some cards have figures of their own; suppliers of others have results; the rest are derived from places. id: card * 10^10 + member, one row's alone."""
     f = dated(spark, d)
     c = F.col
-    id_ = (c("card") * 1000000 + c("member")).alias("id")
+    id_ = (c("card") * ID + c("member")).alias("id")
     members = f.select(id_, "jockey", F.when(c("card") % 7 == 0, c("qty")).alias("last"), F.when(c("card") % 7 == 0, c("qty") + 3).alias("best"), F.when(c("card") % 14 == 0, c("qty") + 1).alias("avg"))
     results = f.where("jockey % 3 = 0").select("jockey", c("day").alias("time"), id_.alias("tie"), F.when(c("member") % 4 > 0, c("qty")).alias("figure"), (c("member") % 9 == 0).alias("scratched"))
     starts = f.where("card % 5 > 0").select(id_, F.explode(F.sequence(F.lit(1), c("n"))).alias("nth"), c("finish"), c("n").alias("field"))
     return histories.speed_figures(members, results, starts, "id", "jockey").select("id", *[F.round(x, 4).alias(x) for x in ("speed_last", "speed_best", "speed_avg")], "source")
 
 
-X20 = _then(DATED, """m AS (SELECT card * 1000000 + member AS id, jockey, n, finish, card, CASE WHEN card % 7 = 0 THEN qty END AS l, CASE WHEN card % 7 = 0 THEN qty + 3 END AS b, CASE WHEN card % 14 = 0 THEN qty + 1 END AS a FROM dated),
-r5 AS (SELECT * FROM (SELECT jockey, qty AS x, row_number() OVER (PARTITION BY jockey ORDER BY day DESC, card * 1000000 + member DESC) AS k FROM dated WHERE jockey % 3 = 0 AND member % 4 > 0 AND member % 9 > 0 AND qty <> 0) WHERE k <= 5),
+X20 = _then(DATED, f"""m AS (SELECT card * {ID} + member AS id, jockey, n, finish, card, CASE WHEN card % 7 = 0 THEN qty END AS l, CASE WHEN card % 7 = 0 THEN qty + 3 END AS b, CASE WHEN card % 14 = 0 THEN qty + 1 END AS a FROM dated),
+r5 AS (SELECT * FROM (SELECT jockey, qty AS x, row_number() OVER (PARTITION BY jockey ORDER BY day DESC, card * {ID} + member DESC) AS k FROM dated WHERE jockey % 3 = 0 AND member % 4 > 0 AND member % 9 > 0 AND qty <> 0) WHERE k <= 5),
 r AS (SELECT jockey, max(CASE WHEN k = 1 THEN x END) AS l, max(x) AS b, round(avg(x), 1) AS a FROM r5 GROUP BY 1),
 e AS (SELECT id, CASE WHEN card % 5 > 0 AND n >= 2 THEN 60 + 60 * (1 - (finish - 1) / (n - 1)) END AS x FROM m)""",
     "SELECT m.id, round(CASE WHEN m.l IS NOT NULL THEN m.l WHEN r.l IS NOT NULL THEN r.l ELSE x END, 4) AS speed_last, round(CASE WHEN m.l IS NOT NULL THEN m.b WHEN r.l IS NOT NULL THEN r.b ELSE x END, 4) AS speed_best, round(CASE WHEN m.l IS NOT NULL THEN m.a WHEN r.l IS NOT NULL THEN r.a ELSE round(x, 1) END, 4) AS speed_avg, CASE WHEN m.l IS NOT NULL THEN 'entries' WHEN r.l IS NOT NULL THEN 'results' WHEN x IS NOT NULL THEN 'derived' ELSE 'none' END AS source FROM m LEFT JOIN r USING (jockey) JOIN e USING (id)")
