@@ -2,8 +2,10 @@
 
 Similarity is 1 - distance / the longer length. A name of n characters has n + 1 pairs of neighbouring characters, ends included; an
 edit touches two of them. Names at distance d or less therefore share one of their 2 d + 1 rarest pairs, at places at most d
-apart. Distances are tried in turn, each for the names that may still find something better, so that what has a close match never meets
-what is farther away. Nothing is cut: every name whose similarity reaches the cutoff and no other's exceeds is found.
+apart. They also share what is left of each when up to d characters are dropped: where names are so dense that pairs tell little (numbered
+ones), distances 1 and 2 go by these rests, of which a name of n characters has n + 1 or about n * n / 2. Distances are tried in turn, each for the
+names that may still find something better, so that what has a close match never meets what is farther away. Nothing is cut: every name
+whose similarity reaches the cutoff and no other's exceeds is found.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 from cohortcast.operators.cut import cut
 
+#: Known names that a name may meet through its pairs at distance 2; those that would meet more go by their rests.
+OFTEN = 2000
+
 
 def pairs_of(name) -> F.Column:
     """(pair, nth of its kind, place) of each two neighbours of a name, its ends marked by a blank that squashed names don't hold."""
@@ -44,6 +49,22 @@ def candidates(asked: DataFrame, known: DataFrame, block: str, name: str, distan
     return a.join(b, [block, "pair", "nth"]).where(near).select(block, "name_a", "name_b").distinct()
 
 
+def rests_of(name, dropped: int) -> F.Column:
+    """The hashes of a name and of what is left of it without up to so many (1 or 2) of its characters."""
+    without = lambda x, k: F.concat(F.substring(x, F.lit(1), k - 1), F.substring(x, k + 1, F.length(x)))
+    less = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: without(x, k))).otherwise(F.array(F.lit("")))
+    one = F.array_distinct(less(name))
+    both = F.concat(F.array(name), one) if dropped == 1 else F.concat(F.array(name), one, F.flatten(F.transform(one, less)))
+    return F.array_distinct(F.transform(both, lambda x: F.xxhash64(x)))
+
+
+def close_candidates(asked: DataFrame, known: DataFrame, block: str, name: str, distance: int) -> DataFrame:
+    """`candidates` by the rests of names, for distances 1 and 2: how many a name meets doesn't grow with how often its pairs occur."""
+    side = lambda df, mark: df.select(block, F.col(name).alias(f"name_{mark}"), F.explode(rests_of(F.col(name), distance)).alias("_rest"))
+    near = F.levenshtein("name_a", "name_b", distance) >= 0  # before the pairs are shuffled
+    return side(asked, "a").join(side(known, "b"), [block, "_rest"]).where(near).select(block, "name_a", "name_b").distinct()
+
+
 def nearest_names(asked: DataFrame, known: DataFrame, block: str, name: str, cutoff: float = 0.72) -> DataFrame:
     """(block, name, match, similarity): for each distinct asked name the known names of its block that are most similar, if they reach the cutoff.
 
@@ -51,8 +72,8 @@ def nearest_names(asked: DataFrame, known: DataFrame, block: str, name: str, cut
     """
     if not 2 / 3 <= cutoff <= 1:
         raise ValueError("cutoff must be from 2/3 to 1")
-    rarity = known.select(block, name).distinct().where(F.col(name).isNotNull()).select(F.explode(pairs_of(F.col(name))).alias("_p")).groupBy("_p.pair").agg(F.count("*").alias("times"))
-    left, right = cut(indexed(asked, block, name, rarity)), cut(indexed(known, block, name, rarity))
+    told = lambda df: cut(df.where(F.col(name).isNotNull() & F.col(block).isNotNull() & (F.length(name) > 0)).select(block, name).distinct().withColumn("size", F.length(name)))
+    left, right = told(asked), told(known)
     longest = left.agg(F.max("size")).first()[0] or 0
     found = left.join(right, [block, name], "left_semi").select(block, name, F.col(name).alias("match"), F.lit(1.0).alias("similarity"))
     open_ = left.join(found, [block, name], "left_anti")
@@ -61,8 +82,19 @@ def nearest_names(asked: DataFrame, known: DataFrame, block: str, name: str, cut
         open_ = cut(open_.where(reach(distance) >= cutoff - 1e-9))
         if open_.isEmpty():
             break
+        if distance == 1:
+            met = close_candidates(open_, right, block, name, 1)
+        else:
+            if distance == 2:  # few names come so far: pairs are counted for them alone
+                rarity = right.select(F.explode(pairs_of(F.col(name))).alias("_p")).groupBy("_p.pair").agg(F.count("*").alias("times"))
+                index = cut(indexed(right, block, name, rarity))
+                open_ = cut(open_.join(indexed(open_, block, name, rarity).drop("size"), [block, name]))
+            often = F.aggregate(F.slice("pairs", 1, 2 * distance + 1), F.lit(0).cast("long"), lambda n, g: n + g["times"]) > OFTEN
+            met = candidates(open_.where(~often) if distance == 2 else open_, index, block, name, distance)
+            if distance == 2 and not open_.where(often).isEmpty():
+                met = met.unionByName(close_candidates(open_.where(often), right, block, name, 2))
         apart = F.levenshtein("name_a", "name_b", distance)
-        close = candidates(open_, right, block, name, distance).withColumn("_d", apart).where("_d >= 0")
+        close = met.withColumn("_d", apart).where("_d >= 0")
         close = close.select(block, F.col("name_a").alias(name), F.col("name_b").alias("match"), (1 - F.col("_d") / F.greatest(F.length("name_a"), F.length("name_b"))).alias("similarity"))
         close = cut(close.where(F.col("similarity") >= cutoff - 1e-9))
         found = found.unionByName(close)

@@ -64,3 +64,25 @@ def test_empty_and_bad_cutoffs(spark):
     assert fuzzy.nearest_names(none, some, "card", "name").collect() == fuzzy.nearest_names(some, none, "card", "name").collect() == []
     with pytest.raises(ValueError):
         fuzzy.nearest_names(some, some, "card", "name", 0.5)
+
+
+def test_dense_names_meet_few(spark):
+    """Numbered names: each has some fifty others at distance 1, however many there are; through pairs a part of all would meet."""
+    names = lambda n: spark.range(n).select(F.lit(1).alias("card"), F.format_string("NAME%06d", "id").alias("name"))
+    asked = spark.range(0, 10_000, 100).select(F.lit(1).alias("card"), F.format_string("NAME%05dX", F.floor(F.col("id") / 10)).alias("name"))
+    side = lambda df: df.select("card", F.explode(fuzzy.rests_of(F.col("name"), 1)).alias("rest"))
+    met = [side(asked).join(side(names(n)), ["card", "rest"]).count() for n in (10_000, 40_000)]
+    assert met[1] <= 1.2 * met[0]
+    got = fuzzy.nearest_names(asked, names(40_000), "card", "name").groupBy("name").count()
+    assert got.where("count != 10").count() == 0 and got.count() == asked.distinct().count()
+
+
+@pytest.mark.parametrize("often", [0, 2000])
+def test_two_errors_by_rests_and_by_pairs(spark, monkeypatch, often):
+    monkeypatch.setattr(fuzzy, "OFTEN", often)
+    rnd = random.Random(8)
+    known = [(1, f"CUSTOMER{k:06d}") for k in range(0, 3000, 17)]
+    asked = [(1, typo(rnd, typo(rnd, rnd.choice(known)[1]))) for _ in range(60)] + [(1, "X"), (1, "AB")]
+    frame = lambda rows: spark.createDataFrame(rows, "card int, name string")
+    got = {(r.card, r.name, r.match, round(r.similarity, 9)) for r in fuzzy.nearest_names(frame(asked), frame(known), "card", "name").collect()}
+    assert got == brute(asked, known, 0.72)
