@@ -5,18 +5,37 @@ Prices are summed as decimals, so that both engines' sums agree to the last digi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a table that one task of its card's work takes.
+ROWS_OF_A_TASK = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, rows: int, *keys: str, rows_of_a_task: int | None = None) -> DataFrame:
+    """df shuffled by its keys into as many parts as keep a task's rows bounded, where that is more than there are cores; else df, which Spark shuffles as it needs.
+
+    What follows by these keys (sums, windows, joins) stays in these parts, so that a task's memory doesn't grow with the table.
+    """
+    parts = math.ceil(rows / (rows_of_a_task or ROWS_OF_A_TASK))
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def lineitem_by_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return spread(lines, lines.count(), "l_orderkey")
+
+
 def field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each (card, member): price, qty, jockey, ship date, surface; p and m, the shares of price and qty; n, post, decimal, finish."""
     money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("card"), F.col("l_partkey").alias("member")).agg(money("l_extendedprice").alias("price"), money("l_quantity").alias("qty"), F.min("l_suppkey").alias("jockey"), F.max("l_shipdate").cast("date").alias("ship"), F.min("l_returnflag").alias("surface"))
+    lines = lineitem_by_card(spark, sf_dir).groupBy(F.col("l_orderkey").alias("card"), F.col("l_partkey").alias("member")).agg(money("l_extendedprice").alias("price"), money("l_quantity").alias("qty"), F.min("l_suppkey").alias("jockey"), F.max("l_shipdate").cast("date").alias("ship"), F.min("l_returnflag").alias("surface"))
     w = Window.partitionBy("card")
     shares = lines.withColumn("p", F.col("price") / F.sum(F.col("price").cast("decimal(18,2)")).over(w).cast("double")).withColumn("m", F.col("qty") / F.sum(F.col("qty").cast("decimal(18,2)")).over(w).cast("double"))
     return shares.withColumn("n", F.count("*").over(w)).withColumn("post", F.row_number().over(w.orderBy("member"))).withColumn("decimal", 1 / (F.col("m") * 1.18)).withColumn("finish", F.row_number().over(w.orderBy(F.desc("qty"), "member")))
