@@ -35,8 +35,8 @@ def run_state(df: DataFrame, group: str, expected: str, matched: str, covered: s
 
 def degenerate_features(df: DataFrame, group: str, features: list[str]) -> DataFrame:
     """Features that are constant or null all over a group of two members or more."""
-    one = df.groupBy(group).agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(c) for c in features])
-    return one.where("n > 1").select(group, F.array_compact(F.array(*[F.when(F.col(c) <= 1, c) for c in features])).alias("degenerate"))
+    one = df.groupBy(group).agg(F.count("*").alias("n"), *[(F.min(c).eqNullSafe(F.max(c))).alias(c) for c in features])  # one value or none, without a shuffle of distinct ones
+    return one.where("n > 1").select(group, F.array_compact(F.array(*[F.when(F.col(c), c) for c in features])).alias("degenerate"))
 
 
 def forecast_validity(df: DataFrame, group: str, p: str, won: str | None = None, tolerance: float = 1e-6) -> DataFrame:

@@ -60,3 +60,13 @@ def test_a_card_task_holds_bounded_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(frames, "ROWS_OF_A_TASK", 300)
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert frames.field(spark, sf_dir).rdd.getNumPartitions() == -(-lines // 300)
+
+
+def test_degenerate_features_shuffle_no_distinct_values(spark):
+    from cohortcast.operators import quality
+
+    rows = spark.createDataFrame([(1, "a", None, 1.0), (1, "a", None, 2.0), (2, "a", 1, None), (2, None, 2, 3.0), (3, "b", 1, 1.0)], "card int, x string, y int, z double")
+    got = quality.degenerate_features(rows, "card", ["x", "y", "z"])
+    assert {r.card: r.degenerate for r in got.collect()} == {1: ["x", "y"], 2: ["x", "z"]}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
