@@ -99,11 +99,13 @@ def _batches(spark, d, at_once: bool):
     """Captures are weeks of a user, its members are kinds of events; every user is expected to quote three. The stream comes in three pieces, with repeated and late rows."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts")).withColumn("week", F.date_trunc("week", "ts"))
     e = e.withColumn("price", F.when(F.col("event_id") % 5 > 0, 1.0).otherwise(2.0))
-    kinds = e.select("user_id").distinct().select("user_id", F.explode(F.array(*map(F.lit, ["click", "view", "purchase"]))).alias("event_type"))
+    users = e.select("user_id").distinct()
+    kinds = users.select("user_id", F.explode(F.array(*map(F.lit, ["click", "view", "purchase"]))).alias("event_type"))
+    buckets = users.count() // 64 + 1
     out, state = shared_folder(spark, "t02"), shared_folder(spark, "t02-state")
 
     def run(folders):
-        found = captures.complete_batches(_read(spark, folders["events"], e), kinds, "user_id", "event_type", "week", "ts", "price", late="1 hour", wait="8 days", at_once=at_once)
+        found = captures.complete_batches(_read(spark, folders["events"], e), kinds, "user_id", "event_type", "week", "ts", "price", late="1 hour", wait="8 days", at_once=at_once, buckets=buckets)
         found.writeStream.outputMode("append").foreachBatch(lambda b, k: captures.store_new(b, k, out, ["user_id", "batch"])).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
     _arriving(spark, {"events": e}, {"events": "ts"}, 3, run)

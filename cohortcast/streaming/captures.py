@@ -17,42 +17,65 @@ def ingest(captures: DataFrame, posts: DataFrame, group: str, ts: str, keys: lis
     return known.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def complete_batches(captures: DataFrame, expected: DataFrame, group: str, member: str, batch: str, ts: str, price: str, late: str = "10 minutes", wait: str = "10 minutes", at_once: bool = True) -> DataFrame:
+def complete_batches(captures: DataFrame, expected: DataFrame, group: str, member: str, batch: str, ts: str, price: str, late: str = "10 minutes", wait: str = "10 minutes", at_once: bool = True, buckets: int = 4096) -> DataFrame:
     """(group, batch, members, refused): capture batches that quote every expected member of their group.
 
     batch: a timestamp that the quotes of one capture share; expected: a table (group, member). The state of a batch holds its
     members' first prices, so it is as large as its group's field. With `at_once` a batch comes out with the quote that completes it
     and never again; it is forgotten when the watermark has passed it by `wait`. Without, it is judged at that time, and left out if a member was
     quoted at two prices. Repeated quotes change nothing; those of members that aren't expected are ignored, and so are late ones and those without a price.
+
+    Groups are dealt by a hash into `buckets`; those of one bucket and batch, which end together, share a row of state and a call, since a call costs more than
+    its quotes. Some tens of groups a bucket are best; the number stays the same as long as a checkpoint is used.
     """
-    want = expected.where(F.col(member).isNotNull()).groupBy(group).agg(F.sort_array(F.collect_set(F.col(member).cast("string"))).alias("_want"))
+    want = expected.where(F.col(member).isNotNull()).groupBy(group).agg(F.to_json(F.sort_array(F.collect_set(F.col(member).cast("string")))).alias("_want"))
     quotes = captures.withWatermark(ts, late).where(F.col(price).isNotNull()).join(want, group)
-    quotes = quotes.select(F.col(group).cast("string").alias("_group"), F.col(batch).cast("timestamp").alias("_batch"), F.col(ts), F.col(member).cast("string").alias("_member"), F.col(price).cast("double").alias("_price"), "_want", F.expr(f"unix_millis(CAST(`{batch}` AS timestamp) + interval {wait})").alias("_until"))
+    quotes = quotes.select(F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(buckets)).cast("int").alias("_bucket"), F.col(group).cast("string").alias("_group"), F.col(batch).cast("timestamp").alias("_batch"), F.col(ts), F.col(member).cast("string").alias("_member"), F.col(price).cast("double").alias("_price"), "_want", F.expr(f"unix_millis(CAST(`{batch}` AS timestamp) + interval {wait})").alias("_until"))
 
     def assemble(key, frames: Iterable[pd.DataFrame], state):
-        held = json.loads(state.get[0]) if state.exists else {"prices": {}, "clash": False, "told": False, "want": []}
-        whole = lambda: bool(held["want"]) and set(held["want"]) <= set(held["prices"])
-        row = lambda: pd.DataFrame({"key": [key[0]], "batch": [key[1]], "members": [len(held["prices"])]})
+        held = json.loads(state.get[0]) if state.exists else {}
+        wanted: dict[str, set] = {}
+        whole = lambda g: bool(wanted.setdefault(g["want"], set(json.loads(g["want"])))) and wanted[g["want"]] <= g["prices"].keys()
+        rows = lambda found: pd.DataFrame({"key": found, "batch": [key[1]] * len(found), "members": [len(held[name]["prices"]) for name in found]})
+        judged = lambda names: [name for name in names if not at_once and whole(held[name]) and not held[name]["clash"]]
         if state.hasTimedOut:
-            if not at_once and whole() and not held["clash"]:
-                yield row()
+            found = judged(held)
             state.remove()
+            if found:
+                yield rows(found)
             return
-        until = None
+        until, touched = None, {}
         for frame in frames:
-            for name, cost, want, last in zip(frame["_member"], frame["_price"], frame["_want"], frame["_until"]):
-                held["want"], until = list(want), int(last)
-                if name in held["want"]:
-                    held["clash"] |= held["prices"].setdefault(name, cost) != cost
-        told = held["told"]
-        held["told"] = told or whole()
+            for name, member_, cost, want_ in zip(frame["_group"].array, frame["_member"].array, frame["_price"].tolist(), frame["_want"].array):
+                g = touched.get(name)
+                if g is None:
+                    g = touched[name] = held.setdefault(name, {"prices": {}, "clash": False, "told": False})
+                if g.get("want") != want_:
+                    g["want"] = want_
+                if want_ not in wanted:
+                    wanted[want_] = set(json.loads(want_))
+                if member_ in wanted[want_]:
+                    g["clash"] |= g["prices"].setdefault(member_, cost) != cost
+            if len(frame):
+                until = int(frame["_until"].iloc[-1])
+        found = []
+        if until is not None and state.exists and state.getCurrentWatermarkMs() > until:  # over already: only those with new quotes wait on
+            found = judged([name for name in held if name not in touched])
+        for name, g in touched.items():
+            if not g["told"] and whole(g):
+                g["told"] = True
+                if at_once:
+                    found.append(name)
+        told = rows(found)
+        if until is not None and state.getCurrentWatermarkMs() > until:
+            held = touched
         state.update((json.dumps(held),))
         if until is not None:
             state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        if at_once and held["told"] and not told:
-            yield row()
+        if found:
+            yield told
 
-    out = quotes.groupBy("_group", "_batch").applyInPandasWithState(assemble, "key string, batch timestamp, members int", "held string", "append", "EventTimeTimeout")
+    out = quotes.groupBy("_bucket", "_batch").applyInPandasWithState(assemble, "key string, batch timestamp, members int", "held string", "append", "EventTimeTimeout")
     return out.select(F.col("key").cast(captures.schema[group].dataType).alias(group), "batch", "members")
 
 
@@ -95,18 +118,27 @@ def fresh_rows(batch: DataFrame, batch_id: int, path: str, keys: list[str], part
 
 
 def store_new(batch: DataFrame, batch_id: int, path: str, keys: list[str], parts: int = 32) -> None:
-    """For foreachBatch: stores rows whose keys the table at path lacks. A batch that is tried again replaces its own rows, so nothing is stored twice."""
-    fresh_rows(batch, batch_id, path, keys, parts).write.mode("overwrite").partitionBy("stored_part").parquet(f"{path}/stored_batch={batch_id}")
+    """For foreachBatch: stores rows whose keys the table at path lacks. A batch that is tried again replaces its own rows, so nothing is stored twice.
+
+    The batch is kept while it is stored, for its parts are asked for first, and what makes it (state, joins) would run again.
+    """
+    batch = batch.persist()
+    try:
+        fresh_rows(batch, batch_id, path, keys, parts).write.mode("overwrite").partitionBy("stored_part").parquet(f"{path}/stored_batch={batch_id}")
+    finally:
+        batch.unpersist()
 
 
 def evaluate_new(batch: DataFrame, batch_id: int, path: str, keys: list[str], by: list[str], sums: dict[str, F.Column], parts: int = 32) -> None:
     """For foreachBatch: stores new rows under path/rows, and the sums of what is new by `by` under path/sums. Both are replaced when a batch is tried again."""
+    batch = batch.persist()
     new = fresh_rows(batch, batch_id, f"{path}/rows", keys, parts).persist()
     try:
         new.write.mode("overwrite").partitionBy("stored_part").parquet(f"{path}/rows/stored_batch={batch_id}")
         new.groupBy(*by).agg(*[F.sum(x).alias(name) for name, x in sums.items()]).coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/stored_batch={batch_id}")
     finally:
         new.unpersist()
+        batch.unpersist()
 
 
 def evaluation(spark, path: str, by: list[str], sums: list[str]) -> DataFrame:

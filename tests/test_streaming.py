@@ -116,3 +116,41 @@ def test_faults_are_not_taken_for_an_empty_table(spark, tmp_path):
     captures.store_new(spark.range(3).toDF("other"), 0, f"{tmp_path}/out", ["other"])
     with pytest.raises(AnalysisException):
         captures.store_new(spark.range(3).toDF("id"), 1, f"{tmp_path}/out", ["id"])
+
+
+def in_buckets(spark, tmp_path, files, expected, at_once, buckets):
+    """Each list of rows is a micro-batch of its own: (race, members, micro-batch), and the rows of state at the end."""
+    feed, got = Feed(spark, tmp_path, QUOTES), []
+    for rows in files:
+        feed.add(rows)
+    source = spark.readStream.schema(QUOTES).option("maxFilesPerTrigger", 1).parquet(feed.folder)
+    stream = captures.complete_batches(source, expected, "race", "horse", "taken", "ts", "price", late="10 minutes", wait="1 hour", at_once=at_once, buckets=buckets)
+    q = feed.run(stream, lambda b, k: got.extend((r.race, r.members, k) for r in b.collect()))
+    return got, sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"])
+
+
+def test_groups_of_a_bucket_share_state(spark, tmp_path):
+    t = at(1, 12)
+    expected = spark.createDataFrame([(k, h) for k in range(40) for h in "ab"], "race int, horse string")
+    got, left = in_buckets(spark, tmp_path, [[(k, "a", t, t, 2.0) for k in range(40)], [(k, "b", t, t, 2.0) for k in range(0, 40, 2)]], expected, True, 2)
+    assert sorted(got) == [(k, 2, 1) for k in range(0, 40, 2)] and left == 2
+
+
+def test_a_late_quote_holds_up_its_own_group_only(spark, tmp_path):
+    t, expected = at(1, 12), spark.createDataFrame([(k, h) for k in (1, 2) for h in "ab"], "race int, horse string")
+    files = [[(1, "a", t, t, 2.0), (1, "b", t, t, 2.0), (2, "a", t, t, 2.0)], [(1, "a", at(9), at(9), 2.0)], [(2, "b", t, at(9), 2.0)], [(1, "a", at(12), at(12), 2.0)]]
+    got, _ = in_buckets(spark, tmp_path, files, expected, False, 1)
+    assert [x[:2] for x in got] == [(1, 2), (2, 2)] and got[0][2] < got[1][2]
+
+
+def test_a_batch_is_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    for k in range(2):
+        captures.store_new(spark.range(k, 100 + k).mapInPandas(counted, "id long"), k, f"{tmp_path}/out", ["id"], parts=4)
+    assert made.value == 200 and spark.read.parquet(f"{tmp_path}/out").count() == 101
