@@ -6,6 +6,7 @@ Prices are summed as decimals, so that both engines' sums agree to the last digi
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,19 @@ def spread(df: DataFrame, rows: int, *keys: str, rows_of_a_task: int | None = No
     return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new folder under the cluster's checkpoint folder; under the warehouse where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/{name}-{uuid.uuid4()}"
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder, for what several branches of a plan read: each of them would work it out again."""
+    at = shared_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def lineitem_by_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     return spread(lines, lines.count(), "l_orderkey")

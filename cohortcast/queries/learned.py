@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortcast.operators import learning, windows
-from cohortcast.queries.frames import DATED, dated, with_sql
-from cohortcast.queries.models import shared_folder
+from cohortcast.queries.frames import DATED, dated, once, shared_folder, with_sql
 
 FEATURES = ["price", "post", "n", "cheap"]
 r = lambda c, k=6: F.round(c, k).alias(c)
@@ -17,29 +16,27 @@ def _rows(spark, d):
     return f.select("card", "member", "day", "class", "label", "m", *FEATURES)
 
 
-def _stored(df, spark, name):
-    """df as a table of the shared folder, so that what reads it several times learns once."""
-    at = shared_folder(spark, name)
-    df.write.parquet(at)
-    return spark.read.parquet(at)
+def _rows_once(spark, d):
+    """The rows as a table of the shared folder: folds, learners and labels each read them, and the field is worked out once."""
+    return once(_rows(spark, d), "rows")
 
 
 def _forecasts(spark, d):
     """Out-of-fold forecasts of five folds by boosted trees, raw and calibrated on the folds before."""
-    rows = _rows(spark, d)
+    rows = _rows_once(spark, d)
     folds = learning.chronological_folds(rows, "day", "card", folds=5, least_groups=30, embargo_days=1)
 
     def fit_predict(train, test):
         return learning.raw_scores(learning.fit_classifier(train, FEATURES, "label"), test, "raw")
 
     raw = learning.out_of_fold(rows, "day", "label", folds, fit_predict).join(rows.select("card", "member", "label"), ["card", "member"])
-    oof = _stored(raw, spark, "oof")
+    oof = once(raw, "oof")
     return windows.share(learning.cross_calibrated(oof, "day", "raw", "label", folds), "card", "calibrated", "p")
 
 
 def l06_rolling_forecasts(spark, d):
     """Out-of-fold forecasts by fold, raw and calibrated out of fold; then all folds pooled (fold 0)."""
-    oof = _stored(_forecasts(spark, d), spark, "forecasts")
+    oof = once(_forecasts(spark, d), "forecasts")
     both = oof.unionByName(oof.withColumn("fold", F.lit(0)))
     metrics = lambda p: learning.forecast_metrics(both, ["fold"], "card", p, "label", "member").select("fold", "rows", "groups", *[F.col(c).alias(f"{p}_{c}") for c in ("log_loss", "brier", "top1", "top3")])
     return metrics("p").join(metrics("raw").drop("rows", "groups"), "fold")
@@ -71,20 +68,20 @@ SELECT fold, CAST(a - 1 AS DATE) AS train_before, a AS test_from, z AS test_to,
 
 def l04_calibration(spark, d):
     """Rates by post learnt before each fold, calibrated on the folds before it: what was forecast, calibrated and seen, by fold and tenth."""
-    rows = _rows(spark, d).withColumn("place", F.least("post", F.lit(8)))
+    rows = _rows_once(spark, d).withColumn("place", F.least("post", F.lit(8)))
     folds = learning.chronological_folds(rows, "day", "card", folds=5, least_groups=30, embargo_days=1)
 
     def fit_predict(train, test):
         return test.join(train.groupBy("place").agg(F.avg("label").alias("raw")), "place", "left")
 
-    oof = _stored(learning.out_of_fold(rows, "day", "label", folds, fit_predict).join(rows.select("card", "member", "label"), ["card", "member"]), spark, "rates")
+    oof = once(learning.out_of_fold(rows, "day", "label", folds, fit_predict).join(rows.select("card", "member", "label"), ["card", "member"]), "rates")
     done = learning.cross_calibrated(oof.where("raw IS NOT NULL"), "day", "raw", "label", folds)
     return done.groupBy("fold", F.floor(F.col("raw") * 10).cast("int").alias("tenth")).agg(F.count("*").alias("n"), F.round(F.avg("raw"), 4).alias("raw"), F.round(F.avg("calibrated"), 4).alias("calibrated"), F.round(F.avg("label"), 4).alias("seen"))
 
 
 def l07_serve(spark, d):
     """A model learnt from the first 70 % of days and calibrated on the next 15 % is stored as the pooled one, and serves another segment's cards of the last days. One of its columns is missing there."""
-    f = windows.split_by_date(_rows(spark, d), "day")
+    f = windows.split_by_date(_rows_once(spark, d), "day")
     model = learning.fit_classifier(f.where("part = 'train'"), FEATURES, "label")
     valid = learning.raw_scores(model, f.where("part = 'valid'"), "raw")
     root = shared_folder(spark, "models")

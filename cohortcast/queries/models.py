@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cohortcast.operators import learning
-from cohortcast.queries.frames import DATED, dated, table, with_sql
+from cohortcast.queries.frames import DATED, dated, shared_folder, table, with_sql
 from cohortcast.sources import sinks
 from cohortcast.streaming import captures
 
 r = lambda c, k=6: F.round(c, k).alias(c)
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder under the cluster's checkpoint folder; under the warehouse where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/{name}-{uuid.uuid4()}"
-
-
 def _stream(spark, d, source: str = "events"):
     schema = table(spark, d, source).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))

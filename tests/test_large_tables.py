@@ -4,11 +4,12 @@ import datetime as dt
 import os
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from cohortcast import queries as registry
 from cohortcast.operators import joins
-from cohortcast.queries import frames
+from cohortcast.queries import frames, learned
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp"
 DAY = dt.datetime(1997, 5, 1)
@@ -70,3 +71,22 @@ def test_degenerate_features_shuffle_no_distinct_values(spark):
     assert {r.card: r.degenerate for r in got.collect()} == {1: ["x", "y"], 2: ["x", "z"]}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
+
+
+@pytest.mark.parametrize("name", ["x17_workouts", "x19_velocity", "x19_standalone", "a15_verdicts", "a15_performance", "e12_settle"])
+def test_the_field_is_worked_out_once(spark, sf_dir, name):
+    assert "l_extendedprice" not in registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name, asked", [("l04_calibration", "out_of_fold"), ("l06_rolling_forecasts", "out_of_fold"), ("l07_serve", "fit_classifier")])
+def test_learners_read_stored_rows(spark, sf_dir, monkeypatch, name, asked):
+    class Asked(Exception):
+        pass
+
+    def tell(df, *_):
+        raise Asked(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(learned.learning, asked, tell)
+    with pytest.raises(Asked) as plan:
+        registry.queries()[name](spark, sf_dir)
+    assert "l_extendedprice" not in str(plan.value)
