@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortcast.operators import backtest, features, rules, scoring
-from cohortcast.queries.frames import DATED, FIELD, dated, field, table, with_sql
+from cohortcast.queries.frames import DATED, FIELD, dated, field, once, table, with_sql
 
 r = lambda c, k=6: F.round(c, k).alias(c)
 
@@ -96,8 +96,8 @@ def m14_stakes(spark, d):
 M14 = with_sql(FIELD, "SELECT card, member, round(st, 2) AS stake, CASE WHEN st >= 2 THEN 'BET' ELSE 'PASS' END AS action FROM (SELECT card, member, coalesce(floor(1000 * least(0.05, 0.25 * greatest((p * decimal - 1) / (decimal - 1), 0)) / 2 + 1e-9) * 2, 0)::DOUBLE AS st FROM field)")
 
 
-def _bets(spark, d):
-    return backtest.decide(dated(spark, d), "card", "member", "p", "decimal", "edge_v1")
+def _bets(spark, d, f=None):
+    return backtest.decide(dated(spark, d) if f is None else f, "card", "member", "p", "decimal", "edge_v1")
 
 
 DECIDED = DATED + """,
@@ -110,11 +110,16 @@ def e11_decide(spark, d):
     return _bets(spark, d).select("policy", "card", "member", r("edge"), r("ev"), "decision_id")
 
 
-def _settled(spark, d):
-    f = dated(spark, d)
+def _members(spark, d):
+    """What bets, outcomes, classes and closing prices read of the dated field, worked out once."""
+    return once(dated(spark, d).select("card", "member", "p", "decimal", "finish", "class", "day"), "members")
+
+
+def _settled(spark, d, f=None):
+    f = _members(spark, d) if f is None else f
     outcomes = f.select("card", "member", F.when((F.col("card") % 13 != 0) & (F.col("member") % 29 != 0), F.col("finish")).alias("finish"), (F.col("member") % 31 == 0).alias("scratched"))
     classes = f.select("card", "class").distinct()
-    return backtest.settle(_bets(spark, d).join(classes, "card"), outcomes, "card", "member", F.lit(2.0))
+    return backtest.settle(_bets(spark, d, f).join(classes, "card"), outcomes, "card", "member", F.lit(2.0))
 
 
 SETTLED = DECIDED + """,
@@ -137,8 +142,9 @@ E13 = with_sql(SETTLED, "SELECT 'edge_v1' AS policy, class, count(*) FILTER (l)
 
 def _priced(spark, d):
     """Settled bets with the card's day and the value of their price against the last one, which follows the members' share of price."""
-    f = dated(spark, d).select("card", "member", "day", (1 / (F.col("p") * 1.18)).alias("closing"))
-    return _settled(spark, d).join(f, ["card", "member"]).withColumn("clv", backtest.closing_line_value(F.col("decimal"), F.col("closing")))
+    f = _members(spark, d)
+    closing = f.select("card", "member", "day", (1 / (F.col("p") * 1.18)).alias("closing"))
+    return _settled(spark, d, f).join(closing, ["card", "member"]).withColumn("clv", backtest.closing_line_value(F.col("decimal"), F.col("closing")))
 
 
 def a15_performance(spark, d):
