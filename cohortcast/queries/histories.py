@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortcast.operators import histories
-from cohortcast.queries.frames import DATED, dated, with_sql
+from cohortcast.queries.frames import DATED, dated, once, with_sql
 
 
 #: Beyond every member's key, so that card * ID + member is one row's alone.
@@ -16,6 +16,11 @@ def _then(frame, parts, body):
     return with_sql(frame + ",\n" + parts, body)
 
 
+def _starts(spark, d, *names):
+    """These columns of the dated field, worked out once: targets and each kind of sum read them."""
+    return once(dated(spark, d).select(*names), "starts")
+
+
 def _works(f):
     """Every seventh work has no time, every fifth no rank; some ranks are beyond the field."""
     c = F.col
@@ -36,7 +41,7 @@ y AS (SELECT *, least(1, n60 / 3) AS cover, 0.35 * exp(-ago / 30) + 0.30 * least
 
 def x17_workouts(spark, d):
     """What the supplier's works say before the day of a card that it won; the last work's rank counts."""
-    f = dated(spark, d)
+    f = _starts(spark, d, "card", "member", "jockey", "ship", "post", "qty", "class", "surface", "finish", "n", "day")
     out = histories.work_overlay(f.where("finish = 1").select("card", "jockey", "day"), _works(f), "jockey", "day")
     return out.select("card", "rank_n", "count_30", "days_since_work", "normalized", "rank_percentile", F.col("readiness_v2").alias("readiness"))
 
@@ -46,7 +51,7 @@ X17 = _then(DATED, WORKS, "SELECT card, rn AS rank_n, CAST(n30 AS INT) AS count_
 
 def x19_velocity(spark, d):
     """The same with the best rank of 60 days, and the time of the last work against its peers."""
-    f = dated(spark, d)
+    f = _starts(spark, d, "card", "member", "jockey", "ship", "post", "qty", "class", "surface", "finish", "n", "day")
     out = histories.work_overlay(f.where("finish = 1").select("card", "jockey", "day"), _works(f), "jockey", "day", rank_of="best")
     return out.select("card", "count_30", "velocity_z", F.col("readiness_v2").alias("readiness"))
 
@@ -55,7 +60,7 @@ X19V = _then(DATED, WORKS, "SELECT card, CAST(n30 AS INT) AS count_30, round(z,
 
 
 def x19_standalone(spark, d):
-    f = dated(spark, d)
+    f = _starts(spark, d, "card", "member", "jockey", "day", "surface", "finish", "n", "m")
     c = F.col
     starts = f.select("jockey", c("day").alias("date"), "surface", (c("n") >= 5).alias("route"), "finish", c("n").alias("field"), (c("member") % 13 == 0).alias("scratched"), F.when(c("member") % 3 > 0, c("m")).alias("implied"))
     target = f.where("finish = 1").select("card", "jockey", "day", c("surface").alias("today"), (c("n") >= 5).alias("long"))
