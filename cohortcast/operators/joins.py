@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -37,18 +38,23 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, ts: str,
     return found.select("_left.*", *[F.col(f"_last.{c}").alias(c) for c in take], F.col("_last._ts").alias(f"as_of_{ts}"))
 
 
-def complete_capture(captures: DataFrame, expected: DataFrame, group: str, member: str, batch: list[str], ts: str, price: str) -> DataFrame:
+def complete_capture(captures: DataFrame, expected: DataFrame, group: str, member: str, batch: list[str], ts: str, price: str, parts: int | None = None) -> DataFrame:
     """Of each group the latest batch that quotes every expected member once, each at a price above 1.
 
-    Two such batches of one time are a tie: the group gets none.
+    Two such batches of one time are a tie: the group gets none. Quotes and expected members are shuffled once, by group (into `parts`, if given); all else is windows within a group.
     """
-    want = expected.groupBy(group).agg(F.count_distinct(member).alias("_want"))
-    known = captures.join(expected.select(group, member).distinct().withColumn("_known", F.lit(1)), [group, member], "left")
-    sums = known.groupBy(group, ts, *batch).agg(F.count("*").alias("_n"), F.count_distinct(member).alias("_distinct"), F.count("_known").alias("_hit"), F.min(F.coalesce((F.col(price) > 1).cast("int"), F.lit(0))).alias("_ok"))
-    whole = sums.join(want, group).where("_n = _want AND _distinct = _want AND _hit = _want AND _ok = 1")
-    w = Window.partitionBy(group).orderBy(F.desc(ts))
-    best = whole.withColumn("_rank", F.rank().over(w)).where("_rank = 1").withColumn("_tied", F.count("*").over(Window.partitionBy(group))).where("_tied = 1")
-    return captures.join(best.select(group, ts, *batch), [group, ts, *batch], "left_semi")
+    c, quotes = F.col, captures.withColumn("_quote", F.lit(True))
+    both = quotes.unionByName(expected.select(group, member), allowMissingColumns=True).where(c(group).isNotNull())
+    both = both.repartition(parts, group) if parts else both
+    fact = c("_quote").isNotNull()
+    by, once = Window.partitionBy(group), Window.partitionBy(group, member)
+    known = both.withColumn("_known", F.max(~fact & c(member).isNotNull()).over(once)).withColumn("_want", F.size(F.collect_set(F.when(~fact, c(member))).over(by))).where(fact)
+    of = Window.partitionBy(group, ts, *batch)
+    sums = known.withColumns({"_n": F.count("*").over(of), "_distinct": F.size(F.collect_set(member).over(of)), "_hit": F.count_if("_known").over(of), "_ok": F.min(F.coalesce((c(price) > 1).cast("int"), F.lit(0))).over(of)})
+    whole = sums.where("_want > 0 AND _n = _want AND _distinct = _want AND _hit = _want AND _ok = 1")
+    best = whole.withColumn("_rank", F.rank().over(by.orderBy(F.desc(ts)))).where("_rank = 1").withColumn("_batches", F.size(F.collect_set(F.struct(*batch)).over(by)))
+    known_batch = [c(x).isNotNull() for x in (ts, *batch)]
+    return best.where("_batches = 1").where(functools.reduce(lambda a, b: a & b, known_batch)).select(*captures.columns)
 
 
 def two_pass(left: DataFrame, right: DataFrame, full: list[str], partial: list[str], order: str, take: list[str]) -> DataFrame:

@@ -19,13 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_of(spark: SparkSession, rows: int, rows_of_a_task: int | None = None) -> int | None:
+    """How many parts keep a task's rows bounded; None where that isn't more than there are cores."""
+    parts = math.ceil(rows / (rows_of_a_task or ROWS_OF_A_TASK))
+    return parts if parts > spark.sparkContext.defaultParallelism else None
+
+
 def spread(df: DataFrame, rows: int, *keys: str, rows_of_a_task: int | None = None) -> DataFrame:
     """df shuffled by its keys into as many parts as keep a task's rows bounded, where that is more than there are cores; else df, which Spark shuffles as it needs.
 
     What follows by these keys (sums, windows, joins) stays in these parts, so that a task's memory doesn't grow with the table.
     """
-    parts = math.ceil(rows / (rows_of_a_task or ROWS_OF_A_TASK))
-    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+    parts = parts_of(df.sparkSession, rows, rows_of_a_task)
+    return df.repartition(parts, *keys) if parts else df
 
 
 def shared_folder(spark, name: str) -> str:

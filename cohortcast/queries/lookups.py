@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortcast.functions.text import ascii_key, squash_key
 from cohortcast.operators import joins, sets
-from cohortcast.queries.frames import DATED, FIELD, dated, field, table, with_sql
+from cohortcast.queries.frames import DATED, FIELD, dated, field, parts_of, table, with_sql
 from cohortcast.sources import readers, sinks
 
 r = lambda c, k=6: F.round(c, k).alias(c)
@@ -36,8 +36,8 @@ J09 = AS_OF.format(on="v.ts <= o.ts - INTERVAL 30 MINUTE", cols="CASE WHEN b.ts
 
 def j10_complete_capture(spark, d):
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("card"), F.col("l_partkey").alias("member"), F.col("l_returnflag").alias("provider"), F.to_date("l_shipdate").alias("ts"), F.col("l_quantity").alias("price"))
-    expected = lines.where("provider = 'N'").select("card", "member").distinct()
-    return joins.complete_capture(lines, expected, "card", "member", ["provider"], "ts", "price").select("card", "member", "provider", "ts")
+    expected = lines.where("provider = 'N'").select("card", "member")
+    return joins.complete_capture(lines, expected, "card", "member", ["provider"], "ts", "price", parts_of(spark, 2 * lines.count())).select("card", "member", "provider", "ts")
 
 
 J10 = """WITH l AS (SELECT l_orderkey AS card, l_partkey AS member, l_returnflag AS provider, CAST(l_shipdate AS DATE) AS ts, l_quantity AS price FROM lineitem),
