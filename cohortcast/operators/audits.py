@@ -46,14 +46,15 @@ def second_source_errors(laddered: DataFrame, entries: DataFrame, group: str, id
     return theirs.join(ours, group, "left").select(group, "records", broken(rules).alias("errors"))
 
 
-def match_preview(results: DataFrame, members: DataFrame, group: str, member: str) -> DataFrame:
-    """results with status, nothing written: RACE_MISSING, UNMATCHED, DUPLICATE (a member named twice) or MATCHED."""
-    groups = members.select(group).distinct().withColumn("_g", F.lit(1))
-    known = members.select(group, member).distinct().withColumn("_m", F.lit(1))
-    times = results.groupBy(group, member).agg(F.count("*").alias("_n"))
-    out = times.join(groups, group, "left").join(known, [group, member], "left")
-    status = F.when(F.col("_g").isNull(), "RACE_MISSING").when(F.col("_m").isNull(), "UNMATCHED").when(F.col("_n") > 1, "DUPLICATE").otherwise("MATCHED")
-    return out.select(group, member, F.col("_n").alias("rows"), status.alias("status"))
+def match_preview(results: DataFrame, members: DataFrame, group: str, member: str, parts: int | None = None) -> DataFrame:
+    """results with status, nothing written: RACE_MISSING, UNMATCHED, DUPLICATE (a member named twice) or MATCHED. Both are shuffled once, by group (into `parts`, if given)."""
+    both = results.select(group, member, F.lit(1).alias("_r")).unionByName(members.select(group, member, F.lit(0).alias("_r")))
+    both = both.repartition(parts, group) if parts else both
+    named = F.col("_r") == 0
+    times = both.groupBy(group, member).agg(F.sum("_r").alias("_n"), F.bool_or(named).alias("_m"))
+    known = times.withColumn("_g", F.bool_or("_m").over(Window.partitionBy(group))).where("_n > 0")
+    status = F.when(~F.col("_g") | F.col(group).isNull(), "RACE_MISSING").when(~F.col("_m") | F.col(member).isNull(), "UNMATCHED").when(F.col("_n") > 1, "DUPLICATE").otherwise("MATCHED")
+    return known.select(group, member, F.col("_n").alias("rows"), status.alias("status"))
 
 
 def feature_validity(status: Column, source: Column, evidence: Column, as_of: Column, decision: Column, bad_status: list[str], bad_sources: list[str], sources: list[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortcast.operators import audits as a
-from cohortcast.queries.frames import DATED, FIELD, dated, field, table, with_sql
+from cohortcast.queries.frames import DATED, FIELD, dated, field, parts_of, table, with_sql
 from cohortcast.queries.members import STYLED, _then, styled
 
 r = lambda c, k=6: F.round(c, k).alias(c)
@@ -60,7 +60,9 @@ def j30_preview(spark, d):
     members = lines.where("l_orderkey % 17 <> 0 and l_linenumber <> 3").select(F.col("l_orderkey").alias("card"), F.col("l_partkey").alias("member"))
     results = lines.select(F.col("l_orderkey").alias("card"), F.col("l_partkey").alias("member"))
     again = lines.where("l_partkey % 11 = 0").select(F.col("l_orderkey").alias("card"), F.col("l_partkey").alias("member"))
-    return a.match_preview(results.unionByName(again), members, "card", "member").groupBy("status").agg(F.count("*").alias("members"), F.sum("rows").alias("rows"), F.count_distinct("card").alias("cards"))
+    found = a.match_preview(results.unionByName(again), members, "card", "member", parts_of(spark, 2 * lines.count()))
+    cards = found.groupBy("status", "card").agg(F.count("*").alias("members"), F.sum("rows").alias("rows"))  # stays in its card's part
+    return cards.groupBy("status").agg(F.sum("members").alias("members"), F.sum("rows").alias("rows"), F.count("*").alias("cards"))
 
 
 J30 = """WITH m AS (SELECT DISTINCT l_orderkey AS card, l_partkey AS member FROM lineitem WHERE l_orderkey % 17 <> 0 AND l_linenumber <> 3), res AS (SELECT l_orderkey AS card, l_partkey AS member FROM lineitem UNION ALL SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 11 = 0),

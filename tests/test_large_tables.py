@@ -90,3 +90,17 @@ def test_learners_read_stored_rows(spark, sf_dir, monkeypatch, name, asked):
     with pytest.raises(Asked) as plan:
         registry.queries()[name](spark, sf_dir)
     assert "l_extendedprice" not in str(plan.value)
+
+
+def test_captures_and_previews_are_shuffled_once_by_group(spark):
+    from cohortcast.operators import audits
+
+    rows = spark.createDataFrame([(1, "a", "x", 1, 2.0), (1, "b", "x", 1, 2.0), (1, "a", "y", 2, 2.0), (2, "a", "x", 1, 2.0), (2, None, "x", 2, 2.0), (None, "a", "x", 1, 2.0), (3, "a", "x", None, 2.0), (4, "a", "x", 1, 2.0), (4, "a", "y", 1, 2.0)], "card int, member string, provider string, ts int, price double")
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, None), (None, "a"), (3, "a"), (4, "a")], "card int, member string")
+    got = joins.complete_capture(rows, asked, "card", "member", ["provider"], "ts", "price", 7)
+    assert sorted((r.card, r.member, r.ts) for r in got.collect()) == [(1, "a", 1), (1, "b", 1), (2, "a", 1)]  # 4 is a tie
+    told = audits.match_preview(rows, asked.where("card < 3"), "card", "member", 7)
+    assert {(r.card, r.member): (r.rows, r.status) for r in told.collect()} == {(1, "a"): (2, "DUPLICATE"), (1, "b"): (1, "MATCHED"), (2, "a"): (1, "MATCHED"), (2, None): (1, "UNMATCHED"), (None, "a"): (1, "RACE_MISSING"), (3, "a"): (1, "RACE_MISSING"), (4, "a"): (2, "RACE_MISSING")}
+    for df in (got, told):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert df.rdd.getNumPartitions() == 7 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
