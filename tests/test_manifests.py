@@ -2,7 +2,7 @@
 
 import json
 
-from cohortcast.operators.manifests import judge_manifests
+from cohortcast.operators.manifests import FIELDS, REFERENCE, judge_manifests
 
 GOOD = {
     "artifact_path_or_uri": "/raw/a.md", "sha256": "a" * 64, "source_provider": "p", "parser_version": "1", "source_as_of_timestamp": "2026-05-02T10:00:00-04:00", "source_as_of_tier": "PROVEN", "source_as_of_provenance": "PUBLISHER_TIMESTAMP",
@@ -49,3 +49,28 @@ def test_one_fault_each(spark):
     for k, (text, faults, codes) in enumerate(cases):
         assert (got[k].faults, got[k].codes, got[k].passed, got[k].path) == (faults, codes, not codes, "clash"), text
     assert judge_manifests(df.limit(0), "text").collect() == []
+
+
+def test_each_field_is_opened_once(spark):
+    kept = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = judge_manifests(spark.createDataFrame([("{}",)], "text string"), "text")._jdf.queryExecution().optimizedPlan().toString().lower()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", kept)
+    assert 0 < plan.count("schema_of_variant(") + plan.count("schemaofvariant(") <= len(FIELDS) + len(REFERENCE) and "lambda" not in plan
+
+
+def test_folded_states_and_odd_objects(spark):
+    m = lambda **kw: json.dumps({**GOOD, **kw})
+    cases = [
+        (m(field_completeness_status="complete"), ["field_completeness_status"], [BAD]),
+        (m(outcome_provenance_status="ſomething"), ["outcome_provenance_status"], [BAD, "OUTCOME_PROVENANCE_INSUFFICIENT"]),
+        (m(identity_reconciliation_status="ıncomplete"), ["identity_reconciliation_status"], [BAD, "IDENTITY_RECONCILIATION_INCOMPLETE"]),
+        (m(outcome_reference=[1]), ["outcome_reference"] + [f"outcome_reference/{n}" for n in REFERENCE], [BAD]),
+        (m(outcome_reference={**GOOD["outcome_reference"], "a, sha256: STRING": None}), ["a, sha256: STRING"], [BAD]),
+        ("null", ["$"], [BAD]), ('{"a": 1, "a": 2}', [], ["MANIFEST_JSON_UNREADABLE"]),
+    ]
+    got = {r.text: r for r in judge_manifests(spark.createDataFrame([(t,) for t, _, _ in cases], "text string"), "text").collect()}
+    for text, faults, codes in cases:
+        assert (got[text].faults, got[text].codes, got[text].passed) == (faults, codes, False), text
