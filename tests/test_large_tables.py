@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 
 import duckdb
 import pytest
@@ -104,3 +105,16 @@ def test_captures_and_previews_are_shuffled_once_by_group(spark):
     for df in (got, told):
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]  # the final one alone
         assert df.rdd.getNumPartitions() == 7 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["w20_free_slots", "q04_self_checks", "e06_run"])
+def test_work_by_card_stays_in_bounded_parts(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(frames, "ROWS_OF_A_TASK", 300)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+    try:
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    parts = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 300)
+    assert set(re.findall(r"hashpartitioning\((?:.*, )?(?:card|l_orderkey)#[^)]*, (\d+)\)", plan)) == {str(parts)}
