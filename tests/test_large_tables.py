@@ -107,7 +107,7 @@ def test_captures_and_previews_are_shuffled_once_by_group(spark):
         assert df.rdd.getNumPartitions() == 7 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
-@pytest.mark.parametrize("name", ["w20_free_slots", "q04_self_checks", "e06_run", "e03_evaluation", "l05_metrics", "q17_missing"])
+@pytest.mark.parametrize("name", ["w20_free_slots", "q04_self_checks", "e06_run", "e03_evaluation", "l05_metrics", "q17_missing", "a03_segments"])
 def test_work_by_card_stays_in_bounded_parts(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(frames, "ROWS_OF_A_TASK", 300)
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
