@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .pretokens import PreTokens, split_special
-from .text import U64, batches
+from .text import U64, batches, freeing
 
 _CODECS: dict = {}
 CACHE = 400_000
@@ -70,7 +70,7 @@ class Codec:
 
     def forget(self) -> None:
         self.number: dict[int, int] = {}
-        self.flat, self.offset, self.decoded = [], [0], []
+        self.flat, self.offset = [], [0]
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the length of each word's share."""
@@ -120,7 +120,7 @@ class Codec:
 
     def learn(self, tokens: PreTokens) -> np.ndarray:
         """The number of each pre-token's word in the cache; new words are encoded together."""
-        if len(self.decoded) > CACHE:
+        if len(self.number) > CACHE:
             self.forget()
         keys, first, inverse = np.unique(tokens.hash, return_index=True, return_inverse=True)
         names, number = keys.tolist(), self.number
@@ -128,10 +128,8 @@ class Codec:
         if new:
             ids, share = self.merge([tokens.text(first[k]).encode("utf-8", "surrogatepass") for k in new])
             end = np.cumsum(share)
-            parts = np.array(self.tokens, object)[ids].tolist()
-            for k, lo, hi in zip(new, (end - share).tolist(), end.tolist()):
-                number[names[k]] = len(self.decoded)
-                self.decoded.append(" ".join(parts[lo:hi]))
+            for k in new:
+                number[names[k]] = len(number)
             self.flat.append(ids)
             self.offset.extend((self.offset[-1] + end).tolist())
         return np.fromiter((number[h] for h in names), np.int64, len(names))[inverse]
@@ -200,7 +198,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
 
     kept = [docs.schema.fields[k] for k in own]
     names = [f.name for f in (*kept, *added)]
-    return docs.mapInArrow(run, T.StructType([*kept, *added]))
+    return docs.mapInArrow(freeing(run), T.StructType([*kept, *added]))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -219,4 +217,4 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str
                 first = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in own), _joined(tokens, col.flatten(), first)], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(out_col, T.StringType())]))
+    return docs.mapInArrow(freeing(run), T.StructType([*kept, T.StructField(out_col, T.StringType())]))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import components, join_groups, most_frequent, ready, settled
-from .text import U64, Words, batches, mix
+from .text import U64, Words, batches, freeing, mix
 
 LEAST_BITS = 512
 SHARED = 16
@@ -113,7 +113,7 @@ def frequent_shingles(texts: DataFrame, n: int, frequent: int, counters: int = 1
                     keys, counts = keys[counts > 0], counts[counts > 0]
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "c"])
 
-    found = texts.select("text").mapInArrow(top, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    found = texts.select("text").mapInArrow(freeing(top), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     rows = most_frequent(found, "c", frequent).toPandas()  # at most `frequent` rows
     keys, counts = rows["key"].to_numpy(np.int64).view(U64), rows["c"].to_numpy(np.int64)
     order = np.argsort(keys)
@@ -155,7 +155,7 @@ def describe(texts: DataFrame, n: int, percent: int, table) -> DataFrame:
                 hashes = [pa.array(h.view(np.int64), mask=size == 0) for h in (node, check)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size), *hashes, *listed, pa.array(signatures(size, doc, got), pa.binary())], names=["id", "row", "n", "node", "check", "keys", "often", "bits"])
 
-    return texts.mapInArrow(run, "id long, row long, n long, node long, check long, keys array<long>, often array<long>, bits binary")
+    return texts.mapInArrow(freeing(run), "id long, row long, n long, node long, check long, keys array<long>, often array<long>, bits binary")
 
 
 def shingles_of(texts: DataFrame, nodes: DataFrame, n: int, twice: list[int], most_bits: int = 1 << 25) -> DataFrame:
@@ -192,7 +192,7 @@ def shingles_of(texts: DataFrame, nodes: DataFrame, n: int, twice: list[int], mo
                 listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many[may])).astype(np.int32)), pa.array(got[may[doc]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[may].view(np.int64)), pa.array(row[may].view(np.int64)), listed], names=["node", "row", "shingles"])
 
-    found = texts.mapInArrow(run, "node long, row long, shingles array<long>")
+    found = texts.mapInArrow(freeing(run), "node long, row long, shingles array<long>")
     return found.join(nodes.select("node", "row"), ["node", "row"], "left_semi").dropDuplicates(["node", "row"]).drop("row")
 
 
@@ -225,7 +225,7 @@ def near_heads(pairs: DataFrame, bits: DataFrame, percent: int, share: int = 256
     """(a, b, salt): those of the pairs (a: a set, b: a head) that sizes and signatures allow. A head of more than `share` pairs is salted."""
     counts = most_frequent(pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > share), "c", most)
     salted = pairs.join(F.broadcast(counts), "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / share)), F.lit(0)).cast("int").alias("salt"))
-    return _with_both(salted, bits).mapInArrow(_allowed_pairs(percent), "a long, b long, salt int")
+    return _with_both(salted, bits).mapInArrow(freeing(_allowed_pairs(percent)), "a long, b long, salt int")
 
 
 def linked_pairs(near: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -416,7 +416,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         dealt = tiles(left, percent, tile).join(bits, "node")
         dealt = dealt.join(held, "node") if held else dealt
         to = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return settled(dealt.repartition(to, "tile").sortWithinPartitions("tile").mapInArrow(_by_tile(judge, percent, held is not None), "a long, b long"))
+        return settled(dealt.repartition(to, "tile").sortWithinPartitions("tile").mapInArrow(freeing(_by_tile(judge, percent, held is not None)), "a long, b long"))
 
     linked = roots
     close = in_tiles(groups.where("many").select("hub", "node"), near_forest, None)

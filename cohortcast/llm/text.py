@@ -7,6 +7,8 @@ random byte table, finished by a bit mixer, so that equal words hash alike in ev
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
 U64 = np.uint64
@@ -122,3 +124,30 @@ def batches(column, size: int = 1 << 20):
         to = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + size, "right")) - 1)
         yield at, min(to, len(column))
         at = to
+
+
+def free() -> None:
+    """Gives the system back what Arrow and numpy have freed: their allocators keep it, and a Python worker lives on between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim:
+        trim(0)
+
+
+def freeing(run):
+    """run, a function for mapInArrow, with freed memory given back after each of its batches and at its end."""
+
+    def each(rows):
+        for batch in rows:
+            yield batch
+            free()
+
+    def freed(rows):
+        try:
+            yield from run(each(rows))
+        finally:
+            free()
+
+    return freed

@@ -1,12 +1,16 @@
 """BPE and token counts against the tokenizers library."""
 
 import random
+import subprocess
+import sys
 
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from cohortcast.llm import text
 from cohortcast.llm.bpe import decode, encode
+from cohortcast.llm.ngram_jaccard import describe
 from cohortcast.llm.token_counts import count_tokens
 
 from .conftest import kept_columns
@@ -68,3 +72,38 @@ def test_unknown_ids_decode_to_nothing(spark):
     df = spark.createDataFrame([([320, -1, 10**8],), ([],), (None,)], "ids array<int>")
     got = [r.decoded for r in decode(df, public_tokenizers.path("word_bpe_49k.json")).collect()]
     assert got[0].startswith("a</w>") and got[1:] == ["", ""]
+
+
+WORKER = """
+import re
+import numpy as np
+from cohortcast.llm import text
+
+def anon():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def run(rows):
+    for _ in rows:
+        held = [np.ones(6000) for _ in range(6000)]  # 288 MB in pieces that malloc keeps when they are freed
+        pins.append(held[-1])
+        del held
+        yield 1
+
+pins, was = [], anon()
+assert list(getattr(text, "freeing", lambda f: f)(run)(range(2))) == [1, 1]
+print(anon() - was)
+"""
+
+
+def test_workers_give_freed_memory_back():
+    told = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, timeout=60)
+    assert float(told.stdout) < 100, told.stderr
+
+
+def test_stages_in_workers_free_memory(spark, docs, monkeypatch):
+    taken = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.append(run))
+    encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    describe(docs.select("doc_id", F.lit(1).alias("row"), "text"), 5, 80, None)
+    assert [f.__qualname__.split(".")[0] for f in taken] == [text.freeing.__name__] * 3
