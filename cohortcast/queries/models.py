@@ -124,7 +124,7 @@ def t04_settlement(spark, d):
     out, state = shared_folder(spark, "t04"), shared_folder(spark, "t04-state")
 
     def run(folders):
-        both = captures.settlements(_read(spark, folders["bets"], bets).dropDuplicates(["bet", "placed"]), _read(spark, folders["results"], results), "bet", "placed", "told", within="60 days", late="400 days 90 minutes")
+        both = captures.settlements(_read(spark, folders["bets"], bets), _read(spark, folders["results"], results), "bet", "placed", "told", within="60 days", late="400 days 90 minutes")
         both.writeStream.outputMode("append").foreachBatch(lambda b, k: captures.store_new(b, k, out, ["bet"])).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
     _arriving(spark, {"bets": bets, "results": results}, {"bets": "placed", "results": "told"}, 3, run)

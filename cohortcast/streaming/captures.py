@@ -86,8 +86,11 @@ def drift(captures: DataFrame, by: list[str], ts: str, price: str, window: str =
 
 
 def settlements(bets: DataFrame, outcomes: DataFrame, key: str, bet_ts: str, outcome_ts: str, within: str = "2 days", late: str = "1 day") -> DataFrame:
-    """Open bets joined to outcomes that arrive within a span after them; bets without one come out, once, when the watermark passes the span."""
-    b = bets.withWatermark(bet_ts, late).alias("b")
+    """Open bets joined to outcomes that arrive within a span after them; bets without one come out, once, when the watermark passes the span.
+
+    A bet (key, bet_ts) that is told again counts once. It is forgotten when the watermark has passed it, for it would come too late then.
+    """
+    b = bets.withWatermark(bet_ts, late).dropDuplicates([key, bet_ts]).alias("b")
     o = outcomes.withWatermark(outcome_ts, late).alias("o")
     on = F.expr(f"b.{key} = o.{key} AND o.{outcome_ts} >= b.{bet_ts} AND o.{outcome_ts} <= b.{bet_ts} + interval {within}")
     return b.join(o, on, "left_outer").select("b.*", *[F.col(f"o.{c}").alias(f"outcome_{c}") for c in outcomes.columns])

@@ -89,6 +89,23 @@ def test_settlement_before_after_and_never(spark, tmp_path):
     assert got[3] is None and set(got) == {1, 2, 3, 4}
 
 
+def test_settlement_forgets_bets_that_would_come_too_late(spark, tmp_path):
+    bets, outcomes = Feed(spark, tmp_path, "bet int, placed timestamp", "bets"), Feed(spark, tmp_path, "bet int, told timestamp", "outcomes")
+    got = []
+
+    def step(b, o):
+        bets.add(b)
+        outcomes.add(o)
+        return bets.run(captures.settlements(bets.read(), outcomes.read(), "bet", "placed", "told", within="2 days", late="1 hour"), lambda b, k: got.extend((r.bet, r.outcome_told) for r in b.collect()))
+
+    step([(1, at(1)), (1, at(1)), (2, at(1))], [(1, at(1, 5))])
+    assert got == [(1, at(1, 5))]
+    query = step([(1, at(1)), (3, at(9))], [(4, at(9))])
+    assert sorted(got, key=str) == [(1, at(1, 5)), (2, None)]
+    dedupe = [o for o in query.lastProgress.stateOperators if o.operatorName == "dedupe"]
+    assert [o.numRowsTotal for o in dedupe] == [1]  # of bet 3 alone
+
+
 def test_batches_tried_again_change_nothing(spark, tmp_path):
     path = f"{tmp_path}/out"
     rows = lambda lo, hi: spark.range(lo, hi).selectExpr("id", "id % 3 AS kind", "CAST(id % 2 AS int) AS won")
