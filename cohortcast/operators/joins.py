@@ -135,16 +135,16 @@ def gap_fill(primary: DataFrame, secondary: DataFrame, keys: list[str], columns:
 
 def best_match(a: DataFrame, b: DataFrame, block: str, name_a: str, name_b: str, id_b: str, cutoff: float = 0.72) -> DataFrame:
     """Each row of a with the most similar name of b in its block: exact keys first, else similarity of at least the cutoff.
-    Equal bests are ambiguous and give none. Blocks may be of any size: names meet through an index of their rarest letter pairs (`fuzzy.nearest_names`)."""
+    Equal bests are ambiguous and give none. Blocks may be of any size: names meet through an index of their rarest letter pairs (`fuzzy.nearest_names`), and no join is broadcast."""
     from cohortcast.functions.text import squash_key
     from cohortcast.operators.fuzzy import nearest_names
 
     exact = b.groupBy(block, squash_key(F.col(name_b)).alias("_key")).agg(F.min(id_b).alias("_id"), F.count("*").alias("_n"))
-    x = a.withColumn("_key", squash_key(F.col(name_a))).join(exact.where("_n = 1"), [block, "_key"], "left")
+    x = a.withColumn("_key", squash_key(F.col(name_a))).join(exact.where("_n = 1").hint("merge"), [block, "_key"], "left")
     names = b.select(block, squash_key(F.col(name_b)).alias("_name"), F.col(id_b).alias("_cid"))
     near = nearest_names(x.where("_id IS NULL").select(block, F.col("_key").alias("_name")), names.select(block, "_name"), block, "_name", cutoff)
-    top = near.join(names.withColumnRenamed("_name", "match"), [block, "match"]).groupBy(block, F.col("_name").alias("_key")).agg(F.min("_cid").alias("_fid"), F.count_distinct("_cid").alias("_c"), F.max("similarity").alias("_s"))
-    out = x.join(top, [block, "_key"], "left").withColumn("_s", F.when(F.col("_id").isNull(), F.col("_s"))).withColumn("_c", F.when(F.col("_id").isNull(), F.col("_c")))
+    top = near.join(names.withColumnRenamed("_name", "match").hint("merge"), [block, "match"]).groupBy(block, F.col("_name").alias("_key")).agg(F.min("_cid").alias("_fid"), F.count_distinct("_cid").alias("_c"), F.max("similarity").alias("_s"))
+    out = x.join(top.hint("merge"), [block, "_key"], "left").withColumn("_s", F.when(F.col("_id").isNull(), F.col("_s"))).withColumn("_c", F.when(F.col("_id").isNull(), F.col("_c")))
     how = F.when(F.col("_id").isNotNull(), "exact").when(F.col("_c") == 1, "fuzzy").when(F.col("_c") > 1, "ambiguous").otherwise("none")
     return out.select(*a.columns, F.coalesce("_id", F.when(F.col("_c") == 1, F.col("_fid"))).alias("match_id"), how.alias("match_type"), F.when(F.col("_id").isNotNull(), 1.0).otherwise(F.col("_s")).alias("match_score"))
 

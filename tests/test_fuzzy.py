@@ -86,3 +86,21 @@ def test_two_errors_by_rests_and_by_pairs(spark, monkeypatch, often):
     frame = lambda rows: spark.createDataFrame(rows, "card int, name string")
     got = {(r.card, r.name, r.match, round(r.similarity, 9)) for r in fuzzy.nearest_names(frame(asked), frame(known), "card", "name").collect()}
     assert got == brute(asked, known, 0.72)
+
+
+def test_names_are_not_broadcast(spark):
+    """A file of numbered names is small; unfolded to their rests and pairs they aren't. Parts hold bounded names."""
+    from cohortcast.operators import joins
+
+    names = spark.range(300).select(F.lit(1).alias("card"), "id", F.format_string("NAME%05d", "id").alias("name"))
+    asked = names.select("card", F.concat("name", F.lit("X")).alias("typed"))
+    rarity = names.select(F.explode(fuzzy.pairs_of(F.col("name"))).alias("p")).groupBy("p.pair").agg(F.count("*").alias("times"))
+    index = fuzzy.cut(fuzzy.indexed(names, "card", "name", rarity))
+    for got in (fuzzy.close_candidates(names, names, "card", "name", 2), fuzzy.candidates(index, index, "card", "name", 1), joins.best_match(asked, names, "card", "typed", "name", "id")):
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert joins.best_match(asked, names, "card", "typed", "name", "id").where("match_type = 'fuzzy' AND match_id = CAST(substring(typed, 5, 5) AS int)").count() == 300
+
+
+def test_tasks_hold_bounded_names(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "NAMES_OF_A_TASK", 10)
+    assert fuzzy._dealt(spark.range(95).toDF("name")).rdd.getNumPartitions() == 10
