@@ -118,3 +118,28 @@ def test_thirds_keep_groups_and_order(spark):
     df = spark.createDataFrame([("f", g, FIRST + dt.timedelta(g // 3)) for g in range(11) for _ in range(2)] + [("g", 1, FIRST)], "family string, card int, day date")
     got = {(r.family, r.card): r.fold for r in learning.third_of_groups(df, "family", "card", "day").collect()}
     assert [got["f", k] for k in range(11)] == ["TRAIN"] * 4 + ["VALIDATION"] * 4 + ["TEST"] * 3 and got["g", 1] == "TRAIN"
+
+
+def test_boosting_goes_over_points_not_rows(spark, monkeypatch):
+    """Ten times the rows are the same points with ten times the weight, and the same model; a step of the label at a value is found."""
+    seen, keep = [], learning.cut
+
+    def told(df):
+        out = keep(df)
+        seen.append((out.count(), out.agg(F.sum("weight")).first()[0] if "weight" in out.columns else None))
+        return out
+
+    monkeypatch.setattr(learning, "cut", told)
+    few = spark.range(400).select((F.col("id") / 10).alias("x"), (F.col("id") % 3).alias("kind"), F.lit(None).cast("double").alias("none"), (F.col("id") >= 200).cast("double").alias("label"))
+    models = [learning.fit_classifier(few.join(spark.range(n).select(), how="cross"), ["x", "kind", "none"], "label", trees=5, bins=8) for n in (1, 10)]
+    assert seen[0][0] == seen[1][0] <= 8 * 3 * 2 and [w for _, w in seen] == [400, 4000]
+    asked = spark.createDataFrame([(3.0, 1, None), (37.0, 1, 2.0), (None, 2, None), (500.0, None, None)], "x double, kind long, none double")
+    one, ten = ([r.raw for r in learning.raw_scores(m, asked).collect()] for m in models)
+    assert one == pytest.approx(ten) and one[0] < 0.2 and one[1] > 0.8 and one[3] > 0.8
+
+
+def test_bins_hold_each_value_or_even_shares():
+    few = [1.0] * 600 + [2.0] * 390 + [9.0] * 11
+    assert learning.bounds(few, 32) == [2.0, 9.0] and learning.bounds([7.0] * 1001, 32) == [7.0] and learning.bounds([], 32) == [0.0]
+    even = learning.bounds([float(k) for k in range(1001)], 5)
+    assert even == [250.0, 500.0, 750.0, 1000.0]
