@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortcast.operators import learning, windows
-from cohortcast.queries.frames import DATED, dated, once, shared_folder, with_sql
+from cohortcast.queries.frames import DATED, dated, once, shared_folder, spread, with_sql
 
 FEATURES = ["price", "post", "n", "cheap"]
 r = lambda c, k=6: F.round(c, k).alias(c)
@@ -27,19 +27,20 @@ def _forecasts(spark, d):
     folds = learning.chronological_folds(rows, "day", "card", folds=5, least_groups=30, embargo_days=1)
 
     def fit_predict(train, test):
-        return learning.raw_scores(learning.fit_classifier(train, FEATURES, "label"), test, "raw")
+        return learning.raw_scores(learning.fit_classifier(train, FEATURES, "label"), test, "raw").select("card", "member", "day", "seen", "raw")
 
-    raw = learning.out_of_fold(rows, "day", "label", folds, fit_predict).join(rows.select("card", "member", "label"), ["card", "member"])
+    # Labels go along under another name, which the learner doesn't read, so that forecasts needn't meet the rows again.
+    raw = learning.out_of_fold(rows.withColumn("seen", F.col("label")), "day", "label", folds, fit_predict).withColumnRenamed("seen", "label")
     oof = once(raw, "oof")
-    return windows.share(learning.cross_calibrated(oof, "day", "raw", "label", folds), "card", "calibrated", "p")
+    done = learning.cross_calibrated(oof, "day", "raw", "label", folds)
+    return windows.share(spread(done, oof.count(), "card"), "card", "calibrated", "p")
 
 
 def l06_rolling_forecasts(spark, d):
     """Out-of-fold forecasts by fold, raw and calibrated out of fold; then all folds pooled (fold 0)."""
-    oof = once(_forecasts(spark, d), "forecasts")
-    both = oof.unionByName(oof.withColumn("fold", F.lit(0)))
-    metrics = lambda p: learning.forecast_metrics(both, ["fold"], "card", p, "label", "member").select("fold", "rows", "groups", *[F.col(c).alias(f"{p}_{c}") for c in ("log_loss", "brier", "top1", "top3")])
-    return metrics("p").join(metrics("raw").drop("rows", "groups"), "fold")
+    both = _forecasts(spark, d).withColumn("fold", F.explode(F.array("fold", F.lit(0))))
+    found = learning.metrics_of(both, ["fold"], "card", ["p", "raw"], "label", "member")
+    return found.select("fold", "rows", "groups", *[f"{p}_{c}" for p in ("p", "raw") for c in ("log_loss", "brier", "top1", "top3")])
 
 
 def l05_metrics(spark, d):

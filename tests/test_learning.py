@@ -143,3 +143,13 @@ def test_bins_hold_each_value_or_even_shares():
     assert learning.bounds(few, 32) == [2.0, 9.0] and learning.bounds([7.0] * 1001, 32) == [7.0] and learning.bounds([], 32) == [0.0]
     even = learning.bounds([float(k) for k in range(1001)], 5)
     assert even == [250.0, 500.0, 750.0, 1000.0]
+
+
+def test_forecasts_are_judged_together_in_one_shuffle(spark, rows):
+    df = rows.repartition(3, "card").withColumn("half", F.col("card") % 2).withColumn("p", 1 / (1 + F.exp(-F.col("x")))).withColumn("q", (F.col("member") + 1) / 10)
+    both = learning.metrics_of(df, ["half"], "card", ["p", "q"], "label", "member")
+    assert both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning(card") == 1
+    got = {r.half: r for r in both.collect()}
+    for p in ("p", "q"):
+        for r in learning.forecast_metrics(df, ["half"], "card", p, "label", "member").collect():
+            assert (r.rows, r.groups, r.log_loss, r.brier, r.top1, r.top3) == pytest.approx((got[r.half].rows, got[r.half].groups, *[got[r.half][f"{p}_{c}"] for c in ("log_loss", "brier", "top1", "top3")]))
