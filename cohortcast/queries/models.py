@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortcast.operators import learning
-from cohortcast.queries.frames import DATED, dated, shared_folder, table, with_sql
+from cohortcast.queries.frames import DATED, dated, once, shared_folder, table, with_sql
 from cohortcast.sources import sinks
 from cohortcast.streaming import captures
 
@@ -120,11 +120,13 @@ T02 = "WITH e AS (SELECT user_id, event_type, date_trunc('week', ts)::TIMESTAMP
 def t04_settlement(spark, d):
     """Bets are orders, their outcomes the first shipping of their lines; either may come first. Two streams with a watermark each; the span is 60 days."""
     bets = table(spark, d, "orders").select(F.col("o_orderkey").alias("bet"), F.col("o_orderdate").cast("timestamp").alias("placed"))
-    results = table(spark, d, "lineitem").where("l_orderkey % 10 > 0").groupBy(F.col("l_orderkey").alias("bet")).agg(F.min("l_shipdate").cast("timestamp").alias("told"))
+    told = table(spark, d, "lineitem").where("l_orderkey % 10 > 0").groupBy(F.col("l_orderkey").alias("bet")).agg(F.min("l_shipdate").cast("timestamp").alias("told"))
+    results = once(told, "results")  # each piece reads them
+    buckets = max(bets.count() // 20_000, 2 * spark.sparkContext.defaultParallelism)
     out, state = shared_folder(spark, "t04"), shared_folder(spark, "t04-state")
 
     def run(folders):
-        both = captures.settlements(_read(spark, folders["bets"], bets), _read(spark, folders["results"], results), "bet", "placed", "told", within="60 days", late="400 days 90 minutes")
+        both = captures.settled_by_bucket(_read(spark, folders["bets"], bets), _read(spark, folders["results"], results), "bet", "placed", "told", within="60 days", late="400 days 90 minutes", buckets=buckets)
         both.writeStream.outputMode("append").foreachBatch(lambda b, k: captures.store_new(b, k, out, ["bet"])).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
     _arriving(spark, {"bets": bets, "results": results}, {"bets": "placed", "results": "told"}, 3, run)

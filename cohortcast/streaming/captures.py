@@ -6,9 +6,11 @@ import json
 from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def ingest(captures: DataFrame, posts: DataFrame, group: str, ts: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
@@ -96,6 +98,59 @@ def settlements(bets: DataFrame, outcomes: DataFrame, key: str, bet_ts: str, out
     return b.join(o, on, "left_outer").select("b.*", *[F.col(f"o.{c}").alias(f"outcome_{c}") for c in outcomes.columns])
 
 
+def _bytes(held: pd.DataFrame) -> bytes:
+    out, rows = pa.BufferOutputStream(), pa.Table.from_pandas(held, preserve_index=False)
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def settled_by_bucket(bets: DataFrame, outcomes: DataFrame, key: str, bet_ts: str, outcome_ts: str, within: str = "2 days", late: str = "1 day", buckets: int = 4096) -> DataFrame:
+    """(key, bet_ts, outcome_<outcome_ts>): `settlements` of many bets, of their keys and times alone.
+
+    Keys are dealt by a hash into `buckets`, and what a bucket has open is one row of state, as compressed columns: some ten bytes a bet, where a row of a join's state
+    takes hundreds. Some ten thousand bets a bucket are best; the number stays the same as long as a checkpoint is used. Bets and outcomes that are told again change nothing;
+    those without a time are ignored, and bets without a key have no outcome. Bets are held until the watermark has passed their span, outcomes until it has passed them.
+    """
+    whole = isinstance(bets.schema[key].dataType, IntegralType)
+    kind, empty = ("long", F.lit(0).cast("long")) if whole else ("string", F.lit(""))
+
+    def side(df, ts, bet):
+        until = F.expr(f"unix_micros(CAST(`{ts}` AS timestamp) + interval {within})") if bet else F.unix_micros(F.col(ts).cast("timestamp"))
+        of = F.col(key).cast(kind)
+        some = df.withWatermark(ts, late).where(F.col(ts).isNotNull() if bet else F.col(ts).isNotNull() & F.col(key).isNotNull())
+        return some.select(F.pmod(F.xxhash64(of), F.lit(buckets)).cast("int").alias("_bucket"), F.coalesce(of, empty).alias("key"), F.col(key).isNull().alias("none"), F.col(ts).alias("_ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), until.alias("until"), F.lit(bet).alias("bet"))
+
+    def settle(bucket, frames: Iterable[pd.DataFrame], state):
+        columns = ["key", "none", "at", "until", "bet"]
+        frames = [] if state.hasTimedOut else [f[columns] for f in frames]
+        held = pa.ipc.open_stream(state.get[0]).read_all().to_pandas() if state.exists else None
+        mark = state.getCurrentWatermarkMs() * 1000
+        rows = pd.concat([*([] if held is None else [held.assign(old=True)]), *[f.assign(old=False, met=False) for f in frames]], ignore_index=True)
+        rows = rows.drop_duplicates(["key", "none", "at", "bet"], ignore_index=True)  # the first stays, which is the held one
+        b, o = rows[rows["bet"]].reset_index(names="row"), rows[~rows["bet"]]
+        pairs = b[~b["none"]].merge(o[["key", "at", "old"]], on="key", suffixes=("", "_told"))
+        pairs = pairs[~(pairs["old"] & pairs["old_told"]) & (pairs["at"] <= pairs["at_told"]) & (pairs["at_told"] <= pairs["until"])]
+        rows.loc[pairs["row"].unique(), "met"] = True
+        over = rows["bet"] & (rows["until"] < mark)
+        lost = rows[over & ~rows["met"]]
+        kept = rows[(rows["bet"] & ~over) | (~rows["bet"] & (rows["at"] > mark))]
+        if len(kept):
+            state.update((_bytes(kept[[*columns, "met"]]),))
+            state.setTimeoutTimestamp(max(int(kept["until"].min()), mark) // 1000 + 1)
+        else:
+            state.remove()
+        for found in (pairs.assign(settled=True), lost.assign(at_told=0, settled=False)):
+            if len(found):
+                yield found[["key", "none", "at", "at_told", "settled"]]
+
+    both = side(bets, bet_ts, True).unionByName(side(outcomes, outcome_ts, False))
+    out = both.groupBy("_bucket").applyInPandasWithState(settle, f"key {kind}, none boolean, at long, at_told long, settled boolean", "held binary", "append", "EventTimeTimeout")
+    time = lambda c, df, ts: F.timestamp_micros(c).cast(df.schema[ts].dataType)
+    told = F.when(F.col("settled"), time("at_told", outcomes, outcome_ts))
+    return out.select(F.when(~F.col("none"), F.col("key")).cast(bets.schema[key].dataType).alias(key), time("at", bets, bet_ts).alias(bet_ts), told.alias(f"outcome_{outcome_ts}"))
+
+
 def stored(spark, path: str) -> DataFrame | None:
     """The table at path, or None where nothing is stored yet. Any other fault is the caller's."""
     try:

@@ -106,6 +106,31 @@ def test_settlement_forgets_bets_that_would_come_too_late(spark, tmp_path):
     assert [o.numRowsTotal for o in dedupe] == [1]  # of bet 3 alone
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_settlement_by_bucket(spark, tmp_path, kind):
+    """As by a join; bets and outcomes told again change nothing, and a bucket without anything open leaves no state."""
+    bets, outcomes = Feed(spark, tmp_path, f"bet {kind}, placed timestamp", "bets"), Feed(spark, tmp_path, f"bet {kind}, told timestamp", "outcomes")
+    name = (lambda k: k) if kind == "long" else (lambda k: k if k is None else f"b{k}")
+    got = []
+
+    def step(b, o):
+        bets.add([(name(k), *t) for k, *t in b])
+        outcomes.add([(name(k), *t) for k, *t in o])
+        del got[:]
+        query = bets.run(captures.settled_by_bucket(bets.read(), outcomes.read(), "bet", "placed", "told", within="2 days", late="1 hour", buckets=3), lambda x, _: got.extend((r.bet, r.placed, r.outcome_told) for r in x.collect()))
+        return query.lastProgress.stateOperators[0].numRowsTotal
+
+    said = lambda *rows: sorted(((name(k), *t) for k, *t in rows), key=str)
+    left = step([(1, at(1)), (1, at(1)), (2, at(1)), (3, at(1)), (None, at(1)), (8, None)], [(1, at(1, 5)), (1, at(1, 5)), (4, at(1, 12)), (None, at(1))])
+    assert sorted(got, key=str) == said((1, at(1), at(1, 5))) and left > 0
+    step([(1, at(1)), (4, at(1, 6)), (4, at(1, 20))], [(1, at(1, 5)), (2, at(2, 23)), (1, at(2))])  # the outcome of the first 4 came before it; 1 has another outcome
+    assert sorted(got, key=str) == said((1, at(1), at(2)), (2, at(1), at(2, 23)), (4, at(1, 6), at(1, 12)))
+    step([(5, at(9))], [(3, at(4)), (6, at(9))])  # the outcome of 3 is out of its span
+    assert sorted(got, key=str) == said((3, at(1), None), (None, at(1), None), (4, at(1, 20), None))
+    left = step([(7, at(20))], [(7, at(20))])
+    assert sorted(got, key=str) == said((5, at(9), None), (7, at(20), at(20))) and left == 1  # the bucket of 7
+
+
 def test_batches_tried_again_change_nothing(spark, tmp_path):
     path = f"{tmp_path}/out"
     rows = lambda lo, hi: spark.range(lo, hi).selectExpr("id", "id % 3 AS kind", "CAST(id % 2 AS int) AS won")
