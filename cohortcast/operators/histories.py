@@ -20,23 +20,32 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
-def running_sums(target: DataFrame, history: DataFrame, keys: list[str], at: str, date: str, sums: dict[str, Column], decayed: dict[str, Column] | None = None, spans: tuple[int, ...] = (), rate: float = 0.01) -> DataFrame:
+def running_sums(
+    target: DataFrame, history: DataFrame, keys: list[str], at: str, date: str, sums: dict[str, Column], decayed: dict[str, Column] | None = None, spans: tuple[int, ...] = (), rate: float = 0.01, seen: Column | None = None, own: tuple[str, ...] = (), parts: int | None = None
+) -> DataFrame:
     """target with sums over the rows of equal keys before its day: <name>, and <name>_<days> over the last so many days; for `decayed`, <name> with weights exp(-rate * age).
-    days_off: days since the last row. Nothing before: 0, days_off null. Null values count as 0; targets with a null day or key get 0."""
+    days_off: days since the last row (of those that are `seen`). For names in `own`, <name>_own is the sum of the day itself. Nothing before: 0, days_off null. Null values count as 0;
+    targets with a null day or key get 0.
+
+    Targets go with the history in one shuffle by key (into so many parts), are carried by their day's row and come out of it again: no join, and days without a target end there.
+    """
     decayed = decayed or {}
-    value = lambda x: F.sum(F.coalesce(x.cast("double"), F.lit(0.0)))
     named = {**sums, **decayed}
-    days = history.groupBy(*keys, day_number(date).alias("_d")).agg(F.lit(1).alias("_seen"), *[value(x).alias(f"_{n}") for n, x in named.items()])
-    asked = target.select(*keys, day_number(at).alias("_d")).distinct().select(*keys, "_d", F.lit(None).cast("int").alias("_seen"), *[F.lit(0.0).alias(f"_{n}") for n in named])
-    both = days.unionByName(asked).where("_d IS NOT NULL").groupBy(*keys, "_d").agg(F.max("_seen").alias("_seen"), *[F.sum(f"_{n}").alias(f"_{n}") for n in named])
+    asked = target.select(*keys, day_number(at).alias("_d"), F.lit(None).cast("int").alias("_seen"), *[F.lit(0.0).alias(f"_{n}") for n in named], F.struct(*target.columns).alias("_target"))
+    some = F.lit(True) if seen is None else seen
+    told = history.select(*keys, day_number(date).alias("_d"), F.when(some, 1).alias("_seen"), *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"_{n}") for n, x in named.items()], F.lit(None).cast(asked.schema["_target"].dataType).alias("_target"))
+    for k in keys:
+        told = told.where(F.col(k).isNotNull())
+    both = told.where("_d IS NOT NULL").unionByName(asked)
+    both = both.repartition(parts, *keys) if parts else both.repartition(*keys)
+    days = both.groupBy(*keys, "_d").agg(F.max("_seen").alias("_seen"), *[F.sum(f"_{n}").alias(f"_{n}") for n in named], F.collect_list("_target").alias("_targets"))
     order = Window.partitionBy(*keys).orderBy("_d")
     before = order.rangeBetween(Window.unboundedPreceding, -1)
     grown, age = F.exp(rate * F.col("_d")), F.exp(-rate * F.col("_d"))
-    out = [F.sum(f"_{n}").over(before).alias(n) for n in sums] + [F.sum(f"_{n}").over(order.rangeBetween(-s, -1)).alias(f"{n}_{s}") for n in sums for s in spans] + [(age * F.sum(grown * F.col(f"_{n}")).over(before)).alias(n) for n in decayed]
+    out = {n: F.sum(f"_{n}").over(before) for n in sums} | {f"{n}_{s}": F.sum(f"_{n}").over(order.rangeBetween(-s, -1)) for n in sums for s in spans} | {n: age * F.sum(grown * F.col(f"_{n}")).over(before) for n in decayed} | {f"{n}_own": F.col(f"_{n}") for n in own}
     last = F.max(F.when(F.col("_seen") == 1, F.col("_d"))).over(before)
-    known = both.select(*keys, "_d", *out, (F.col("_d") - last).alias("days_off"))
-    names = [*sums, *[f"{n}_{s}" for n in sums for s in spans], *decayed]
-    return target.withColumn("_d", day_number(at)).join(known, [*keys, "_d"], "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names}).drop("_d")
+    known = days.select("_targets", *[F.coalesce(x, F.lit(0.0)).alias(n) for n, x in out.items()], (F.col("_d") - last).alias("days_off"))
+    return known.select(F.explode("_targets").alias("_target"), *out, "days_off").select("_target.*", *out, "days_off")
 
 
 def last_rows_mean(target: DataFrame, history: DataFrame, keys: list[str], at: str, date: str, tie: str, x: str, k: int = 5, out: str = "last_mean") -> DataFrame:
@@ -87,12 +96,13 @@ def work_overlay(target: DataFrame, works: DataFrame, entity: str, at: str, rank
     return out.withColumn("days_since_work", F.when(n > 0, c("days_since_work"))).select(*target.columns, "rank_percentile", "rank_n", "count_30", "coverage", "days_since_work", "readiness_v2", "velocity_z", "normalized")
 
 
-def start_features(target: DataFrame, starts: DataFrame, entity: str, at: str, surface: str, route: str) -> DataFrame:
+def start_features(target: DataFrame, starts: DataFrame, entity: str, at: str, surface: str, route: str, parts: int | None = None) -> DataFrame:
     """target with what its entity's starts before its day say; target has today's surface and route (long distance or not).
 
     starts: entity, date, surface, route, finish, field, scratched, implied (chance by its price). Added: days_since_start, starts_90, finish_share (decayed share of rivals
     beaten, blended to 0.5 by coverage) and coverage, fit_n, fit_share (the same under today's conditions, shrunk to 0.5 by two), publicness (decayed chance, shrunk
     to 0.10 by three), attempts, scratch_rate (from three attempts on), career starts, wins, places, shows, and excluded (rows of the entity on the target's day).
+    Each of the two shuffles, by entity and by entity and conditions, has so many parts.
     """
     from cohortcast.operators.features import beaten_share
 
@@ -105,19 +115,16 @@ def start_features(target: DataFrame, starts: DataFrame, entity: str, at: str, s
     sums = {"_attempts": F.lit(1), "_starts": one(live), "_wins": one(live & (c("finish") == 1)), "_places": one(live & (c("finish") == 2)), "_shows": one(live & (c("finish") == 3)), "_usable": one(known)}
     odds = live & c("implied").isNotNull()
     weights = {"_p": c("_share"), "_w": one(known), "_q": F.when(odds, c("implied")), "_v": one(odds)}
-    out = running_sums(target, recent, [entity], at, "date", sums, weights, spans=(90, 180)).drop("days_off")
-    out = running_sums(out, recent.where(live), [entity], at, "date", {}).withColumnRenamed("days_off", "days_since_start")
     fit = recent.where(live).withColumnsRenamed({"surface": surface, "route": route})
-    out = running_sums(out, fit, [entity, surface, route], at, "date", {"_fit": F.lit(1)}, {"_fp": c("_share"), "_fw": one(known)}).drop("days_off")
-    same = starts.groupBy(entity, F.to_date("date").alias("_day")).agg(F.count("*").alias("_same"))
-    out = out.withColumn("_day", F.to_date(at)).join(same, [entity, "_day"], "left")
+    out = running_sums(target, fit, [entity, surface, route], at, "date", {"_fit": F.lit(1)}, {"_fp": c("_share"), "_fw": one(known)}, parts=parts).drop("days_off")
+    out = running_sums(out, recent, [entity], at, "date", sums, weights, spans=(90, 180), seen=live, own=("_attempts",), parts=parts).withColumnRenamed("days_off", "days_since_start")
     cover = F.least(F.lit(1.0), c("_usable_180") / 5)
     seen = F.when(c("_w") > 0, c("_p") / c("_w")).otherwise(0.5)
     whole = lambda x: c(x).cast("long")
     return out.select(
         *target.columns, "days_since_start", whole("_starts_90").alias("starts_90"), F.round(cover * seen + (1 - cover) * 0.5, 4).alias("finish_share"), F.round(cover, 4).alias("coverage"), whole("_fit").alias("fit_n"), F.round((c("_fp") + 1.0) / (c("_fw") + 2), 4).alias("fit_share"),
         F.round((c("_q") + 0.3) / (c("_v") + 3), 4).alias("publicness"), whole("_attempts").alias("attempts"), F.when(c("_attempts") >= 3, F.round(1 - c("_starts") / c("_attempts"), 4)).alias("scratch_rate"),
-        whole("_starts").alias("starts"), whole("_wins").alias("wins"), whole("_places").alias("places"), whole("_shows").alias("shows"), F.coalesce("_same", F.lit(0)).alias("excluded"),
+        whole("_starts").alias("starts"), whole("_wins").alias("wins"), whole("_places").alias("places"), whole("_shows").alias("shows"), whole("_attempts_own").alias("excluded"),
     )
 
 

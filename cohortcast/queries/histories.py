@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortcast.operators import histories
-from cohortcast.queries.frames import DATED, dated, once, with_sql
+from cohortcast.queries.frames import DATED, dated, once, parts_of, with_sql
 
 
 #: Beyond every member's key, so that card * ID + member is one row's alone.
@@ -64,7 +64,7 @@ def x19_standalone(spark, d):
     c = F.col
     starts = f.select("jockey", c("day").alias("date"), "surface", (c("n") >= 5).alias("route"), "finish", c("n").alias("field"), (c("member") % 13 == 0).alias("scratched"), F.when(c("member") % 3 > 0, c("m")).alias("implied"))
     target = f.where("finish = 1").select("card", "jockey", "day", c("surface").alias("today"), (c("n") >= 5).alias("long"))
-    out = histories.start_features(target, starts, "jockey", "day", "today", "long")
+    out = histories.start_features(target, starts, "jockey", "day", "today", "long", parts_of(spark, f.count()))
     return out.select("card", "days_since_start", "starts_90", "finish_share", "fit_n", "fit_share", "publicness", "attempts", "scratch_rate", "starts", "wins", "places", "shows", "excluded")
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortcast.operators import histories
 
@@ -69,3 +70,13 @@ def test_speed_figures_by_source(spark):
     starts = spark.createDataFrame([(3, 1, 2, 5), (3, 2, 1, 5), (3, 6, 1, 5), (4, 1, 3, 1), (1, 1, 1, 5)], "id int, nth int, finish int, field int")
     got = {r.id: tuple(r)[2:] for r in histories.speed_figures(members, results, starts, "id", "horse").collect()}
     assert got == {1: (86.0, 86.0, 84.0, "results"), 2: (None, 90.0, None, "entries"), 3: (105.0, 120.0, 115.0, "derived"), 4: (None, None, None, "none"), 5: (None, None, None, "none")}
+
+
+def test_targets_go_with_their_history_in_one_shuffle(spark):
+    """No join, one shuffle by key into the parts that are asked for; targets without key or day, told twice, or before all history keep their rows."""
+    rows = spark.createDataFrame([("a", dt.date(2026, 1, 1), 2.0), ("a", dt.date(2026, 1, 3), 3.0), (None, dt.date(2026, 1, 1), 9.0), ("a", None, 9.0), ("b", dt.date(2026, 1, 2), 5.0)], "horse string, date date, x double")
+    asked = spark.createDataFrame([(1, "a", dt.date(2026, 1, 3)), (1, "a", dt.date(2026, 1, 3)), (2, "a", dt.date(2026, 1, 9)), (3, None, dt.date(2026, 1, 9)), (4, "a", None), (5, "b", dt.date(2026, 1, 2)), (6, "c", dt.date(2026, 1, 9))], "id int, horse string, at date")
+    got = histories.running_sums(asked, rows, ["horse"], "at", "date", {"s": F.col("x")}, {"w": F.lit(1)}, spans=(7,), seen=F.col("x") < 3, own=("s",), parts=5)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(horse" in plan and "Join" not in plan and got.rdd.getNumPartitions() == 5
+    assert sorted((r.id, r.s, r.s_7, r.s_own, r.days_off) for r in got.collect()) == [(1, 2.0, 2.0, 3.0, 2), (1, 2.0, 2.0, 3.0, 2), (2, 5.0, 3.0, 0.0, 8), (3, 0.0, 0.0, 0.0, None), (4, 0.0, 0.0, 0.0, None), (5, 0.0, 0.0, 5.0, None), (6, 0.0, 0.0, 0.0, None)]
